@@ -1,0 +1 @@
+"""Operators of the track, flow and sensor library."""

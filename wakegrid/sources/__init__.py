@@ -1,0 +1 @@
+"""Sources of the track, flow and sensor library."""

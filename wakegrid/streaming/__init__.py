@@ -1,0 +1 @@
+"""Streaming of the track, flow and sensor library."""
