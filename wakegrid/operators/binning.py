@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import attach, col, exact_quantiles, ordinal
+from ..core import attach, col, exact_quantiles
 from ..functions.scalars import POLY5_EXPONENTS, poly5_features
 
 
@@ -35,10 +35,12 @@ class Axis:
         return self.lo + (index - 0.5) * self.width
 
 
-def uniform_bins(value: str | Column, lo: float, hi: float, n: int | Column) -> Column:
+def uniform_bins(
+    value: str | Column, lo: float | Column, hi: float | Column, n: int | Column
+) -> Column:
     """1-based bin number; the last bin is closed, values outside give NULL."""
     v = col(value)
-    if hi <= lo:
+    if not isinstance(lo, Column) and not isinstance(hi, Column) and hi <= lo:
         raise ValueError("hi must exceed lo")
     count = n if isinstance(n, Column) else F.lit(n)
     number = F.floor((v - lo) * n / (hi - lo)) + 1
@@ -396,10 +398,10 @@ def simpson_trapezoid(df: DataFrame, by: Sequence[str], x: str, f: str, index: s
     end = (i == 0) | (i == n)
     trapezoid = F.when(end, 0.5).otherwise(1.0)
     simpson = F.when(end, 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-    h = F.first((F.col("_b") - F.col("_a")) / n)
+    h = F.max((F.col("_b") - F.col("_a")) / n)
     return attach(df, extent, by).groupBy(*by).agg(
         (h * F.sum(trapezoid * F.col(f))).alias("trapezoid"),
-        F.when(F.first(n) % 2 == 0, h / 3.0 * F.sum(simpson * F.col(f))).alias("simpson"),
+        F.when(F.max(n) % 2 == 0, h / 3.0 * F.sum(simpson * F.col(f))).alias("simpson"),
     )
 
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import wakegrid
+
 #: Settings every job relies on; all of them are safe to set at run time.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -17,7 +21,12 @@ RUNTIME_CONF = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings and give the checkpoint folder if none is set."""
+    """Apply the run-time settings and give the checkpoint folder if none is set.
+
+    Functions of this package are sent to executors by value, so they run there
+    without the package being installed.
+    """
+    cloudpickle.register_pickle_by_value(wakegrid)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     checkpoint_folder(spark)
@@ -30,6 +39,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("wakegrid")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
@@ -59,6 +69,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for intermediate tables, next to the checkpoints."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
     checkpoint_folder(df.sparkSession)
