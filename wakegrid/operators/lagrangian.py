@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import BLOCK, attach
+from ..core import BLOCK
 from .joins import interp_pchip, track_start_band
-from .sequence import central_gradient, first_below, first_contiguous_segment
+from .sequence import central_gradient, first_contiguous_segment
 
 #: Up to this lag products are formed by shifting; beyond it by FFT per block.
 SHIFT_LIMIT = 96
@@ -145,14 +145,17 @@ def lag_sums(
 
 
 def correlations(sums: DataFrame, by: Sequence[str], values: Sequence[str], dt: float) -> DataFrame:
-    """Raw (per pair) and normalised autocorrelation of every lag: tau, raw_<v>, r_<v>."""
+    """Raw (per pair) and normalised autocorrelation of every lag: tau, raw_<v>, r_<v>.
+
+    A curve has one row per lag, so windows over it are bounded by the largest lag.
+    """
+    w = Window.partitionBy(*by).orderBy("lag")
     raw = sums.withColumns({f"raw_{v}": F.col(f"s_{v}") / F.col("n") for v in values})
-    zero = raw.filter(F.col("lag") == 0).select(*by, *[F.col(f"raw_{v}").alias(f"_z_{v}") for v in values])
-    out = attach(raw, zero, by).withColumn("tau", F.col("lag") * dt)
-    out = out.withColumns(
-        {f"r_{v}": F.when(F.col(f"_z_{v}") != 0, F.col(f"raw_{v}") / F.col(f"_z_{v}")) for v in values}
-    )
-    return out.drop(*[f"_z_{v}" for v in values], *[f"s_{v}" for v in values])
+    out = {"tau": F.col("lag") * dt}
+    for v in values:
+        zero = F.first(f"raw_{v}").over(w)
+        out[f"r_{v}"] = F.when(zero != 0, F.col(f"raw_{v}") / zero)
+    return raw.withColumns(out).drop(*[f"s_{v}" for v in values])
 
 
 def lagrangian_autocorr(
@@ -181,40 +184,47 @@ def banded_autocorr(
     return correlations(both, [*by, "band"], values, dt)
 
 
-def _upto(curve: DataFrame, by: Sequence[str], r: str, threshold: float, inclusive: bool) -> DataFrame:
-    return attach(curve, first_below(curve, by, "lag", r, threshold, "_end", inclusive), by)
+def _panels(by: Sequence[str], r: str, threshold: float, inclusive: bool):
+    """Trapezoid panel ending at a lag, NULL beyond the first lag below the threshold."""
+    ordered = Window.partitionBy(*by).orderBy("lag")
+    whole = Window.partitionBy(*by)
+    low = F.col(r) <= threshold if inclusive else F.col(r) < threshold
+    stop = F.coalesce(F.min(F.when(low, F.col("lag"))).over(whole), F.max("lag").over(whole))
+    area = (F.col("tau") - F.lag("tau").over(ordered)) * (F.col(r) + F.lag(r).over(ordered)) / 2
+    return F.when(F.col("lag") <= stop, area)
 
 
 def integral_timescale(
-    curve: DataFrame, by: Sequence[str], r: str, name: str, threshold: float = math.exp(-1), inclusive: bool = False
+    curve: DataFrame, by: Sequence[str], scales: Mapping[str, str],
+    threshold: float = math.exp(-1), inclusive: bool = False, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Trapezoid of a lag curve up to the first lag below the threshold, else all of it.
+    """Trapezoid of lag curves up to the first lag below the threshold, else all of them.
 
-    A curve has one row per lag, so its length is bounded by the largest lag.
+    ``scales`` maps a result name to a curve column; ``keep`` names columns whose
+    lag-0 value is wanted beside the scales.
     """
-    w = Window.partitionBy(*by).orderBy("lag")
-    area = (F.col("tau") - F.lag("tau").over(w)) * (F.col(r) + F.lag(r).over(w)) / 2
-    panels = _upto(curve, by, r, threshold, inclusive).withColumn("_a", area)
+    panels = curve.withColumns({f"_a_{n}": _panels(by, r, threshold, inclusive) for n, r in scales.items()})
     return panels.groupBy(*by).agg(
-        F.coalesce(F.sum(F.when(F.col("lag") <= F.col("_end"), F.col("_a"))), F.lit(0.0)).alias(name)
+        *[F.coalesce(F.sum(f"_a_{n}"), F.lit(0.0)).alias(n) for n in scales],
+        *[F.max(F.when(F.col("lag") == 0, F.col(c))).alias(c) for c in keep],
     )
 
 
 def eddy_diffusivity(curve: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Time scale tl_<v> and diffusivity d_<v> = raw(0) * time scale."""
-    out = curve.filter(F.col("lag") == 0).select(*by, *[f"raw_{v}" for v in values])
-    for v in values:
-        out = attach(out, integral_timescale(curve, by, f"r_{v}", f"tl_{v}"), by)
-    out = out.withColumns({f"d_{v}": F.col(f"raw_{v}") * F.col(f"tl_{v}") for v in values})
-    return out.drop(*[f"raw_{v}" for v in values])
+    zero = [f"raw_{v}" for v in values]
+    out = integral_timescale(curve, by, {f"tl_{v}": f"r_{v}" for v in values}, keep=zero)
+    return out.withColumns({f"d_{v}": F.col(f"raw_{v}") * F.col(f"tl_{v}") for v in values}).drop(*zero)
 
 
 def exp_model(curve: DataFrame, by: Sequence[str], r: str) -> DataFrame:
     """exp(-tau/T) below two time scales, beside the curve and its log magnitude."""
-    rows = attach(curve, integral_timescale(curve, by, r, "_tl"), by)
+    whole = Window.partitionBy(*by)
+    rows = curve.withColumn("_a", _panels(by, r, math.exp(-1), False))
+    rows = rows.withColumn("_tl", F.coalesce(F.sum("_a").over(whole), F.lit(0.0)))
     model = F.when(F.col("tau") < 2 * F.col("_tl"), F.exp(-F.col("tau") / F.col("_tl")))
     magnitude = F.when(F.col(r) != 0, F.log(F.abs(F.col(r))))
-    return rows.withColumns({"model": model, "log_r": magnitude}).drop("_tl")
+    return rows.withColumns({"model": model, "log_r": magnitude}).drop("_tl", "_a")
 
 
 def survival_curve(
