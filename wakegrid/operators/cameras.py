@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..core import top_k
 from ..functions import optics
@@ -23,6 +24,10 @@ from .joins import camera_pairs, point_pairs
 CAMERA_FIELDS = ("k", "dist", "r", "t", "plate_point", "plate_normal", "idx3")
 
 
+def _doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
 def _stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(float)
 
@@ -31,15 +36,12 @@ def _camera_arrays(cam: pd.DataFrame) -> list[np.ndarray]:
     return [*(_stack(cam[f]) for f in CAMERA_FIELDS), cam["width"].to_numpy(float)]
 
 
-_CAMERA = F.struct(*CAMERA_FIELDS, "width")
-
-
 def with_cameras(obs: DataFrame, cams: DataFrame) -> DataFrame:
     """Observations beside their camera; the camera table is small by nature and joined as such."""
-    return obs.join(cams.select("camera", _CAMERA.alias("_cam")), "camera")
+    return obs.join(cams.select("camera", F.struct(*CAMERA_FIELDS, "width").alias("_cam")), "camera")
 
 
-@F.pandas_udf("ox double, oy double, oz double, dx double, dy double, dz double")
+@F.pandas_udf(_doubles("ox", "oy", "oz", "dx", "dy", "dz"))
 def _sight(u: pd.Series, v: pd.Series, cam: pd.DataFrame) -> pd.DataFrame:
     o, d = optics.lines_of_sight(u.to_numpy(float), v.to_numpy(float), *_camera_arrays(cam))
     return pd.DataFrame(np.hstack([o, d]), columns=["ox", "oy", "oz", "dx", "dy", "dz"])
@@ -120,7 +122,7 @@ def wand_qc(points: DataFrame, by: Sequence[str], frame: str, length: float, tol
     )
 
 
-@F.pandas_udf("u double, v double")
+@F.pandas_udf(_doubles("u", "v"))
 def _pixel(x: pd.Series, y: pd.Series, z: pd.Series, cam: pd.DataFrame) -> pd.DataFrame:
     points = np.stack([x.to_numpy(float), y.to_numpy(float), z.to_numpy(float)], axis=1)
     u, v = optics.project(points, *_camera_arrays(cam))

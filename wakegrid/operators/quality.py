@@ -91,32 +91,28 @@ def jump_gate(
         return pdf, *fold_jumps(rows, start, max_jump, max_gap)
 
     def start_of(right):
-        s = right["_start"].iloc[0] if len(right) else None
+        s = right["_start"].iloc[0]
         return None if s is None else np.asarray(s, float)
 
     def end_state(key, left, right):
-        if not len(left) or not len(right):
-            return type(left)({**{c: [] for c in keys}, "_end": []})
         _, _, state = fold(left, start_of(right))
         out = {c: [left[c].iloc[0]] for c in keys}
         return type(left)({**out, "_end": [None if state is None else state]})
 
     def verdict(key, left, right):
-        if not len(left):
-            return type(left)({**{c: [] for c in by}, "frame": [], "accepted": []})
         pdf, ok, _ = fold(left, start_of(right))
         out = {c: [pdf[c].iloc[0]] * len(pdf) for c in by}
         return type(pdf)({**out, "frame": pdf["frame"].to_numpy(), "accepted": ok})
 
     state = "array<double>"
-    blocks = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    todo = blocks.select(*keys, F.lit(None).cast(state).alias("_start"))
+    todo = data.select(*keys).distinct().select(*keys, F.lit(None).cast(state).alias("_start"))
     ends = None
     started = None
     order = Window.partitionBy(*by).orderBy("_block")
     while True:
         fresh = cut(
-            data.groupBy(*keys)
+            data.join(todo.select(*keys), keys, "left_semi")
+            .groupBy(*keys)
             .cogroup(todo.groupBy(*keys))
             .applyInPandas(end_state, f"{key_schema}, _end {state}")
         )

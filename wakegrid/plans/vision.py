@@ -456,7 +456,7 @@ def flat_cameras(t):
     cols |= {n: choose([c["dist"][i] for c in cams]) for i, n in enumerate(("k1", "k2", "p1", "p2", "k3"))}
     cols |= {n: choose([c["r"][i] for c in cams]) for i, n in enumerate(names)}
     cols |= {f"t{a}": choose([c["t"][i] for c in cams]) + F.col("cam_id") * 1e-3 for i, a in enumerate("xyz")}
-    cols |= {f"C{a}": F.lit(0.0) for a in "xyz"} | {"reproj_rms_px": F.lit(1.0)}
+    cols |= {f"centre_{a}": F.lit(0.0) for a in "xyz"} | {"reproj_rms_px": F.lit(1.0)}
     return base.select("cam_id", *[c.cast("double").alias(n) for n, c in cols.items()])
 
 

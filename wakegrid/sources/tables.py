@@ -54,10 +54,12 @@ def write_observations(obs: DataFrame, path: str, cameras: int, points: int = 2)
     rows.orderBy("Frame", "Camera", "PointIdx").write.mode("error").option("header", True).csv(path)
 
 
+# The file's last columns are the centre; its header differs from cx, cy only in
+# case, so they get names of their own (columns are read by position).
 _CAMERA_COLUMNS = (
     ["fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3"]
     + [f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
-    + ["tx", "ty", "tz", "Cx", "Cy", "Cz", "reproj_rms_px"]
+    + ["tx", "ty", "tz", "centre_x", "centre_y", "centre_z", "reproj_rms_px"]
 )
 CAMERA_SCHEMA = T.StructType(
     [T.StructField("cam_id", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in _CAMERA_COLUMNS]
