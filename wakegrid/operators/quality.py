@@ -85,6 +85,10 @@ def jump_gate(
         .select(*keys, *JUMP_STATE)
     )
 
+    def renewed(df: DataFrame) -> DataFrame:
+        """The same rows under fresh column identities, for joins of a table with its descendants."""
+        return df.toDF(*df.columns)
+
     def fold(pdf, start):
         pdf = pdf.sort_values("frame")
         rows = pdf[list(JUMP_STATE)].to_numpy(float)
@@ -111,28 +115,28 @@ def jump_gate(
     order = Window.partitionBy(*by).orderBy("_block")
     while True:
         fresh = cut(
-            data.join(todo.select(*keys), keys, "left_semi")
+            renewed(data.join(renewed(todo.select(*keys)), keys, "left_semi"))
             .groupBy(*keys)
-            .cogroup(todo.groupBy(*keys))
+            .cogroup(renewed(todo).groupBy(*keys))
             .applyInPandas(end_state, f"{key_schema}, _end {state}")
         )
-        started = todo if started is None else started.join(todo.select(*keys), keys, "left_anti").unionByName(todo)
-        ends = fresh if ends is None else ends.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+        started = todo if started is None else started.join(renewed(todo.select(*keys)), keys, "left_anti").unionByName(todo)
+        ends = fresh if ends is None else ends.join(renewed(fresh.select(*keys)), keys, "left_anti").unionByName(fresh)
         started, ends = cut(started), cut(ends)
         before = ends.select(*keys, F.lag("_end").over(order).alias("_now"))
-        todo = before.join(started, keys).filter(~F.col("_now").eqNullSafe(F.col("_start")))
+        todo = before.join(renewed(started), keys).filter(~F.col("_now").eqNullSafe(F.col("_start")))
         todo = cut(todo.select(*keys, F.col("_now").alias("_start")))
         if todo.isEmpty():
             break
     decided = (
         data.groupBy(*keys)
-        .cogroup(started.groupBy(*keys))
+        .cogroup(renewed(started).groupBy(*keys))
         .applyInPandas(
             verdict,
             "".join(f"`{c}` {fields[c]}, " for c in by) + f"frame {fields['frame']}, accepted boolean",
         )
     )
-    return pairs.join(decided, [*by, "frame"])
+    return pairs.join(renewed(decided), [*by, "frame"])
 
 
 def brightness_ratio_gate(pairs: DataFrame, min_ratio: float | Column, dark: float = 1e-6) -> DataFrame:
