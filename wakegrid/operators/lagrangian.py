@@ -35,10 +35,12 @@ def velocity_fluctuation(
 
 def lag_sums(
     df: DataFrame, by: Sequence[str], track: Sequence[str], index: str, values: Sequence[str],
-    max_lag: int, size: int = BLOCK, method: str = "auto",
+    max_lag: int, size: int = BLOCK, method: str = "auto", ahead: Sequence[str] | None = None,
 ) -> DataFrame:
     """Sum over pairs of v(i)*v(i+lag) pooled over tracks: (by, lag, n, s_<v>...).
 
+    ``ahead`` names another column for the later factor of each value.
+
     Rows are partitioned by (track, block of frames), each block also holding the
     next ``max_lag`` frames, and sorted.  A task walks its rows in Arrow batches
     with all tracks of a batch at once and keeps only ``max_lag`` rows between
@@ -46,16 +48,18 @@ def lag_sums(
     lags whole blocks are correlated by FFT.
     """
     by, track = list(by), list(track)
+    ahead = list(ahead or values)
     size = max(size, max_lag + 1)
     i = F.col(index)
     keys = [*by, *track]
+    needed = list(dict.fromkeys([*values, *ahead]))
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     key_schema = "".join(f"`{c}` {fields[c]}, " for c in by)
     schema = f"{key_schema}lag int, n bigint, " + ", ".join(f"s_{v} double" for v in values)
     first = F.greatest(F.floor((i - max_lag) / size), F.lit(0))
     rows = (
-        df.dropna(subset=list(values))
-        .select(*keys, i, *values, F.explode(F.sequence(first, F.floor(i / size))).alias("_block"))
+        df.dropna(subset=needed)
+        .select(*keys, i, *needed, F.explode(F.sequence(first, F.floor(i / size))).alias("_block"))
         .withColumn("_own", F.floor(i / size) == F.col("_block"))
     )
     segment = [*keys, "_block"]
@@ -88,7 +92,7 @@ def lag_sums(
             v = pdf[c].to_numpy()
             change[1:] |= v[1:] != v[:-1]
         seq, pos = np.cumsum(change), pdf[index].to_numpy()
-        data = pdf[list(values)].to_numpy(float)
+        base, later = pdf[list(values)].to_numpy(float), pdf[ahead].to_numpy(float)
         if by:
             code = pdf.iloc[:bases].groupby(by, dropna=False, sort=False).ngroup().to_numpy()
             heads = pdf.iloc[:bases].drop_duplicates(by)[by].itertuples(index=False, name=None)
@@ -107,7 +111,7 @@ def lag_sums(
             n[:, lag] = np.bincount(code[at], minlength=len(heads))
             for k in range(len(values)):
                 total[:, lag, k] = np.bincount(
-                    code[at], weights=data[at, k] * data[at + lag, k], minlength=len(heads)
+                    code[at], weights=base[at, k] * later[at + lag, k], minlength=len(heads)
                 )
         for g, head in enumerate(heads):
             yield emit(type(pdf), head, lags, n[g], total[g])
@@ -119,14 +123,15 @@ def lag_sums(
         width = 1 << (span + max_lag).bit_length()
         lags = np.arange(max_lag + 1)
 
-        def correlate(ahead, base):
+        def correlate(later, base):
             a, b = np.zeros(width), np.zeros(width)
-            a[pos], b[pos[own]] = ahead, base[own]
+            a[pos], b[pos[own]] = later, base[own]
             return np.fft.irfft(np.fft.rfft(a) * np.conj(np.fft.rfft(b)), width)[: max_lag + 1]
 
         ones = np.ones(len(pdf))
         n = np.rint(correlate(ones, ones)).astype(np.int64)
-        sums = np.stack([correlate(pdf[v].to_numpy(float), pdf[v].to_numpy(float)) for v in values], axis=1)
+        pairs = [(pdf[a].to_numpy(float), pdf[v].to_numpy(float)) for a, v in zip(ahead, values)]
+        sums = np.stack([correlate(a, b) for a, b in pairs], axis=1)
         sums[n == 0] = 0.0
         return emit(type(pdf), [pdf[c].iloc[0] for c in by], lags, n, sums)
 
