@@ -22,6 +22,10 @@ from .sequence import detrend_linear
 INDEX = ("i", "j", "k")
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda s: s[name].cast("double")
+
+
 def transform_lines(
     df: DataFrame, keys: Sequence[str], axis: str, n: int, inputs: Sequence[str], outputs: Sequence[str],
     work: Callable[[np.ndarray], np.ndarray], m: int | None = None, out_axis: str | None = None,
@@ -40,7 +44,7 @@ def transform_lines(
         F.raise_error(F.lit(f"a line along {axis} does not hold {n} nodes"))
     )
     packed = lines.withColumn("_l", checked).select(
-        *keys, *[F.transform("_l", lambda s, c=c: s[c].cast("double")).alias(c) for c in inputs]
+        *keys, *[F.transform("_l", _field(c)).alias(c) for c in inputs]
     )
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:

@@ -15,10 +15,9 @@ from ..operators import turbulence as B
 from ..operators import wind as M
 from ..operators.binning import Axis
 from ..sources import tables as ST
-from .eulerian import LEVEL_MEANS, hot_wire_volts, midpoint_quantile_sql
-from .motion import LEVEL_GRADIENT
+from .eulerian import hot_wire_volts, midpoint_quantile_sql
 from .registry import query
-from .views import FS, PIXELS, SAMPLES, SCADA, SIGNAL, TOWER, TWO_PI, bin_sql, grid_sql, num
+from .views import FS, PIXELS, SAMPLES, SCADA, SIGNAL, TOWER, TWO_PI, grid_sql, num
 
 # ------------------------------------------------------------ periodic fields
 
@@ -534,13 +533,17 @@ def _(t):
 
 @query(
     "p8_angle_diff", ints="turbine n", reals="d w",
-    sql=f"""select turbine, epoch_us(ts) // 1000000 as n, case when abs(wind_dir - yaw) <= 180 then wind_dir - yaw when wind_dir - yaw > 180 then wind_dir - yaw - 360
-        else wind_dir - yaw + 360 end as d, case when yaw > 0 and yaw * 3 - 360 * floor(yaw * 3 / 360) = 0 then 360 else yaw * 3 - 360 * floor(yaw * 3 / 360) end as w
-        from {SCADA} s""",
+    sql=f"""select turbine, epoch_us(ts) // 1000000 as n, case when abs(b - a) <= 180 then b - a when b - a > 180 then b - a - 360 else b - a + 360 end as d,
+        case when a > 0 and a * 3 - 360 * floor(a * 3 / 360) = 0 then 360 else a * 3 - 360 * floor(a * 3 / 360) end as w
+        from (select *, floor(yaw + 1e-6) as a, floor(wind_dir + 1e-6) as b from {SCADA} s) x""",
 )
 def _(t):
+    # Whole degrees, so that differences of exactly 180 occur and are exact.
+    rows = t.scada.withColumns(
+        {c: F.floor(F.col(c) + 1e-6).cast("double") for c in ("yaw", "wind_dir")}
+    )
     stamp = F.unix_seconds(F.col("ts").cast("timestamp"))
-    return t.scada.withColumns({"n": stamp, "d": P.angle_diff("yaw", "wind_dir"), "w": P.wrap360(F.col("yaw") * 3)})
+    return rows.withColumns({"n": stamp, "d": P.angle_diff("yaw", "wind_dir"), "w": P.wrap360(F.col("yaw") * 3)})
 
 
 @query(
@@ -650,8 +653,8 @@ def _(t):
     return X.subtract_background(t.pixels, X.temporal_background(t.pixels, "mean", 5))
 
 
-DENSE = f"""(select cam, frame, row, col, coalesce(value, 0) as value from (select distinct cam, frame from {PIXELS} p) f,
-    (select unnest(range(16)) as row) r, (select unnest(range(16)) as col) c left join {PIXELS} v using (cam, frame, row, col))"""
+DENSE = f"""(select cam, frame, row, col, coalesce(value, 0) as value from (select * from (select distinct cam, frame from {PIXELS} p) f,
+    (select unnest(range(16)) as row) r, (select unnest(range(16)) as col) c) every left join {PIXELS} v using (cam, frame, row, col))"""
 
 
 def dense(t):
@@ -782,7 +785,7 @@ def _(t):
 
 @query(
     "x11_otsu_threshold", ints="cam frame threshold",
-    sql=f"""with h as (select cam, frame, level, coalesce(n, 0) as n from (select distinct cam, frame from {PIXELS} p) f, (select unnest(range(256)) as level) l
+    sql=f"""with h as (select cam, frame, level, coalesce(n, 0) as n from (select * from (select distinct cam, frame from {PIXELS} p) f, (select unnest(range(256)) as level) l) every
           left join (select cam, frame, least(value, 255) as level, count(*) as n from {PIXELS} p where value between 0 and 256 group by 1, 2, 3) x using (cam, frame, level)),
         p as (select cam, frame, level, n / sum(n) over (partition by cam, frame) as p from h),
         c as (select *, sum(p) over o as w, sum(p * level) over o as mu, sum(p * level) over (partition by cam, frame) as mt from p
