@@ -348,7 +348,8 @@ def align_repeats(
 
 
 def interp_long(
-    df: DataFrame, x: str, table: DataFrame, tx: str, values: Sequence[str], by: Sequence[str], suffix: str = ""
+    df: DataFrame, x: str, table: DataFrame, tx: str, values: Sequence[str], by: Sequence[str], suffix: str = "",
+    nodes_per_slot: int = 4096,
 ) -> DataFrame:
     """``interp_linear`` for long curves (millions of nodes per group).
 
@@ -360,7 +361,7 @@ def interp_long(
     ranges = table.dropna(subset=[tx, *values]).groupBy(*by).agg(
         F.min(tx).alias("_lo"), F.max(tx).alias("_hi"), F.count(F.lit(1)).alias("_m")
     ).filter(F.col("_m") > 1)
-    slots = F.greatest(F.floor(F.col("_m") / 4096), F.lit(1))
+    slots = F.greatest(F.floor(F.col("_m") / nodes_per_slot), F.lit(1))
 
     def slot(v):
         raw = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slots)

@@ -100,18 +100,23 @@ def lag_sums(
         else:
             code, heads = np.zeros(bases, int), [()]
         lags = np.arange(max_lag + 1)
+        where = seq * (1 << 42) + pos
+        dense = bool(((np.diff(pos) == 1) | (np.diff(seq) > 0)).all())
         n = np.zeros((len(heads), max_lag + 1), np.int64)
         total = np.zeros((len(heads), max_lag + 1, len(values)))
         for lag in lags:
-            m = min(bases, len(pdf) - lag)
-            if m <= 0:
-                break
-            good = own[:m] & (seq[:m] == seq[lag : lag + m]) & (pos[lag : lag + m] - pos[:m] == lag)
-            at = np.flatnonzero(good)
+            if dense:  # the partner is lag rows further on
+                m = max(min(bases, len(pdf) - lag), 0)
+                at = np.flatnonzero(own[:m] & (seq[:m] == seq[lag : lag + m]))
+                to = at + lag
+            else:
+                spot = np.minimum(np.searchsorted(where, where[:bases] + lag), len(pdf) - 1)
+                at = np.flatnonzero(own & (where[spot] == where[:bases] + lag))
+                to = spot[at]
             n[:, lag] = np.bincount(code[at], minlength=len(heads))
             for k in range(len(values)):
                 total[:, lag, k] = np.bincount(
-                    code[at], weights=base[at, k] * later[at + lag, k], minlength=len(heads)
+                    code[at], weights=base[at, k] * later[to, k], minlength=len(heads)
                 )
         for g, head in enumerate(heads):
             yield emit(type(pdf), head, lags, n[g], total[g])

@@ -431,6 +431,18 @@ def _(t):
 # ------------------------------------------------------ files and round trips
 
 
+@query(
+    "s4_read_observations", texts="status", ints="camera n", reals="x metric",
+    sql=f"""select 'Filtered_Small' as status, camera, count(*) as n, avg(x) as x, avg(metric) as metric from {OBS} o
+        where idx = 0 and frame in (select frame from {COMPLETE} c) group by camera""",
+)
+def _(t):
+    path = scratch_path(t.spark, "observations")
+    ST.observation_rows(t.obs, 4).write.option("header", True).csv(path)
+    small = ST.read_observations(t.spark, path).filter(F.col("status") == "Filtered_Small")
+    return small.groupBy("status", "camera").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("metric").alias("metric"))
+
+
 @query(
     "s5_write_observations", texts="status", ints="frame camera idx", reals="x y radius metric",
     sql=f"""select frame, camera, case when idx = 0 then 'Filtered_Small' else 'Filtered_Large' end as status, idx, x, y, radius, metric

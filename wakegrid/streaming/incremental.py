@@ -8,8 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.binning import Axis, with_bins
 from ..operators.quality import JUMP_STATE, fold_jumps
@@ -39,47 +38,29 @@ def bin_moments_to_stats(moments: DataFrame, values: Sequence[str]) -> DataFrame
     return moments.withColumns(out).drop(*[f"{k}_{v}" for v in values for k in "sq"])
 
 
-class JumpGate(StatefulProcessor):
-    """Keeps the last accepted frame of a camera and rates the frames of each micro-batch."""
-
-    def __init__(self, keys: Sequence[str], max_jump: float, max_gap: int):
-        self.keys, self.max_jump, self.max_gap = list(keys), max_jump, max_gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = ", ".join(f"{c} double" for c in JUMP_STATE)
-        self._last = handle.getValueState("last", schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chunks = [c for c in rows if len(c)]
-        if not chunks:
-            return
-        batch = pd.concat(chunks).sort_values("frame", kind="stable")
-        start = np.asarray(self._last.get(), float) if self._last.exists() else None
-        accepted, last = fold_jumps(batch[list(JUMP_STATE)].to_numpy(float), start, self.max_jump, self.max_gap)
-        if last is not None:
-            self._last.update(tuple(float(v) for v in last))
-        key = key if isinstance(key, tuple) else (key,)
-        out = {c: [v] * len(batch) for c, v in zip(self.keys, key)}
-        yield pd.DataFrame({**out, "frame": batch["frame"].to_numpy(), "accepted": accepted})
-
-    def close(self) -> None:
-        return None
-
-
 def stream_jump_gate(
     pairs: DataFrame, by: Sequence[str], max_jump: float, max_gap: int = 5, mode: str = "append"
 ) -> DataFrame:
     """Jump gate over a stream: (by, frame, accepted).
 
-    Frames of a camera have to arrive in order across micro-batches.  Needs the
-    RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    The state of a camera is its last accepted frame.  Frames of a camera have
+    to arrive in order across micro-batches; within one they are sorted.
     """
-    fields = {f.name: f for f in pairs.schema.fields}
-    schema = StructType([fields[c] for c in [*by, "frame"]]).add("accepted", "boolean")
+    by = list(by)
+    fields = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    output = "".join(f"`{c}` {fields[c]}, " for c in [*by, "frame"]) + "accepted boolean"
+    state_schema = ", ".join(f"{c} double" for c in JUMP_STATE)
+
+    def rate(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(chunks)).sort_values("frame", kind="stable")
+        start = np.asarray(state.get, float) if state.exists else None
+        accepted, last = fold_jumps(batch[list(JUMP_STATE)].to_numpy(float), start, max_jump, max_gap)
+        if last is not None:
+            state.update(tuple(float(v) for v in last))
+        out = {c: [v] * len(batch) for c, v in zip(by, key)}
+        yield pd.DataFrame({**out, "frame": batch["frame"].to_numpy(), "accepted": accepted})
+
     rows = pairs.dropna(subset=list(JUMP_STATE)).select(*by, *JUMP_STATE)
-    return rows.groupBy(*by).transformWithStateInPandas(
-        statefulProcessor=JumpGate(by, max_jump, max_gap), outputStructType=schema, outputMode=mode, timeMode="None"
+    return rows.groupBy(*by).applyInPandasWithState(
+        rate, output, state_schema, mode, GroupStateTimeout.NoTimeout
     )
-
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
