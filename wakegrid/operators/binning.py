@@ -316,7 +316,7 @@ def fit_errors(df: DataFrame, predicted: str, actual: str, by: Sequence[str] = (
 
 
 def gramian(df: DataFrame, vector: str, width: int, by: Sequence[str] = ()) -> DataFrame:
-    """Upper triangle of the sum of v vᵀ over rows: (by, i, j, g).
+    """Upper triangle of the sum of v vᵀ over rows: (by, _i, _j, _g).
 
     Each Arrow batch is reduced to its own width x width product before the
     shuffle, so the exchange carries matrices and not rows.
@@ -332,12 +332,12 @@ def gramian(df: DataFrame, vector: str, width: int, by: Sequence[str] = ()) -> D
             groups = pdf.groupby(by, sort=False) if by else [((), pdf)]
             for key, part in groups:
                 m = np.stack(part["_v"].to_numpy()).astype(float)
-                out = {"i": upper_i, "j": upper_j, "g": (m.T @ m)[upper_i, upper_j]}
+                out = {"_i": upper_i, "_j": upper_j, "_g": (m.T @ m)[upper_i, upper_j]}
                 frame = {c: [k] * len(upper_i) for c, k in zip(by, key)}
                 yield type(pdf)({**frame, **out})
 
-    parts = kept.mapInPandas(partial, f"{schema}i int, j int, g double")
-    return parts.groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
+    parts = kept.mapInPandas(partial, f"{schema}_i int, _j int, _g double")
+    return parts.groupBy(*by, "_i", "_j").agg(F.sum("_g").alias("_g"))
 
 
 def singular_energy(
@@ -350,8 +350,8 @@ def singular_energy(
     """
     by = list(by)
     g = gramian(df, vector, width, by)
-    packed = g.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "j", "g"))).alias("_g"))
-    packed = packed.withColumn("_g", F.transform("_g", lambda s: s["g"]))
+    packed = g.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_j", "_g"))).alias("_g"))
+    packed = packed.withColumn("_g", F.transform("_g", lambda s: s["_g"]))
     fields = [f for f in packed.schema.fields if f.name in by]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
     iu = np.triu_indices(width)
