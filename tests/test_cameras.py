@@ -105,13 +105,14 @@ def true_rays(scene, cams):
             yield (i // 2, i % 2, c["camera"], *map(float, p - 0.3 * d), *map(float, d))
 
 
-def test_noise_free_triangulation_returns_the_points(spark, scene):
+@pytest.mark.parametrize("cameras", [None, [0, 1, 2, 3]])
+def test_noise_free_triangulation_returns_the_points(spark, scene, cameras):
     rows = list(true_rays(scene, camera_list()))
     rays = spark.createDataFrame(rows, "frame int, idx int, camera int, ox double, oy double, oz double, dx double, dy double, dz double")
-    got = C.triangulate(rays, ["frame", "idx"]).toPandas().sort_values(["frame", "idx"])
+    got = C.triangulate(rays, ["frame", "idx"], cameras).toPandas().sort_values(["frame", "idx"])
     np.testing.assert_allclose(got[["px", "py", "pz"]], scene, atol=1e-9)
     assert got["residual"].max() < 1e-9
-    single = C.triangulate(rays.filter("camera = 0"), ["frame", "idx"])
+    single = C.triangulate(rays.filter("camera = 0"), ["frame", "idx"], cameras)
     assert single.count() == 0  # one ray does not fix a point
 
 

@@ -171,28 +171,22 @@ def exact_quantiles(
             )
         )
     sketch = sketch.select(*by, "_n", F.array(*wanted).alias("_w"))
-    counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    tagged = attach(counted, sketch, by).withColumn("_q", F.explode("_w")).drop("_w")
-    below = F.col("_v") < F.col("_q.lo")
-    above = F.col("_v") > F.col("_q.hi")
-    less = tagged.groupBy(*by, F.col("_q.i").alias("_i")).agg(
-        F.coalesce(F.sum(F.when(below, F.col("_c"))), F.lit(0)).alias("_less")
+    tagged = attach(rows, sketch, by).select(*by, "_n", "_v", F.explode("_w").alias("_q"))
+    low, high = F.col("_q.lo"), F.col("_q.hi")
+    kept = tagged.filter(high.isNull() | (F.col("_v") <= high))
+    # Everything under the bracket is one counter with a NULL value, which sorts first.
+    bucket = F.when(low.isNull() | (F.col("_v") >= low), F.col("_v"))
+    counted = kept.groupBy(*by, F.col("_q.i").alias("_i"), bucket.alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_q.h").alias("_h"), F.max("_n").alias("_n")
     )
-    near = tagged.filter(~F.coalesce(below | above, F.lit(False))).select(
-        *by, F.col("_q.i").alias("_i"), F.col("_q.h").alias("_h"), "_n", "_v", "_c"
-    )
-    order = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(
+    order = Window.partitionBy(*by, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = near.join(less, by + ["_i"]).withColumn(
-        "_cum", F.sum("_c").over(order) + F.col("_less")
-    )
+    ranked = counted.withColumn("_cum", F.sum("_c").over(order))
     k = F.floor("_h")
     picked = ranked.groupBy(*by, "_i").agg(
         F.max("_h").alias("_h"),
-        F.max("_less").alias("_less"),
-        F.max("_cum").alias("_top"),
-        F.max("_n").alias("_n"),
+        F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_less"),
         F.min(F.when(F.col("_cum") >= k, F.col("_v"))).alias("_a"),
         F.min(F.when(F.col("_cum") >= F.least(k + 1, F.col("_n")), F.col("_v"))).alias("_b"),
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import top_k
+from ..core import small_table, top_k
 from ..functions import optics
 from ..functions.linear import solve3, symmetric3
 from .joins import camera_pairs, point_pairs
@@ -28,28 +28,40 @@ def _doubles(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
 
-def _stack(series: pd.Series) -> np.ndarray:
-    return np.stack(series.to_numpy()).astype(float)
+class Rig:
+    """The cameras as arrays that go to the tasks; a rig has few cameras, which is checked."""
 
+    LIMIT = 1 << 14
 
-def _camera_arrays(cam: pd.DataFrame) -> list[np.ndarray]:
-    return [*(_stack(cam[f]) for f in CAMERA_FIELDS), cam["width"].to_numpy(float)]
+    def __init__(self, cams: DataFrame):
+        rows = sorted(small_table(cams.select("camera", *CAMERA_FIELDS, "width"), self.LIMIT), key=lambda r: r["camera"])
+        self.ids = np.array([r["camera"] for r in rows], np.int64)
+        if len(np.unique(self.ids)) != len(rows):
+            raise ValueError("a camera is listed twice")
+        self.arrays = [np.array([r[f] for r in rows], float) for f in (*CAMERA_FIELDS, "width")]
 
-
-def with_cameras(obs: DataFrame, cams: DataFrame) -> DataFrame:
-    """Observations beside their camera; the camera table is small by nature and joined as such."""
-    return obs.join(cams.select("camera", F.struct(*CAMERA_FIELDS, "width").alias("_cam")), "camera")
-
-
-@F.pandas_udf(_doubles("ox", "oy", "oz", "dx", "dy", "dz"))
-def _sight(u: pd.Series, v: pd.Series, cam: pd.DataFrame) -> pd.DataFrame:
-    o, d = optics.lines_of_sight(u.to_numpy(float), v.to_numpy(float), *_camera_arrays(cam))
-    return pd.DataFrame(np.hstack([o, d]), columns=["ox", "oy", "oz", "dx", "dy", "dz"])
+    def of(self, camera: pd.Series) -> list[np.ndarray]:
+        """The camera of every row; an unknown camera gives NaN."""
+        wanted = camera.to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(self.ids, wanted), len(self.ids) - 1)
+        known = self.ids[at] == wanted
+        out = [a[at] for a in self.arrays]
+        out[0] = np.where(known[:, None], out[0], np.nan)
+        return out
 
 
 def lines_of_sight(obs: DataFrame, cams: DataFrame) -> DataFrame:
     """Each observed pixel with its ray in the object medium; NULL where the ray is lost."""
-    rays = with_cameras(obs, cams).withColumn("_ray", _sight("x", "y", "_cam")).drop("_cam")
+    rig = Rig(cams)
+
+    @F.pandas_udf(_doubles("ox", "oy", "oz", "dx", "dy", "dz"))
+    def sight(camera: pd.Series, u: pd.Series, v: pd.Series) -> pd.DataFrame:
+        o, d = optics.lines_of_sight(u.to_numpy(float), v.to_numpy(float), *rig.of(camera))
+        return pd.DataFrame(np.hstack([o, d]), columns=["ox", "oy", "oz", "dx", "dy", "dz"])
+
+    seen = obs.dropna(subset=["camera", "x", "y"])
+    # "Nondeterministic" keeps filters on the result from running the function a second time.
+    rays = seen.withColumn("_ray", sight.asNondeterministic()("camera", "x", "y"))
     parts = {c: F.col("_ray")[c] for c in ("ox", "oy", "oz", "dx", "dy", "dz")}
     rays = rays.withColumns({c: F.when(~F.isnan(v), v) for c, v in parts.items()})
     return rays.drop("_ray")
@@ -73,22 +85,28 @@ def ray_point_distance(o: Sequence[Column], d: Sequence[Column], p: Sequence[Col
     return F.sqrt(sum((F.pow(delta[i] - along * d[i], 2) for i in range(3)), F.lit(0.0)))
 
 
-def triangulate(rays: DataFrame, by: Sequence[str]) -> DataFrame:
+_AXES = tuple(a + b for i, a in enumerate("xyz") for b in "xyz"[i:])
+
+
+def triangulate(rays: DataFrame, by: Sequence[str], cameras: Sequence[int] | None = None) -> DataFrame:
     """Least-squares closest point of each group of rays: px, py, pz, rays, residual.
 
-    Nine sums per group, a closed-form 3x3 solve, and the mean distance from a
-    second look at the rays.
+    With the list of cameras, one aggregate puts the rays of a point side by side
+    (one per camera); points and mean distances are then solved in batches.
+    Without it, nine sums give the point and a join with the rays the distance.
     """
-    o = [F.col(c) for c in ("ox", "oy", "oz")]
-    d = [F.col(c) for c in ("dx", "dy", "dz")]
-    good = rays.dropna(subset=["ox", "oy", "oz", "dx", "dy", "dz"])
+    names = ["ox", "oy", "oz", "dx", "dy", "dz"]
+    good = rays.dropna(subset=names)
+    if cameras is not None:
+        return _triangulate_side_by_side(good, by, sorted(cameras))
+    o, d = [F.col(c) for c in names[:3]], [F.col(c) for c in names[3:]]
     m, b = _projector(o, d)
     sums = good.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rays"),
-        *[F.sum(c).alias(f"_m{k}") for k, c in m.items()],
+        *[F.sum(m[k]).alias(f"_m{k}") for k in _AXES],
         *[F.sum(c).alias(f"_b{i}") for i, c in enumerate(b)],
     )
-    p = solve3({k: F.col(f"_m{k}") for k in m}, tuple(F.col(f"_b{i}") for i in range(3)))
+    p = solve3({k: F.col(f"_m{k}") for k in _AXES}, tuple(F.col(f"_b{i}") for i in range(3)))
     points = sums.select(*by, "rays", *[c.alias(f"p{a}") for a, c in zip("xyz", p)])
     both = good.select(*by, *o, *d).join(points, list(by))
     gap = ray_point_distance(o, d, [F.col(f"p{a}") for a in "xyz"])
@@ -98,6 +116,39 @@ def triangulate(rays: DataFrame, by: Sequence[str]) -> DataFrame:
     return resid.dropna(subset=["px", "py", "pz"])
 
 
+def _triangulate_side_by_side(good: DataFrame, by: Sequence[str], cameras: Sequence[int]) -> DataFrame:
+    names = ["ox", "oy", "oz", "dx", "dy", "dz"]
+    by = list(by)
+    wide = good.groupBy(*by).agg(
+        *[F.max(F.when(F.col("camera") == c, F.struct(*names))).alias(f"_r{c}") for c in cameras]
+    )
+    flat = wide.select(*by, *[F.col(f"_r{c}")[n].alias(f"_{n}{c}") for c in cameras for n in names])
+    columns = [f"_{n}{c}" for c in cameras for n in names]
+    eye = np.eye(3)
+
+    def closest(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            data = pdf[columns].to_numpy(float).reshape(len(pdf), len(cameras), 2, 3)
+            o, d = data[:, :, 0], data[:, :, 1]
+            seen = np.isfinite(d[:, :, 0])
+            m = np.where(seen[:, :, None, None], eye - d[:, :, :, None] * d[:, :, None, :], 0.0)
+            o = np.where(seen[:, :, None], o, 0.0)
+            a = m.sum(axis=1)
+            good_rows = np.abs(np.linalg.det(a)) > 1e-12 * (np.trace(a, axis1=1, axis2=2) / 3) ** 3
+            p = np.full((len(pdf), 3), np.nan)
+            rhs = np.einsum("ncij,ncj->ni", m, o)
+            p[good_rows] = np.linalg.solve(a[good_rows], rhs[good_rows][:, :, None])[:, :, 0]
+            gap = np.sqrt((np.einsum("ncij,ncj->nci", m, p[:, None] - o) ** 2).sum(axis=2))
+            out = pdf[by].copy()
+            out["rays"] = seen.sum(axis=1)
+            out[["px", "py", "pz"]] = p
+            out["residual"] = gap.sum(axis=1) / np.maximum(out["rays"].to_numpy(), 1)
+            yield out[good_rows]
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wide.schema.fields if f.name in by)
+    return flat.mapInPandas(closest, schema + "rays bigint, px double, py double, pz double, residual double")
+
+
 def wand_lengths(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """Both triangulated ends of a frame side by side, with their distance."""
     pairs = point_pairs(points, by, ["px", "py", "pz", "residual"])
@@ -122,16 +173,19 @@ def wand_qc(points: DataFrame, by: Sequence[str], frame: str, length: float, tol
     )
 
 
-@F.pandas_udf(_doubles("u", "v"))
-def _pixel(x: pd.Series, y: pd.Series, z: pd.Series, cam: pd.DataFrame) -> pd.DataFrame:
-    points = np.stack([x.to_numpy(float), y.to_numpy(float), z.to_numpy(float)], axis=1)
-    u, v = optics.project(points, *_camera_arrays(cam))
-    return pd.DataFrame({"u": u, "v": v})
-
-
 def project(points: DataFrame, cams: DataFrame, image: tuple[int, int] | None = None) -> DataFrame:
     """Pixels u, v of points px, py, pz in the camera named per row, and whether they are in the image."""
-    rows = with_cameras(points, cams).withColumn("_uv", _pixel("px", "py", "pz", "_cam")).drop("_cam")
+    rig = Rig(cams)
+
+    @F.pandas_udf(_doubles("u", "v"))
+    def pixel(camera: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series) -> pd.DataFrame:
+        at = np.stack([x.to_numpy(float), y.to_numpy(float), z.to_numpy(float)], axis=1)
+        u, v = optics.project(at, *rig.of(camera))
+        return pd.DataFrame({"u": u, "v": v})
+
+    rows = points.dropna(subset=["camera", "px", "py", "pz"]).withColumn(
+        "_uv", pixel.asNondeterministic()("camera", "px", "py", "pz")
+    )
     rows = rows.withColumns({c: F.when(~F.isnan(F.col("_uv")[c]), F.col("_uv")[c]) for c in "uv"}).drop("_uv")
     if image is None:
         return rows
@@ -161,7 +215,8 @@ def reprojection_rms(errors: DataFrame, by: Sequence[str], frame: str) -> DataFr
 
 
 def reconstruct(
-    obs: DataFrame, cams: DataFrame, by: Sequence[str], min_cameras: int = 2, max_px: float = 2.0
+    obs: DataFrame, cams: DataFrame, by: Sequence[str], min_cameras: int = 2, max_px: float = 2.0,
+    cameras: Sequence[int] | None = None,
 ) -> DataFrame:
     """Every particle with position, cameras seen, errors and status.
 
@@ -169,7 +224,7 @@ def reconstruct(
     account for all particles.
     """
     seen = obs.groupBy(*by).agg(F.countDistinct("camera").alias("cameras"))
-    points = triangulate(lines_of_sight(obs, cams), by)
+    points = triangulate(lines_of_sight(obs, cams), by, cameras)
     errors = reprojection_errors(obs, points, cams, by).groupBy(*by).agg(
         F.max("err").alias("max_err"), F.avg("err").alias("mean_err")
     )
@@ -199,12 +254,13 @@ def position_sigma(
     inverted in batches; rank-deficient points get infinity.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in errors.schema.fields if f.name in by)
+    rig = Rig(cams)
 
     def normal_terms(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            cam = _camera_arrays(pd.DataFrame(list(pdf["_cam"])))
+            cam = rig.of(pdf["camera"])
             x = pdf[["px", "py", "pz"]].to_numpy(float)
             jac = np.empty((len(pdf), 2, 3))
             for a in range(3):
@@ -220,7 +276,7 @@ def position_sigma(
                 out[f"m{k}"] = m[:, i, j]
             yield out.dropna(subset=[f"m{k}" for k in range(6)])
 
-    terms = with_cameras(errors.dropna(subset=["px", "err"]), cams).mapInPandas(
+    terms = errors.select(*by, "camera", "px", "py", "pz", "err").dropna().mapInPandas(
         normal_terms, schema + "".join(f", m{k} double" for k in range(6))
     )
     sums = terms.groupBy(*by).agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(6)])

@@ -43,9 +43,9 @@ def lag_sums(
 
     Rows are partitioned by (track, block of frames), each block also holding the
     next ``max_lag`` frames, and sorted.  A task walks its rows in Arrow batches
-    with all tracks of a batch at once and keeps only ``max_lag`` rows between
-    batches, so neither a track nor a partition has to fit in memory.  For long
-    lags whole blocks are correlated by FFT.
+    with all tracks of a batch at once and keeps only ``max_lag`` rows (or one
+    block) between batches, so neither a track nor a partition has to fit in
+    memory.  For long lags whole blocks are correlated by FFT.
     """
     by, track = list(by), list(track)
     ahead = list(ahead or values)
@@ -121,32 +121,56 @@ def lag_sums(
         for g, head in enumerate(heads):
             yield emit(type(pdf), head, lags, n[g], total[g])
 
-    def by_fft(pdf):
-        lo = int(pdf[index].min())
-        span = int(pdf[index].max()) - lo + 1
-        pos, own = pdf[index].to_numpy() - lo, pdf["_own"].to_numpy(bool)
-        width = 1 << (span + max_lag).bit_length()
+    def by_fft(batches):
+        pending = None
+        for pdf in batches:
+            if pending is not None:
+                pdf = type(pdf)({c: np.concatenate([pending[c].to_numpy(), pdf[c].to_numpy()]) for c in pdf})
+            starts = segment_starts(pdf)
+            yield from transformed(pdf, starts, len(starts) - 1)  # the last block may go on
+            pending = pdf.iloc[starts[-1] :]
+        if pending is not None and len(pending):
+            yield from transformed(pending, np.array([0]), 1)
+
+    def segment_starts(pdf):
+        change = np.zeros(len(pdf), bool)
+        change[0] = True
+        for c in segment:
+            v = pdf[c].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(change)
+
+    def transformed(pdf, starts, count):
+        """Correlate whole blocks; those of one width and group share one inverse transform."""
+        if not count:
+            return
+        stops = np.r_[starts, len(pdf)][1 : count + 1]
+        starts = starts[:count]
+        pos, own = pdf[index].to_numpy(), pdf["_own"].to_numpy(bool)
+        cols = {c: pdf[c].to_numpy(float) for c in needed}
+        cols[None] = np.ones(len(pdf))
+        factors = [(None, None), *zip(ahead, values)]
+        width = 1 << np.array([int(pos[b - 1] - pos[a] + 1 + max_lag).bit_length() for a, b in zip(starts, stops)])
+        heads = list(pdf.iloc[starts][by].itertuples(index=False, name=None)) if by else [()] * count
+        total = {}
+        for a, b, w, head in zip(starts, stops, width.tolist(), heads):
+            at, mine = pos[a:b] - pos[a], own[a:b]
+            sums = total.setdefault((head, w), np.zeros((len(factors), w // 2 + 1), complex))
+            for q, (later, base) in enumerate(factors):
+                x, y = np.zeros(w), np.zeros(w)
+                x[at], y[at[mine]] = cols[later][a:b], cols[base][a:b][mine]
+                sums[q] += np.fft.rfft(x) * np.conj(np.fft.rfft(y))
         lags = np.arange(max_lag + 1)
+        for (head, w), sums in total.items():
+            curves = np.fft.irfft(sums, w, axis=1)[:, : max_lag + 1]
+            n = np.rint(curves[0]).astype(np.int64)
+            yield emit(type(pdf), head, lags, n, np.where(n > 0, curves[1:], 0.0).T)
 
-        def correlate(later, base):
-            a, b = np.zeros(width), np.zeros(width)
-            a[pos], b[pos[own]] = later, base[own]
-            return np.fft.irfft(np.fft.rfft(a) * np.conj(np.fft.rfft(b)), width)[: max_lag + 1]
-
-        ones = np.ones(len(pdf))
-        n = np.rint(correlate(ones, ones)).astype(np.int64)
-        pairs = [(pdf[a].to_numpy(float), pdf[v].to_numpy(float)) for a, v in zip(ahead, values)]
-        sums = np.stack([correlate(a, b) for a, b in pairs], axis=1)
-        sums[n == 0] = 0.0
-        return emit(type(pdf), [pdf[c].iloc[0] for c in by], lags, n, sums)
-
-    if method == "shift":
-        ordered = rows.repartition(*segment).sortWithinPartitions(*segment, index)
-        parts = ordered.mapInPandas(by_shift, schema)
-    elif method == "fft":
-        parts = rows.groupBy(*keys, "_block").applyInPandas(by_fft, schema)
-    else:
+    work = {"shift": by_shift, "fft": by_fft}.get(method)
+    if work is None:
         raise ValueError("method is auto, shift or fft")
+    ordered = rows.repartition(*segment).sortWithinPartitions(*segment, index)
+    parts = ordered.mapInPandas(work, schema)
     return (
         parts.groupBy(*by, "lag")
         .agg(F.sum("n").alias("n"), *[F.sum(f"s_{v}").alias(f"s_{v}") for v in values])

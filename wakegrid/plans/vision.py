@@ -163,7 +163,7 @@ def _(t):
         from {SEEN} s group by run, frame, idx""",
 )
 def _(t):
-    return C.triangulate(C.lines_of_sight(*observed(t)), BY)
+    return C.triangulate(C.lines_of_sight(*observed(t)), BY, CAMERAS)
 
 
 @query(
@@ -172,7 +172,7 @@ def _(t):
         0e0 as mean_residual, 0e0 as error_pct from (select run, frame, avg(tz) as mz from {TRUTH} t group by run, frame) f group by run""",
 )
 def _(t):
-    points = C.triangulate(C.lines_of_sight(*observed(t)), BY)
+    points = C.triangulate(C.lines_of_sight(*observed(t)), BY, CAMERAS)
     return C.wand_qc(points, ["run"], "frame", WAND, 1e-3, 6e-4)
 
 
@@ -209,13 +209,13 @@ DISTURBED = f"""(select run, frame, idx, count(*) as cameras, max(case when fram
         count(*) as n, avg(cameras) as cameras from {DISTURBED} d group by 1, 2""",
 )
 def _(t):
-    return C.reconstruction_counts(C.reconstruct(*disturbed(t), BY, 2, 2.0), ["run"])
+    return C.reconstruction_counts(C.reconstruct(*disturbed(t), BY, 2, 2.0, CAMERAS), ["run"])
 
 
 @query("c7_position_sigma", ints="frame idx", reals="sx sy sz", digits=7)
 def _(t):
     obs, cams = observed(t, noise=True, index=(1.333, 1.49, 1.0003))
-    points = C.triangulate(C.lines_of_sight(obs, cams), BY)
+    points = C.triangulate(C.lines_of_sight(obs, cams), BY, CAMERAS)
     errors = C.reprojection_errors(obs, points, cams, BY)
     return C.position_sigma(errors, cams, ["frame", "idx"])
 
@@ -304,7 +304,7 @@ def _(t):
         (select run, 1000 * 0.001e0 * (frame % 5) as e from {TRUTH} t) x group by run""",
 )
 def _(t):
-    points = C.triangulate(C.lines_of_sight(*observed(t)), BY)
+    points = C.triangulate(C.lines_of_sight(*observed(t)), BY, CAMERAS)
     known = truth(t).withColumn("tx", F.col("tx") + 0.001 * (F.col("frame") % 5))
     return C.truth_errors(points, known, BY, ["run"])
 
