@@ -97,11 +97,12 @@ def ftle(
     return g.withColumn("sigma", F.log("smax") / abs(float(window)))
 
 
-def ftle_counts(field: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Seeds, accepted and rejected seeds per window."""
+def ftle_counts(field: DataFrame, by: Sequence[str], value: str | None = None) -> DataFrame:
+    """Seeds, accepted and rejected seeds per window, and the mean of ``value`` if named."""
     kept = F.count(F.when(F.col("valid"), 1))
     total = F.count(F.lit(1))
-    return field.groupBy(*by).agg(total.alias("seeds"), kept.alias("kept"), (total - kept).alias("rejected"))
+    mean = [F.avg(value).alias(value)] if value else []
+    return field.groupBy(*by).agg(total.alias("seeds"), kept.alias("kept"), (total - kept).alias("rejected"), *mean)
 
 
 def ftle_windows(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import ftle as E
@@ -9,7 +11,7 @@ from ..operators import neighbours as N
 from ..operators.binning import Axis
 from .eulerian import midpoint_quantile_sql
 from .registry import query
-from .views import DT, FLOW, SAMPLES, num
+from .views import DT, FLOW, PIXELS, SAMPLES, TRACKS, num
 
 RADIUS = 0.12
 BY = ["label"]
@@ -36,8 +38,14 @@ def _(t):
     return N.knn(t.flow, [], "seed", ["x", "y", "z"], 12)
 
 
+_BRIGHT = f"(select cam, frame, row, col from {PIXELS} px where value > 120)"
+
+
 @query(
     "j10b_nearest_2d", ints="frame cam n", reals="median_nn", digits=4,
+    sql=f"""select cam, frame, count(*) as n, median(d) as median_nn from (
+        select a.cam, a.frame, a.row, a.col, min(sqrt(power(a.row - b.row, 2) + power(a.col - b.col, 2))) as d from {_BRIGHT} a join {_BRIGHT} b
+        on a.cam = b.cam and a.frame = b.frame and (a.row <> b.row or a.col <> b.col) group by a.cam, a.frame, a.row, a.col) m group by cam, frame""",
 )
 def _(t):
     p = t.pixels.filter(F.col("value") > 120).select(
@@ -47,17 +55,69 @@ def _(t):
     return near.groupBy("cam", "frame").agg(F.count(F.lit(1)).alias("n"), F.median("dist").alias("median_nn"))
 
 
-@query("e1_deformation_gradient", ints="seed valid", reals="smax", digits=5)
+def _sym(i: int, j: int) -> str:
+    return f"{min(i, j)}{max(i, j)}"
+
+
+def _eigen_sql(m: str, source: str) -> str:
+    """Adds <m>_hi and <m>_lo, the extreme eigenvalues of the symmetric 3x3 matrix in columns <m>ij."""
+    q = f"(({m}00 + {m}11 + {m}22) / 3)"
+    spread = f"""(power({m}00 - q, 2) + power({m}11 - q, 2) + power({m}22 - q, 2) + 2 * (power({m}01, 2) + power({m}02, 2) + power({m}12, 2))) / 6"""
+    det = f"""(({m}00 - q) * (({m}11 - q) * ({m}22 - q) - {m}12 * {m}12) - {m}01 * ({m}01 * ({m}22 - q) - {m}12 * {m}02)
+        + {m}02 * ({m}01 * {m}12 - ({m}11 - q) * {m}02))"""
+    return f"""(select * exclude (q, p, phi), q + 2 * p * cos(phi) as {m}_hi, q + 2 * p * cos(phi + {num(2 * math.pi / 3)}) as {m}_lo from (
+        select *, acos(greatest(least({det} / (2 * p * p * p), 1e0), -1e0)) / 3 as phi from (
+        select *, sqrt({spread}) as p from (select *, {q} as q from {source} e1) e2) e3) e4)"""
+
+
+def stretch_sql(flow: str, key: str, seed: str, pairs: str) -> str:
+    """Largest singular value of the least-squares gradient per seed, from closed forms.
+
+    ``pairs`` gives key, seed and the separations d0..d2 (start), e0..e2 (end).
+    """
+    a = [f"sum(d{i} * d{j}) as a{i}{j}" for i in range(3) for j in range(i, 3)]
+    b = [f"sum(e{i} * d{j}) as b{i}{j}" for i in range(3) for j in range(3)]
+    cof = {
+        "00": "a11 * a22 - a12 * a12", "01": "a02 * a12 - a01 * a22", "02": "a01 * a12 - a02 * a11",
+        "11": "a00 * a22 - a02 * a02", "12": "a01 * a02 - a00 * a12", "22": "a00 * a11 - a01 * a01",
+    }
+    f = [f"({' + '.join(f'b{i}{k} * c{_sym(k, j)}' for k in range(3))}) / det as f{i}{j}" for i in range(3) for j in range(3)]
+    m = [f"{' + '.join(f'f{k}{i} * f{k}{j}' for k in range(3))} as m{i}{j}" for i in range(3) for j in range(i, 3)]
+    sums = f"(select {key}, {seed}, count(*) as n, {', '.join(a)}, {', '.join(b)} from {pairs} p group by {key}, {seed})"
+    cofactors = f"(select *, {', '.join(f'{v} as c{k}' for k, v in cof.items())} from {_eigen_sql('a', sums)} s)"
+    gradient = f"(select *, {', '.join(f)} from (select *, a00 * c00 + a01 * c01 + a02 * c02 as det from {cofactors} t) u)"
+    good = _eigen_sql("m", f"(select *, {', '.join(m)} from {gradient} g)")
+    rated = f"(select *, n >= 4 and a_lo > 1e-6 * a_hi and a_lo > 0 as ok from {good} h)"
+    return f"""(select w.{key}, w.{seed}, case when ok then 1 else 0 end as valid, case when ok then sqrt(m_hi) end as smax
+        from {flow} w left join {rated} r on w.{key} = r.{key} and w.{seed} = r.{seed})"""
+
+
+def near_sql(flow: str, key: str, seed: str, k: int | None = None, radius: float | None = None) -> str:
+    """Separations of every seed from its k nearest seeds, or those within a radius."""
+    gap = "power(b.x - a.x, 2) + power(b.y - a.y, 2) + power(b.z - a.z, 2)"
+    diffs = ", ".join([f"b.{c} - a.{c} as d{i}" for i, c in enumerate("xyz")] + [f"b.{c}1 - a.{c}1 as e{i}" for i, c in enumerate("xyz")])
+    pairs = f"(select a.{key}, a.{seed}, b.{seed} as other, {gap} as gap, {diffs} from {flow} a join {flow} b on a.{key} = b.{key} and a.{seed} <> b.{seed})"
+    if radius is not None:
+        return f"(select * from {pairs} q where gap <= {num(radius * radius)})"
+    return f"(select * from (select *, row_number() over (partition by {key}, {seed} order by gap, other) as r from {pairs} q) z where r <= {k})"
+
+
+ALL_FLOW = f"(select 0 as one, * from {FLOW} f)"
+STRETCH = stretch_sql(ALL_FLOW, "one", "seed", near_sql(ALL_FLOW, "one", "seed", 12))
+
+
+@query("e1_deformation_gradient", ints="seed valid", reals="smax", digits=5, sql=f"select * from {STRETCH} s")
 def _(t):
     return E.deformation_gradient(t.flow, [], "seed", k=12)
 
 
-@query("e1b_deformation_gradient_radius", ints="label seed valid", reals="smax", digits=5)
+@query("e1b_deformation_gradient_radius", ints="label seed valid", reals="smax", digits=4,
+       sql=f"select * from {stretch_sql(FLOW, 'label', 'seed', near_sql(FLOW, 'label', 'seed', radius=0.2))} s")
 def _(t):
     return E.deformation_gradient(t.flow, BY, "seed", radius=0.2)
 
 
-@query("e2_ftle", ints="seed valid", reals="sigma", digits=5)
+@query("e2_ftle", ints="seed valid", reals="sigma", digits=5, sql=f"select seed, valid, ln(smax) / 2 as sigma from {STRETCH} s")
 def _(t):
     return E.ftle(t.flow, [], "seed", 2.0, k=12)
 
@@ -65,10 +125,18 @@ def _(t):
 STARTS = (0, 10, 20)
 
 
-@query("e3_ftle_windows", ints="i0 seeds kept rejected")
+WINDOWS = f"""(select i0, a.track_id, a.x, a.y, a.z, b.x as x1, b.y as y1, b.z as z1 from (select unnest({list(STARTS)}) as i0) s
+    join {TRACKS} a on a.frame = i0 join {TRACKS} b on a.track_id = b.track_id and b.frame = i0 + 10)"""
+
+
+@query(
+    "e3_ftle_windows", ints="i0 seeds kept rejected", reals="sigma",
+    sql=f"""select i0, count(*) as seeds, sum(valid) as kept, count(*) - sum(valid) as rejected, avg(ln(smax) / 0.1e0) as sigma
+        from {stretch_sql(WINDOWS, 'i0', 'track_id', near_sql(WINDOWS, 'i0', 'track_id', 12))} s group by i0""",
+)
 def _(t):
     field = E.ftle_windows(t.tracks, [], "track_id", "frame", STARTS, 10, DT, k=12)
-    return E.ftle_counts(field, ["i0"])
+    return E.ftle_counts(field, ["i0"], "sigma")
 
 
 # ------------------------------------------------------------- node fields

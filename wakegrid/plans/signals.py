@@ -214,7 +214,21 @@ def _(t):
     return G.fourier_amplitudes(ring(t), ["case_id"], "i", "u", 16, 1e-3)
 
 
-@query("g11b_dealiased_product", texts="case_id", ints="mode", reals="plain_re plain_im clean_re clean_im")
+_SPECTRA = f"""(select case_id, case when m < 8 then m else m - 16 end as m,
+    sum(u * cos({TWO_PI} * ((i * m) % 16) / 16)) / 16 as ar, -sum(u * sin({TWO_PI} * ((i * m) % 16) / 16)) / 16 as ai,
+    sum(v * cos({TWO_PI} * ((i * m) % 16) / 16)) / 16 as br, -sum(v * sin({TWO_PI} * ((i * m) % 16) / 16)) / 16 as bi,
+    sum(u * v * cos({TWO_PI} * ((i * m) % 16) / 16)) / 16 as pr, -sum(u * v * sin({TWO_PI} * ((i * m) % 16) / 16)) / 16 as pi
+    from {RING} r, (select unnest(range(16)) as m) q group by case_id, q.m)"""
+
+
+@query(
+    "g11b_dealiased_product", texts="case_id", ints="mode", reals="plain_re plain_im clean_re clean_im",
+    sql=f"""with s as materialized (select * from {_SPECTRA} x),
+        c as (select a.case_id, a.m + b.m as m, sum(a.ar * b.br - a.ai * b.bi) as re, sum(a.ar * b.bi + a.ai * b.br) as im
+          from s a join s b on a.case_id = b.case_id where a.m + b.m between -8 and 7 group by 1, 2)
+        select s.case_id, (s.m + 16) % 16 as mode, pr as plain_re, pi as plain_im, re as clean_re, im as clean_im
+        from s join c on s.case_id = c.case_id and s.m = c.m""",
+)
 def _(t):
     return G.dealiased_product(ring(t), ["case_id"], "i", "u", "v", 16)
 
@@ -778,7 +792,16 @@ def _(t):
     return X.percentile_mask(t.pixels, 80)
 
 
-@query("x10_blobs", ints="cam frame blob area", reals="mean peak x y")
+@query(
+    "x10_blobs", ints="cam frame blob area", reals="mean peak x y",
+    sql=f"""with recursive p as materialized (select cam, frame, row, col, value, row * 16 + col as id from {MASK} m),
+        e as materialized (select a.cam, a.frame, a.id as a, b.id as b from p a join p b on a.cam = b.cam and a.frame = b.frame
+          and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1 and a.id <> b.id),
+        r as (select cam, frame, id as a, id as b from p union select r.cam, r.frame, r.a, e.b from r join e on r.cam = e.cam and r.frame = e.frame and r.b = e.a),
+        l as (select cam, frame, a as id, min(b) as blob from r group by cam, frame, a)
+        select cam, frame, blob, count(*) as area, avg(value) as mean, max(value) as peak, sum(col * value) / sum(value) as x,
+          sum(row * value) / sum(value) as y from p join l using (cam, frame, id) group by cam, frame, blob having count(*) between 1 and 400""",
+)
 def _(t):
     return X.blobs(X.percentile_mask(t.pixels, 80), 16, 1, 400, tile=8)
 

@@ -141,7 +141,27 @@ def _(t):
     return C.project(rows, camera_table(t.spark), (1280, 1024))
 
 
-@query("c4b_project_refracted", ints="frame idx camera", reals="u v")
+_N = (1.333, 1.49, 1.0003)
+_K1, _K2, _P1, _P2, _K3 = (num(v) for v in _DIST)
+# The plates are planes x = ±0.216 m, so refraction scales the y and z parts of a direction.
+REFRACTED = f"""(with a as (select s.frame, s.idx, s.camera, tx, ty, tz, c.* exclude (camera), sign(c0) as s,
+      sqrt(power(tx - c0, 2) + power(ty - c1, 2) + power(tz - c2, 2)) as d from {SEEN} s join {cameras_sql()} c on s.camera = c.camera),
+    b as (select *, (ty - c1) / d as dy, (tz - c2) / d as dz, (tx - c0) / d as dx from a),
+    h as (select *, c1 + (s * 0.226e0 - c0) / dx * dy as y1, c2 + (s * 0.226e0 - c0) / dx * dz as z1,
+      {num(_N[2] / _N[1])} * dy as gy, {num(_N[2] / _N[1])} * dz as gz from b),
+    g as (select *, -s * sqrt(1 - gy * gy - gz * gz) as gx from h),
+    w as (select *, s * 0.216e0 as x2, y1 + (s * 0.216e0 - s * 0.226e0) / gx * gy as y2, z1 + (s * 0.216e0 - s * 0.226e0) / gx * gz as z2,
+      {num(_N[1] / _N[0])} * gy as wy, {num(_N[1] / _N[0])} * gz as wz from g),
+    v as (select *, -s * sqrt(1 - wy * wy - wz * wz) as wx from w),
+    q as (select *, r20*tx + r21*ty + r22*tz + t2 as depth, r20*x2 + r21*y2 + r22*z2 + t2 as o2, r20*wx + r21*wy + r22*wz as v2 from v),
+    m as (select *, (r00*x2 + r01*y2 + r02*z2 + t0 + (depth - o2) / v2 * (r00*wx + r01*wy + r02*wz)) / depth as a,
+      (r10*x2 + r11*y2 + r12*z2 + t1 + (depth - o2) / v2 * (r10*wx + r11*wy + r12*wz)) / depth as b from q),
+    n as (select *, a*a + b*b as r2 from m)
+    select frame, idx, camera, {num(_CX)} + f * (a * (1 + {_K1}*r2 + {_K2}*r2*r2 + {_K3}*r2*r2*r2) + 2*{_P1}*a*b + {_P2}*(r2 + 2*a*a)) as u,
+      {num(_CY)} + f * (b * (1 + {_K1}*r2 + {_K2}*r2*r2 + {_K3}*r2*r2*r2) + {_P1}*(r2 + 2*b*b) + 2*{_P2}*a*b) as v from n)"""
+
+
+@query("c4b_project_refracted", ints="frame idx camera", reals="u v", sql=f"select * from {REFRACTED} r")
 def _(t):
     obs, _ = observed(t, index=(1.333, 1.49, 1.0003))
     return obs.withColumnsRenamed({"x": "u", "y": "v"})
