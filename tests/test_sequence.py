@@ -139,7 +139,7 @@ def test_lowpass_passes_slow_and_removes_fast(spark):
 # ------------------------------------------------------------------- gates
 
 
-def walk(seed, n=400):
+def walk(seed, n=150):
     rng = np.random.default_rng(seed)
     frames = np.flatnonzero(rng.random(n) < 0.8)
     p = rng.normal(scale=4, size=(len(frames), 4)).cumsum(axis=0)
@@ -160,7 +160,7 @@ def sequential(pdf, limit, gap=5):
     return out
 
 
-@pytest.mark.parametrize("size", [8, 60, 65536])
+@pytest.mark.parametrize("size", [25, 65536])
 @pytest.mark.parametrize("limit", [8.0, 30.0])
 def test_jump_gate_equals_sequential_fold(spark, size, limit):
     parts = [walk(s) for s in range(2)]
