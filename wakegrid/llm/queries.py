@@ -32,3 +32,41 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, folder, "documents"))
+
+
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM words WHERE len(w) >= 13
+), windows AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS k FROM starts
+), firsts AS (
+  SELECT k, min(doc_id) AS first FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM windows JOIN firsts USING (k) WHERE doc_id > first
+), places AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+), judged AS (
+  SELECT p.doc_id, p.word, p.i, g.i IS NOT NULL AS removed FROM places p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE removed) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT removed), '') AS t FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from .substring import dedup_substrings
+
+    found = dedup_substrings(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
