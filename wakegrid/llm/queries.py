@@ -70,3 +70,36 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
     found = dedup_substrings(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[s:s + 4], ' ') FOR s IN range(1, len(w) - 3)]) END AS s FROM words
+), tokens AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+), repeated AS (
+  SELECT t FROM tokens GROUP BY t HAVING count(*) > 1
+), able AS (
+  SELECT doc_id FROM tokens JOIN repeated USING (t) GROUP BY doc_id, n HAVING 100 * count(*) >= 75 * n
+), held AS (
+  SELECT doc_id, n, t FROM tokens JOIN able USING (doc_id) JOIN repeated USING (t)
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  WITH RECURSIVE r(doc_id, c) AS (
+    SELECT doc_id, doc_id FROM sets UNION SELECT p.b, r.c FROM r JOIN pairs p ON p.a = r.doc_id
+  ) SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id FROM sets s JOIN reach r USING (doc_id)
+"""
+
+
+@query("op10_jaccard_join", OP10_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, folder, "documents"))
