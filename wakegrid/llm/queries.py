@@ -103,3 +103,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from .jaccard import jaccard_components
 
     return jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from .labelled import fold
+    from .quality import score_quality, train_quality
+
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").where(fold(4) != 2).select("doc_id", F.col("quality").alias("label"))
+    scored = score_quality(docs, train_quality(docs, labels))
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
