@@ -114,3 +114,14 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").where(fold(4) != 2).select("doc_id", F.col("quality").alias("label"))
     scored = score_quality(docs, train_quality(docs, labels))
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from .labelled import fold
+    from .toxicity import score_toxicity, train_toxicity
+
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").where(fold(5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    scored = score_toxicity(docs, train_toxicity(docs, labels))
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
