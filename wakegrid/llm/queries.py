@@ -125,3 +125,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").where(fold(5) != 0).select("doc_id", F.col("toxic").alias("label"))
     scored = score_toxicity(docs, train_toxicity(docs, labels))
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from .suffixes import dedup_bytes
+
+    found = dedup_bytes(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
