@@ -133,3 +133,41 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
     found = dedup_bytes(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), ds AS (
+  SELECT doc_id, len(w) AS n, unnest(range(greatest(len(w) - 4, 1))) AS p, unnest([array_to_string(w[s + 1:s + 5], ' ') FOR s IN range(greatest(len(w) - 4, 1))]) AS t FROM d WHERE len(w) > 0
+), bs AS (
+  SELECT item_id, len(w) AS n, unnest([array_to_string(w[s + 1:s + 5], ' ') FOR s IN range(greatest(len(w) - 4, 1))]) AS t FROM b WHERE len(w) > 0
+), bc AS (
+  SELECT item_id, t, count(*) AS c FROM bs GROUP BY ALL
+), bn AS (
+  SELECT item_id, n, count(*) AS m FROM bs GROUP BY ALL
+), hits AS (
+  SELECT ds.doc_id, ds.n, bc.item_id, ds.p FROM ds JOIN bc USING (t)
+), able AS (
+  SELECT h.doc_id, h.item_id, least(h.n, bn.n) AS size, greatest(least(h.n, bn.n) - 4, 1) AS m, bn.m AS bm, greatest(h.n - 4, 1) AS own FROM hits h JOIN bn USING (item_id)
+  GROUP BY h.doc_id, h.item_id, h.n, bn.n, bn.m HAVING 100 * count(*) >= 75 * bn.m
+), starts AS (
+  SELECT DISTINCT a.*, unnest(range(greatest(h.p - a.m + 1, 0), least(h.p, a.own - a.m) + 1)) AS s FROM able a JOIN hits h USING (doc_id, item_id)
+), windows AS (
+  SELECT s.doc_id, s.item_id, s.s, s.size, s.m, s.bm, ds.t, count(*) AS c FROM starts s JOIN ds ON ds.doc_id = s.doc_id AND ds.p >= s.s AND ds.p < s.s + s.m GROUP BY ALL
+), shared AS (
+  SELECT w.doc_id, w.item_id, w.s, w.size, w.m, w.bm, sum(least(w.c, bc.c)) AS x FROM windows w JOIN bc ON bc.item_id = w.item_id AND bc.t = w.t GROUP BY ALL
+)
+SELECT doc_id, item_id, arg_min(s, (-CAST(x AS DOUBLE) / CAST(m + bm - x AS DOUBLE), s)) AS start, any_value(size) AS n_words, max(CAST(x AS DOUBLE) / CAST(m + bm - x AS DOUBLE)) AS similarity
+FROM shared WHERE 100 * x >= 75 * (m + bm - x) GROUP BY doc_id, item_id
+"""
+
+
+@query("op9_benchmark_decontamination", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from .decontam import contaminated
+
+    found = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "similarity")
