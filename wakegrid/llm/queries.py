@@ -171,3 +171,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
     found = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
+@query("op8_document_fingerprints")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from .fingerprints import version_fingerprints
+
+    return version_fingerprints(table(spark, folder, "documents"))
