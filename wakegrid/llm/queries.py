@@ -178,3 +178,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from .fingerprints import version_fingerprints
 
     return version_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op2_html_extraction")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from .wrapper import extract_pages
+
+    found = extract_pages(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
