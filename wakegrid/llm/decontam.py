@@ -15,7 +15,8 @@ The items are sent to the tasks in parts of at most ``PART`` rows, whatever the
 size of the benchmark; a pass over the documents is made for each part.  Null and
 empty texts and items have no shingles and match nothing; of rows that repeat an
 item one counts.  Words are as in the Jaccard join: lower-case A-Z, split at
-white space; fewer than ``width`` words are one shingle.
+white space; fewer than ``width`` words are one shingle, so that an item that
+short is found only where it is the whole text.
 """
 
 from __future__ import annotations
