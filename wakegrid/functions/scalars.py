@@ -133,8 +133,11 @@ def virtual_potential_temperature(temperature, pressure, reference: float = 8110
 
 
 def datenum_to_ts(datenum, zone: str | None = None) -> Column:
-    """Day count from year 0 (UTC) to a timestamp, optionally shown in ``zone``."""
-    micros = F.round((col(datenum) - DATENUM_OF_UNIX_EPOCH) * 86400e6).cast("bigint")
+    """Day count from year 0 (UTC) to a timestamp, optionally shown in ``zone``.
+
+    A day count holds about ten microseconds; it is rounded to milliseconds.
+    """
+    micros = F.floor((col(datenum) - DATENUM_OF_UNIX_EPOCH) * 86400e3 + 0.5).cast("bigint") * 1000
     ts = F.timestamp_micros(micros)
     return F.from_utc_timestamp(ts, zone) if zone else ts
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import attach
-from ..functions.scalars import angle_diff
+from ..functions.scalars import angle_diff, stderr
 from .binning import Axis, bin_means, with_bins
 
 
@@ -71,7 +71,7 @@ def _lookup(df: DataFrame, by: Sequence[str], x: str, intervals: DataFrame, extr
     ranges = intervals.groupBy(*by).agg(
         F.max("_m").alias("_m"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi")
     )
-    rows = attach(df, ranges, by)
+    rows = attach(df, ranges, by, "left")
     inside = F.col(x).between(F.col("_lo"), F.col("_hi"))
     if not extrapolate:
         rows = rows.withColumn("_x", F.when(inside, F.col(x)))
@@ -90,7 +90,7 @@ def _lookup(df: DataFrame, by: Sequence[str], x: str, intervals: DataFrame, extr
     )
     keep = [F.col(f"l.{c}") for c in [*df.columns, "_x"]]
     more = [F.col(f"r.{c}") for c in spread.columns if c not in {*by, "_cell", "_first", "_last"}]
-    return left.join(right, on).select(*keep, *more)
+    return left.join(right, on, "left").select(*keep, *more)
 
 
 def interp_linear(
@@ -99,7 +99,7 @@ def interp_linear(
 ) -> DataFrame:
     """Linear interpolation of tabulated curves; ends are continued or give NULL.
 
-    Groups with fewer than two nodes have no interval and drop out.
+    Rows of groups with fewer than two nodes have no interval and get NULL.
     """
     w = Window.partitionBy(*by).orderBy(tx)
     clean = table.dropna(subset=[tx, *values])
@@ -347,6 +347,14 @@ def align_repeats(
     return interp_long(wanted, "tc", df, t, values, [*by, repeat])
 
 
+def repeat_average(aligned: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Mean, standard deviation and standard error of a value over the repeats at each grid point."""
+    g = aligned.groupBy(*by, "i").agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")
+    )
+    return g.withColumn("se", stderr("std", "n"))
+
+
 def interp_long(
     df: DataFrame, x: str, table: DataFrame, tx: str, values: Sequence[str], by: Sequence[str], suffix: str = "",
     nodes_per_slot: int = 4096,
@@ -355,7 +363,8 @@ def interp_long(
 
     Curve and queries are numbered together along x in slots of equal width, the
     last node before and the first node after each query are found inside the
-    slot or, across empty stretches, from one row per slot.
+    slot or, across empty stretches, from one row per slot.  Rows of groups with
+    fewer than two nodes get NULL.
     """
     by = list(by)
     ranges = table.dropna(subset=[tx, *values]).groupBy(*by).agg(
@@ -374,8 +383,8 @@ def interp_long(
         *by, slot(F.col(tx)).alias("_slot"), F.col(tx).alias("_x"), F.lit(0).alias("_kind"),
         node.alias("_node"), F.lit(None).alias("_row"),
     )
-    queries = attach(df, ranges, by).select(
-        *by, slot(F.col(x)).alias("_slot"), F.col(x).alias("_x"), F.lit(1).alias("_kind"),
+    queries = attach(df, ranges, by, "left").select(
+        *by, F.coalesce(slot(F.col(x)), F.lit(0)).alias("_slot"), F.col(x).alias("_x"), F.lit(1).alias("_kind"),
         F.lit(None).alias("_node"), payload.alias("_row"),
     )
     both = nodes.unionByName(queries)
@@ -407,7 +416,8 @@ def interp_long(
     head = _two_extreme(nodes, by, True)
     tail = _two_extreme(nodes, by, False)
     rows = near.filter(F.col("_kind") == 1).join(reach, [*by, "_slot"], "left")
-    rows = attach(attach(attach(rows, ranges, by), head, by), tail, by)
+    for stats in (ranges, head, tail):
+        rows = attach(rows, stats, by, "left")
     p = F.coalesce("_p", "_before")
     n = F.coalesce("_n", "_after")
     a = F.when(F.col("_x") < F.col("_lo"), F.col("_h0")).when(F.col("_x") >= F.col("_hi"), F.col("_t1")).otherwise(p)

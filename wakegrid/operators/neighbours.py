@@ -76,7 +76,7 @@ def knn(
     level whose own cell holds more than k points: then its k nearest lie within
     one cell diagonal, and only cells that near are looked at.  Dense regions
     are searched in small cells and sparse ones in large cells, in one job and
-    without a retry.  Of points at the same place only the k+1 lowest ids can
+    without a retry.  A group of n <= k points gives n - 1 neighbours each.  Of points at the same place only the k+1 lowest ids can
     be neighbours, so piles of copies do not multiply.
     """
     by, dims = list(by), len(columns)
@@ -87,7 +87,7 @@ def knn(
         else F.greatest(F.max(columns[0]) - F.min(columns[0]), F.lit(1e-300)).alias("_w"),
         F.count(F.lit(1)).alias("_all"),
     )
-    placed = attach(points.select(*by, ident, *columns, *carry), box, by).filter(F.col("_all") > k)
+    placed = attach(points.select(*by, ident, *columns, *carry), box, by)
     top = 1 << levels
 
     def fine(c: str, i: int) -> Column:
@@ -104,7 +104,9 @@ def knn(
     depth = finest.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
     depth = depth.withColumns({f"_c{i}": F.floor(F.col(f"_f{i}") / shift) for i in range(dims)})
     cell_keys = [*by, "_level", *[f"_c{i}" for i in range(dims)]]
-    full = depth.groupBy(*cell_keys).agg(F.sum("_n").alias("_n")).filter(F.col("_n") > k)
+    full = depth.groupBy(*cell_keys).agg(F.sum("_n").alias("_n"))
+    # the whole box serves groups that have fewer points than asked for
+    full = full.filter((F.col("_n") > k) | (F.col("_level") == 0))
     chosen = depth.join(full.select(*cell_keys), cell_keys, "left_semi").groupBy(
         *by, *[f"_f{i}" for i in range(dims)]
     ).agg(F.max("_level").alias("_level"))

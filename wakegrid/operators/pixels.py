@@ -10,30 +10,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import attach, exact_quantiles, top_k
+from ..core import attach, exact_quantiles
 from ..session import cut
 from .ftle import gaussian_smooth, key_schema
 from .neighbours import radius_neighbours
-from .sequence import even_subsample
 
 IMAGE = ("cam", "frame")
 AT = ("row", "col")
 
 
-def temporal_background(pixels: DataFrame, how: str = "median", first_frames: int | None = None) -> DataFrame:
+def temporal_background(pixels: DataFrame, how: str = "median") -> DataFrame:
     """Median or mean of every pixel position over time: (cam, row, col, background).
 
     The exact median of integer pixels keeps one counter per grey level, so its
     state is bounded by the bit depth however long the film is.
     """
-    used = pixels if first_frames is None else pixels.filter(F.col("frame") < first_frames)
     if how == "median":
         level = F.median("value")
     elif how == "mean":
         level = F.avg("value")
     else:
         raise ValueError("how is median or mean")
-    return used.groupBy("cam", *AT).agg(level.cast("double").alias("background"))
+    return pixels.groupBy("cam", *AT).agg(level.cast("double").alias("background"))
 
 
 def subtract_background(pixels: DataFrame, background: DataFrame, clip: bool = True) -> DataFrame:
@@ -60,25 +58,10 @@ def bandpass(pixels: DataFrame, shape: tuple[int, int], sigma_bg: float, sigma_n
     return fine.join(coarse, [*IMAGE, *AT]).select(*IMAGE, *AT, (F.col("value") - F.col("_c")).alias("value"))
 
 
-def sample_frames(pixels: DataFrame, m: int) -> DataFrame:
-    """Pixels of at most m evenly spaced frames per camera (round(linspace(1, N, m)))."""
-    frames = pixels.select(*IMAGE).distinct()
-    # One row per frame: the list of frames is small beside the pixels.
-    w = Window.partitionBy("cam").orderBy("frame")
-    numbered = frames.withColumn("_n", F.row_number().over(w) - 1)
-    chosen = even_subsample(numbered, ["cam"], "_n", m).select(*IMAGE)
-    return pixels.join(chosen, list(IMAGE), "left_semi")
-
-
-def robust_threshold(
-    pixels: DataFrame, k: float, floor: float, frames: int = 40, fraction: float | None = None, seed: int = 42
-) -> DataFrame:
-    """Per camera: noise sigma = 1.4826 MAD of sampled pixels, and max(k*sigma, floor)."""
-    used = sample_frames(pixels, frames)
-    if fraction is not None:
-        used = used.sample(fraction=fraction, seed=seed)
-    centre = exact_quantiles(used, ["cam"], "value", {"_m": 0.5})
-    gaps = attach(used, centre, ["cam"]).withColumn("_d", F.abs(F.col("value") - F.col("_m")))
+def robust_threshold(pixels: DataFrame, k: float, floor: float) -> DataFrame:
+    """Per camera: noise sigma = 1.4826 MAD of all pixels of all frames, and max(k*sigma, floor)."""
+    centre = exact_quantiles(pixels, ["cam"], "value", {"_m": 0.5})
+    gaps = attach(pixels, centre, ["cam"]).withColumn("_d", F.abs(F.col("value") - F.col("_m")))
     mad = exact_quantiles(gaps, ["cam"], "_d", {"_mad": 0.5})
     sigma = 1.4826 * F.col("_mad")
     return mad.select("cam", sigma.alias("sigma"), F.greatest(k * sigma, F.lit(float(floor))).alias("threshold"))
@@ -187,15 +170,14 @@ def equalise_gain(pixels: DataFrame, gain: DataFrame, noise: DataFrame, k: float
     return rows.select(*IMAGE, *AT, F.floor(F.least(lifted, F.lit(float(cap))) + 0.5).cast("int").alias("value"))
 
 
-def peak_sigma(pixels: DataFrame, peaks: DataFrame, shape: tuple[int, int], r: int = 6, top: int = 200) -> DataFrame:
-    """Intensity-weighted radial width of the brightest peaks of each frame.
+def peak_sigma(pixels: DataFrame, peaks: DataFrame, shape: tuple[int, int], r: int = 6) -> DataFrame:
+    """Intensity-weighted radial width of all peaks whose patch lies in the frame.
 
     The patch minimum is removed from the moments afterwards, so one aggregate
     over the patch pixels is enough.
     """
-    best = top_k(peaks, IMAGE, [F.desc("value"), F.asc("col"), F.asc("row")], top, "_r").drop("_r")
     inside = F.col("row").between(r, shape[0] - 1 - r) & F.col("col").between(r, shape[1] - 1 - r)
-    asked = best.filter(inside).select(
+    asked = peaks.filter(inside).select(
         *IMAGE, F.col("row").alias("_r"), F.col("col").alias("_c"), F.explode(_offsets(r)).alias("_o")
     )
     asked = asked.withColumns({"row": F.col("_r") + F.col("_o.dr"), "col": F.col("_c") + F.col("_o.dc")})

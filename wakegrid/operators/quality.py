@@ -55,6 +55,8 @@ JUMP_STATE = ("frame", "x0", "y0", "x1", "y1")
 def fold_jumps(rows: np.ndarray, state, max_jump: float, max_gap: int):
     """Accept or reject rows (frame, x0, y0, x1, y1) in order from the last accepted row."""
     accepted = np.zeros(len(rows), bool)
+    if len(rows) > 1 and (np.diff(rows[:, 0]) <= 0).any() or len(rows) and state is not None and rows[0, 0] <= state[0]:
+        raise ValueError("frames come late or twice; a gate needs them in order")
     for i, row in enumerate(rows):
         if state is not None:
             reach = max_jump * min(row[0] - state[0], max_gap)
@@ -136,7 +138,9 @@ def jump_gate(
             "".join(f"`{c}` {fields[c]}, " for c in by) + f"frame {fields['frame']}, accepted boolean",
         )
     )
-    return pairs.join(renewed(decided), [*by, "frame"])
+    # a pair without a position is rejected and moves no state
+    judged = pairs.join(renewed(decided), [*by, "frame"], "left")
+    return judged.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
 def brightness_ratio_gate(pairs: DataFrame, min_ratio: float | Column, dark: float = 1e-6) -> DataFrame:

@@ -442,7 +442,8 @@ def zero_phase_lowpass(
     The filter is linear, so blocks of a run are filtered on their own from a
     start state that is chained over one small row per block; long runs are
     spread over the cluster and the result is that of one sequential pass.
-    The ends are extended by 3*order point-reflected samples.
+    The ends are extended by 3*order point-reflected samples.  Runs that are no
+    longer than that come back unfiltered, with ``filtered`` false.
     """
     by = list(by)
     sections = butterworth_sections(order, fc, fs)
@@ -452,7 +453,7 @@ def zero_phase_lowpass(
         F.min_by(value, index).alias("_first"),
         F.max_by(value, index).alias("_end"),
     )
-    ends = ends.filter(F.col("_n") > pad)
+    lengths, ends = ends.select(*by, "_n"), ends.filter(F.col("_n") > pad)
     i, n, v = F.col(index), F.col("_n"), F.col(value)
     rows = attach(df.select(*by, index, value), ends, by)
     copies = F.array(
@@ -474,4 +475,5 @@ def zero_phase_lowpass(
     done = attach(backward, ends.select(*by, "_n"), by).select(
         *by, (F.col("_n") + pad - 1 - F.col("e")).alias(index), F.col("x").alias(name)
     )
-    return df.join(done, [*by, index])
+    out = attach(df.join(done, [*by, index], "left"), lengths, by)
+    return out.withColumns({name: F.coalesce(name, F.when(F.col("_n") <= pad, F.col(value))), "filtered": F.col("_n") > pad}).drop("_n")

@@ -240,8 +240,7 @@ def hot_wire_targets():
 
 def hot_wire_volts(t):
     """Two sensor voltages that depend smoothly on the velocity components."""
-    s = t.signal.filter((F.col("u") > 0) & (F.col("v") > 0))
-    return s.withColumns(
+    return t.signal.withColumns(
         {"e1": F.sqrt(1 + F.sqrt(F.col("u") + 0.3 * F.col("v"))), "e2": F.sqrt(1 + F.sqrt(F.col("v") + 0.3 * F.col("u")))}
     )
 
@@ -305,23 +304,29 @@ def _(t):
     return J.attach_bin_mean(t.samples, GRID, ["u", "w"], ["run"])
 
 
-PROFILE = f"(select height, avg(u) as u, avg(v) as v from {TOWER} tw where record = 0 group by height)"
+PROFILE = f"(select record, height, avg(u) as u, avg(v) as v from {TOWER} tw group by record, height)"
+HEIGHTS = f"(select *, l_orderkey % 10 as record, 2.5e0 * x as v0 from {SAMPLES} sm)"
 
 
 def tower_profile(t):
-    return t.tower.filter(F.col("record") == 0).groupBy("height").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
+    """Mean wind of every record by height."""
+    return t.tower.groupBy("record", "height").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
+
+
+def sample_heights(t):
+    """Every sample asks the profile of one record."""
+    return t.samples.withColumns({"h": 2.5 * F.col("x"), "record": F.col("l_orderkey") % 10})
 
 
 @query(
     "j2_interp_linear", ints="l_orderkey l_linenumber l_partkey l_suppkey", reals="u_at",
-    sql=f"""with n as (select height as h0, u as a, lead(height) over o as h1, lead(u) over o as b,
-            row_number() over o as i, count(*) over () as m from {PROFILE} p window o as (order by height))
-        select l_orderkey, l_linenumber, l_partkey, l_suppkey, a + (2.5e0 * x - h0) / (h1 - h0) * (b - a) as u_at
-        from {SAMPLES} s join n on h1 is not null and (i = 1 or 2.5e0 * x >= h0) and (i = m - 1 or 2.5e0 * x < h1)""",
+    sql=f"""with n as (select record, height as h0, u as a, lead(height) over o as h1, lead(u) over o as b,
+            row_number() over o as i, count(*) over (partition by record) as m from {PROFILE} p window o as (partition by record order by height))
+        select l_orderkey, l_linenumber, l_partkey, l_suppkey, a + (v0 - h0) / (h1 - h0) * (b - a) as u_at
+        from {HEIGHTS} s left join n on s.record = n.record and h1 is not null and (i = 1 or v0 >= h0) and (i = m - 1 or v0 < h1)""",
 )
 def _(t):
-    rows = t.samples.withColumn("h", 2.5 * F.col("x"))
-    return J.interp_linear(rows, "h", tower_profile(t), "height", ["u"])
+    return J.interp_linear(sample_heights(t), "h", tower_profile(t), "height", ["u"], ["record"])
 
 
 def pchip_sql(table: str, x: str, y: str, by: str = "") -> str:
@@ -349,14 +354,13 @@ CUBIC = "y0 + (v - x0) * (m0 + (v - x0) * ((3*d - 2*m0 - m1) / h + (v - x0) * (m
 
 @query(
     "j3_interp_pchip", ints="l_orderkey l_linenumber l_partkey l_suppkey", reals="u_at",
-    sql=f"""with n as {pchip_sql(PROFILE, 'height', 'u')}
+    sql=f"""with n as {pchip_sql(PROFILE, 'height', 'u', 'record')}
         select l_orderkey, l_linenumber, l_partkey, l_suppkey, {CUBIC} as u_at
-        from (select *, 2.5e0 * x as v from {SAMPLES} sm) s
-        join n on x1 is not null and (i = 1 or v >= x0) and (i = m - 1 or v < x1)""".replace("select *, 2.5e0 * x as v from", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, 2.5e0 * x as v from"),
+        from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, record, v0 as v from {HEIGHTS} sh) s
+        left join n on s.record = n.record and x1 is not null and (i = 1 or v >= x0) and (i = m - 1 or v < x1)""",
 )
 def _(t):
-    rows = t.samples.withColumn("h", 2.5 * F.col("x"))
-    return J.interp_pchip(rows, "h", tower_profile(t), "height", ["u"])
+    return J.interp_pchip(sample_heights(t), "h", tower_profile(t), "height", ["u"], ["record"])
 
 
 REF = f"(select z as y, avg(u) as u, avg(v) as v from {SAMPLES} r group by z)"

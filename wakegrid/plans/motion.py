@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..core import top_k
+from ..core import ordinal, top_k
 from ..functions import scalars as P
 from ..operators import joins as J
 from ..operators import lagrangian as L
@@ -32,20 +32,21 @@ def _(t):
 
 
 @query(
-    "s2_melt_wide_tracks", ints="vec_id frame", reals="x y z",
-    sql="""select vec_id, k - 1 as frame, cast(embedding[k] as double) as x, cast(embedding[k + 20] as double) as y,
-        cast(embedding[k + 40] as double) as z from embeddings, (select unnest(range(1, 21)) as k) r
-        where embedding[k] >= -0.1""",
+    "s2_melt_wide_tracks", ints="vec_id frame", reals="x y z w",
+    sql="""select vec_id, k - 1 as frame, cast(embedding[k] as double) as x, cast(embedding[k + 16] as double) as y,
+        cast(embedding[k + 32] as double) as z, cast(embedding[k + 48] as double) as w
+        from embeddings, (select unnest(range(1, 17)) as k) r where embedding[k] >= -0.1""",
 )
 def _(t):
     e = F.transform("embedding", lambda v: v.cast("double"))
     wide = t.embeddings.withColumn("e", e).select(
         "vec_id",
-        F.transform(F.slice("e", 1, 20), lambda v: F.when(v >= F.lit(-0.1).cast("float"), v).otherwise(F.lit(float("nan")))).alias("x"),
-        F.slice("e", 21, 20).alias("y"),
-        F.slice("e", 41, 20).alias("z"),
+        F.transform(F.slice("e", 1, 16), lambda v: F.when(v >= F.lit(-0.1).cast("float"), v).otherwise(F.lit(float("nan")))).alias("x"),
+        F.slice("e", 17, 16).alias("y"),
+        F.slice("e", 33, 16).alias("z"),
+        F.slice("e", 49, 16).alias("w"),
     )
-    return S.melt_wide_tracks(wide, ["vec_id"])
+    return S.melt_wide_tracks(wide, ["vec_id"], ("x", "y", "z", "w"))
 
 
 @query(
@@ -92,11 +93,13 @@ def _(t):
     "s15_label_components", texts="name", ints="vec_id point component", reals="value",
     sql="""select vec_id, (k - 1) // 9 as point, (k - 1) % 9 as component,
         ['duxdx','duxdy','duxdz','duydx','duydy','duydz','duzdx','duzdy','duzdz'][(k - 1) % 9 + 1] as name,
-        cast(embedding[k] as double) as value from embeddings, (select unnest(range(1, 64)) as k) r""",
+        cast(embedding[k] as double) as value from embeddings, (select unnest(range(1, 64)) as k) r
+        union all select vec_id, 0, 0, 'p', cast(embedding[64] as double) from embeddings""",
 )
 def _(t):
-    flat = t.embeddings.withColumn("flat", F.slice("embedding", 1, 63))
-    return S.label_components(flat, ["vec_id"], "flat", "gradient")
+    flat = t.embeddings.withColumns({"flat": F.slice("embedding", 1, 63), "rest": F.slice("embedding", 64, 1)})
+    gradients = S.label_components(flat, ["vec_id"], "flat", "gradient")
+    return gradients.unionByName(S.label_components(flat, ["vec_id"], "rest", "field", "scalar"))
 
 
 # -------------------------------------------------------------------- sequence
@@ -285,18 +288,18 @@ def _(t):
 
 @query(
     "p2_nondim_time", ints="track_id frame", reals="tc",
-    sql=f"select track_id, frame, frame * {DT}e0 * 0.35e0 / 0.1e0 + 10 as tc from {TRACKS} t",
+    sql=f"select track_id, frame, frame * {DT}e0 * 0.42e0 / 0.125e0 + 10 as tc from {TRACKS} t",
 )
 def _(t):
-    return t.tracks.withColumn("tc", P.nondim_time(F.col("frame") * DT, 0.35, 0.1, 10))
+    return t.tracks.withColumn("tc", P.nondim_time(F.col("frame") * DT, 0.42, 0.125, 10))
 
 
 @query(
     "p3_force_coeff", texts="case_id", ints="n", reals="cl",
-    sql=f"select case_id, n, u / (0.5e0 * 1000 * 0.35e0 * 0.35e0 * 0.03e0) as cl from {SIGNAL} s",
+    sql=f"select case_id, n, u / (0.5e0 * 998 * 0.42e0 * 0.42e0 * 0.05e0) as cl from {SIGNAL} s",
 )
 def _(t):
-    return t.signal.withColumn("cl", P.force_coeff("u", 1000.0, 0.35, 0.03))
+    return t.signal.withColumn("cl", P.force_coeff("u", 998.0, 0.42, 0.05))
 
 
 @query(
@@ -379,14 +382,16 @@ def _(t):
 
 @query(
     "p17_datenum_to_ts", ints="event_id secs local_hour",
-    sql="""select event_id, (epoch_us(ts) + 500) // 1000000 as secs, (hour(ts) + 17) % 24 as local_hour from events
-        where ts < timestamp '2024-03-10 00:00:00'""",
+    # mountain time: seven hours behind, six in summer; the years that the events may lie in
+    sql="""with e as (select event_id, epoch_us(ts) + 500 as us, ts + interval 500 microsecond as ts from events)
+        select event_id, us // 1000000 as secs, (hour(ts) + case when
+            ts >= timestamp '2023-03-12 09:00:00' and ts < timestamp '2023-11-05 08:00:00' or
+            ts >= timestamp '2024-03-10 09:00:00' and ts < timestamp '2024-11-03 08:00:00' or
+            ts >= timestamp '2025-03-09 09:00:00' and ts < timestamp '2025-11-02 08:00:00' then 18 else 17 end) % 24 as local_hour from e""",
 )
 def _(t):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = t.events.filter(F.col("ts") < F.lit("2024-03-10").cast("timestamp_ntz"))
-    number = micros / 86400e6 + P.DATENUM_OF_UNIX_EPOCH
-    rows = rows.withColumn("datenum", number + 0.5 / 86400e3)
+    rows = t.events.withColumn("datenum", micros / 86400e6 + P.DATENUM_OF_UNIX_EPOCH)
     return rows.select(
         "event_id",
         F.floor(F.unix_micros(P.datenum_to_ts("datenum")) / 1000000).alias("secs"),
@@ -687,10 +692,7 @@ def _(t):
 )
 def _(t):
     rows = J.align_repeats(repeats(t), ["case_id"], "rep", "t", ["u"])
-    g = rows.groupBy("case_id", "i").agg(
-        F.count("u").alias("n"), F.avg("u").alias("mean"), F.stddev_samp("u").alias("std")
-    )
-    return g.withColumn("se", P.stderr("std", "n"))
+    return J.repeat_average(rows, ["case_id"], "u")
 
 
 # --------------------------------------------------------- sorts, limits, sets
@@ -758,10 +760,11 @@ def _(t):
 
 
 @query(
-    "o8_natural_order", texts="name", ints="frame_no",
-    sql="select 'img' || cast(event_id as varchar) || '.tif' as name, event_id as frame_no from events order by event_id limit 200",
+    "o8_natural_order", texts="name", ints="frame_no place",
+    sql="""select 'img' || cast(event_id as varchar) || '.tif' as name, event_id as frame_no,
+        row_number() over (order by event_id) - 1 as place from events""",
 )
 def _(t):
     name = F.concat(F.lit("img"), F.col("event_id").cast("string"), F.lit(".tif"))
     rows = t.events.select(name.alias("name")).withColumn("frame_no", ST.filename_fields("name")["frame_no"])
-    return rows.orderBy("frame_no").limit(200)
+    return ordinal(rows, [], ["frame_no"], F.floor(F.col("frame_no") / 65536), "place")

@@ -486,20 +486,20 @@ def _(t):
 
 # ------------------------------------------------------------------- wind farm
 
-TURBINES, CHANNELS = ("01", "02", "03"), ("wind_dir", "wind_speed", "rpm", "power", "yaw")
+TURBINES, CHANNELS = tuple(f"{k:02d}" for k in range(1, 16)), ("wind_dir", "wind_speed", "rpm", "power", "yaw")
 
 
 @query(
     "s9_melt_scada", texts="turbine", ints="n", reals="wind_dir wind_speed rpm power yaw",
-    sql=f"""with w as (select ts, turbine, wind_dir, wind_speed, rpm, power, yaw from {SCADA} s where turbine < 3)
-        select '0' || cast(turbine + 1 as varchar) as turbine, count(*) as n, avg(wind_dir) as wind_dir, avg(wind_speed) as wind_speed, avg(rpm) as rpm,
+    sql=f"""with w as (select ts, turbine, wind_dir, wind_speed, rpm, power, yaw from {SCADA} s)
+        select lpad(cast(turbine + 1 as varchar), 2, '0') as turbine, count(*) as n, avg(wind_dir) as wind_dir, avg(wind_speed) as wind_speed, avg(rpm) as rpm,
           avg(power) as power, avg(yaw) as yaw from w group by w.turbine""",
 )
 def _(t):
     wide = t.scada.groupBy("ts").agg(
         *[
             F.max(F.when(F.col("turbine") == k, F.col(c))).alias(f"{c}_{k}")
-            for k in range(3)
+            for k in range(len(TURBINES))
             for c in CHANNELS
         ]
     )
@@ -571,13 +571,13 @@ def _(t):
 
 @query(
     "p12_power_coefficient", ints="turbine n", reals="cp tsr",
-    sql=f"""select turbine, epoch_us(ts) // 1000000 as n, case when power >= 0 then 1000 * power / (0.5e0 * 1.225e0 * {num(math.pi * 77 * 77)} * power(wind_speed, 3)) end as cp,
-        rpm * 77 / wind_speed as tsr from {SCADA} s""",
+    sql=f"""select turbine, epoch_us(ts) // 1000000 as n, case when power >= 0 then 1000 * power / (0.5e0 * 1.225e0 * {num(math.pi * 63 * 63)} * power(wind_speed, 3)) end as cp,
+        rpm * 63 / wind_speed as tsr from {SCADA} s""",
 )
 def _(t):
     n = F.unix_seconds(F.col("ts").cast("timestamp"))
-    cp = P.power_coefficient(F.col("power") * 1000, "wind_speed", 1.225, 77.0)
-    return t.scada.withColumns({"n": n, "cp": cp, "tsr": P.tip_speed_ratio("rpm", "wind_speed", 77.0)})
+    cp = P.power_coefficient(F.col("power") * 1000, "wind_speed", 1.225, 63.0)
+    return t.scada.withColumns({"n": n, "cp": cp, "tsr": P.tip_speed_ratio("rpm", "wind_speed", 63.0)})
 
 
 FARM = f"(select ts, coalesce(sum(power), 0) as total, avg(wind_dir) as mean_dir, count(*) as turbines from {SCADA} s group by ts)"
@@ -616,15 +616,15 @@ def _(t):
 ROW = (2, 3, 4)
 _NEAR = "least(abs(mean_dir - {0}), 360 - abs(mean_dir - {0})) <= 40"
 CONDITIONAL = f"""(with j as (select s.*, mean_dir from {SCADA} s join (select ts, mean_dir from {FARM} f) g using (ts) where turbine in (2, 3, 4))
-    select *, turbine - 1 as position, 0 as flipped from j where {_NEAR.format('307.5e0')}
-    union all select *, 5 - turbine as position, 1 as flipped from j where {_NEAR.format('127.5e0')})"""
+    select *, turbine - 1 as position, 0 as flipped from j where {_NEAR.format('292.5e0')}
+    union all select *, 5 - turbine as position, 1 as flipped from j where {_NEAR.format('112.5e0')})"""
 
 
 @query("j13_conditional_rows", ints="n turbine position flipped", reals="power",
        sql=f"select epoch_us(ts) // 1000000 as n, * from {CONDITIONAL} c")
 def _(t):
     both = t.scada.join(M.farm_power(t.scada).select("ts", "mean_dir"), "ts")
-    rows = J.conditional_rows(both, "wind_dir", 307.5, 40.0, ROW)
+    rows = J.conditional_rows(both, "wind_dir", 292.5, 40.0, ROW)
     return rows.withColumn("n", F.unix_seconds(F.col("ts").cast("timestamp")))
 
 
@@ -635,7 +635,7 @@ def _(t):
         select position, count(q) as n, avg(q) as mean, stddev_samp(q) as std from r group by position""",
 )
 def _(t):
-    return M.wake_row(t.scada, 307.5, 40.0, ROW)
+    return M.wake_row(t.scada, 292.5, 40.0, ROW)
 
 
 @query(
@@ -661,10 +661,10 @@ def _(t):
 @query(
     "x1b_subtract_background", ints="cam frame row col", reals="value",
     sql=f"""select cam, frame, row, col, greatest(value - background, 0) as value from {PIXELS} p
-        join (select cam, row, col, avg(value) as background from {PIXELS} q where frame < 5 group by cam, row, col) b using (cam, row, col)""",
+        join (select cam, row, col, avg(value) as background from {PIXELS} q group by cam, row, col) b using (cam, row, col)""",
 )
 def _(t):
-    return X.subtract_background(t.pixels, X.temporal_background(t.pixels, "mean", 5))
+    return X.subtract_background(t.pixels, X.temporal_background(t.pixels, "mean"))
 
 
 DENSE = f"""(select cam, frame, row, col, coalesce(value, 0) as value from (select * from (select distinct cam, frame from {PIXELS} p) f,
@@ -702,8 +702,7 @@ def _(t):
     return band(t)
 
 
-_SAMPLED = f"(select * from {PIXELS} p where frame in (0, 2, 5, 7))"
-_GAPS = f"(select cam, abs(value - m) as d from {_SAMPLED} s join (select cam, median(value) as m from {_SAMPLED} s group by cam) q using (cam))"
+_GAPS = f"(select cam, abs(value - m) as d from {PIXELS} s join (select cam, median(value) as m from {PIXELS} s group by cam) q using (cam))"
 
 
 @query(
@@ -711,7 +710,7 @@ _GAPS = f"(select cam, abs(value - m) as d from {_SAMPLED} s join (select cam, m
     sql=f"select cam, 1.4826e0 * median(d) as sigma, greatest(4 * 1.4826e0 * median(d), 50) as threshold from {_GAPS} g group by cam",
 )
 def _(t):
-    return X.robust_threshold(t.pixels, 4.0, 50.0, frames=4)
+    return X.robust_threshold(t.pixels, 4.0, 50.0)
 
 
 PEAKS = f"""(select * from (select p.cam, p.frame, p.row, p.col, p.value, max(q.value) as most from {DENSE} p join {DENSE} q
@@ -765,13 +764,13 @@ BRIGHT = f"""(select cam, max(case when r = greatest(floor(0.9e0 * c + 0.5e0), 1
 )
 def _(t):
     gain = X.camera_gain(peaks(t), 200.0)
-    return X.equalise_gain(t.pixels, gain, X.robust_threshold(t.pixels, 4.0, 50.0, frames=4), 0.5, 255)
+    return X.equalise_gain(t.pixels, gain, X.robust_threshold(t.pixels, 4.0, 50.0), 0.5, 255)
 
 
 @query(
     "x8_peak_sigma", ints="cam frame row col", reals="sigma",
     sql=f"""with d as materialized (select * from {DENSE} x),
-        b as (select * from (select *, row_number() over (partition by cam, frame order by value desc, col, row) as r from {PEAKS} p) q where r <= 6),
+        b as (select * from {PEAKS} p),
         w as (select b.cam, b.frame, b.row, b.col, d.row - b.row as y, d.col - b.col as x, d.value - min(d.value) over (partition by b.cam, b.frame, b.row, b.col) as v
           from b join d on b.cam = d.cam and b.frame = d.frame and abs(d.row - b.row) <= 3 and abs(d.col - b.col) <= 3
           where b.row between 3 and 12 and b.col between 3 and 12),
@@ -780,7 +779,7 @@ def _(t):
         group by cam, frame, row, col""",
 )
 def _(t):
-    return X.peak_sigma(dense(t), peaks(t), SHAPE, 3, 6)
+    return X.peak_sigma(dense(t), peaks(t), SHAPE, 3)
 
 
 MASK = f"""(select cam, frame, row, col, value from (select cam * 100 + frame as g, * from {PIXELS} p where value > 0) x

@@ -47,7 +47,7 @@ def camera_list(index=(1.0, 1.0, 1.0), dist=_DIST) -> list[dict]:
                 "dist": [float(d) for d in dist],
                 "r": [float(v) for v in r.ravel()],
                 "t": [float(v) for v in -r @ np.asarray(centre)],
-                "plate_point": [side * 0.216, 0.0, 0.0],
+                "plate_point": [side * 0.24, 0.0, 0.0],
                 "plate_normal": [-side, 0.0, 0.0],
                 "idx3": [float(v) for v in index],
                 "width": 0.01,
@@ -143,14 +143,14 @@ def _(t):
 
 _N = (1.333, 1.49, 1.0003)
 _K1, _K2, _P1, _P2, _K3 = (num(v) for v in _DIST)
-# The plates are planes x = ±0.216 m, so refraction scales the y and z parts of a direction.
+# The plates are planes x = ±0.24 m, so refraction scales the y and z parts of a direction.
 REFRACTED = f"""(with a as (select s.frame, s.idx, s.camera, tx, ty, tz, c.* exclude (camera), sign(c0) as s,
       sqrt(power(tx - c0, 2) + power(ty - c1, 2) + power(tz - c2, 2)) as d from {SEEN} s join {cameras_sql()} c on s.camera = c.camera),
     b as (select *, (ty - c1) / d as dy, (tz - c2) / d as dz, (tx - c0) / d as dx from a),
-    h as (select *, c1 + (s * 0.226e0 - c0) / dx * dy as y1, c2 + (s * 0.226e0 - c0) / dx * dz as z1,
+    h as (select *, c1 + (s * 0.25e0 - c0) / dx * dy as y1, c2 + (s * 0.25e0 - c0) / dx * dz as z1,
       {num(_N[2] / _N[1])} * dy as gy, {num(_N[2] / _N[1])} * dz as gz from b),
     g as (select *, -s * sqrt(1 - gy * gy - gz * gz) as gx from h),
-    w as (select *, s * 0.216e0 as x2, y1 + (s * 0.216e0 - s * 0.226e0) / gx * gy as y2, z1 + (s * 0.216e0 - s * 0.226e0) / gx * gz as z2,
+    w as (select *, s * 0.24e0 as x2, y1 + (s * 0.24e0 - s * 0.25e0) / gx * gy as y2, z1 + (s * 0.24e0 - s * 0.25e0) / gx * gz as z2,
       {num(_N[1] / _N[0])} * gy as wy, {num(_N[1] / _N[0])} * gz as wz from g),
     v as (select *, -s * sqrt(1 - wy * wy - wz * wz) as wx from w),
     q as (select *, r20*tx + r21*ty + r22*tz + t2 as depth, r20*x2 + r21*y2 + r22*z2 + t2 as o2, r20*wx + r21*wy + r22*wz as v2 from v),
@@ -453,14 +453,13 @@ def _(t):
 
 @query(
     "s4_read_observations", texts="status", ints="camera n", reals="x metric",
-    sql=f"""select 'Filtered_Small' as status, camera, count(*) as n, avg(x) as x, avg(metric) as metric from {OBS} o
-        where idx = 0 and frame in (select frame from {COMPLETE} c) group by camera""",
+    sql=f"""select case when idx = 0 then 'Filtered_Small' else 'Filtered_Large' end as status, camera, count(*) as n, avg(x) as x,
+        avg(metric) as metric from {OBS} o where frame in (select frame from {COMPLETE} c) group by 1, 2""",
 )
 def _(t):
     path = scratch_path(t.spark, "observations")
     ST.observation_rows(t.obs, 4).write.option("header", True).csv(path)
-    small = ST.read_observations(t.spark, path).filter(F.col("status") == "Filtered_Small")
-    return small.groupBy("status", "camera").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("metric").alias("metric"))
+    return ST.read_observations(t.spark, path).groupBy("status", "camera").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("metric").alias("metric"))
 
 
 @query(

@@ -17,24 +17,24 @@ from ..operators.quality import JUMP_STATE, fold_jumps
 def stream_bin_moments(
     samples: DataFrame, axes: Sequence[Axis], values: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Running count, sums and sums of squares per bin of arriving track chunks.
+    """Running count, mean and variance per bin of arriving track chunks.
+
+    Spark's variance keeps count, mean and summed squared deviations, so nothing cancels.
 
     The state holds one row per occupied bin.  Use ``complete`` or ``update`` mode;
     ``bin_moments_to_stats`` turns a result into means and variances.
     """
     aggs = [F.count(F.lit(1)).alias("n")]
     for v in values:
-        aggs += [F.sum(v).alias(f"s_{v}"), F.sum(F.col(v) * F.col(v)).alias(f"q_{v}")]
+        aggs += [F.avg(v).alias(f"s_{v}"), F.var_pop(v).alias(f"q_{v}")]
     return with_bins(samples, axes).groupBy(*by, *[a.name for a in axes]).agg(*aggs)
 
 
 def bin_moments_to_stats(moments: DataFrame, values: Sequence[str]) -> DataFrame:
-    n = F.col("n")
+    """Means under the values' names and variances under doubled names."""
     out = {}
     for v in values:
-        mean = F.col(f"s_{v}") / n
-        out[v] = mean
-        out[f"{v}{v}"] = F.greatest(F.col(f"q_{v}") / n - mean * mean, F.lit(0.0))
+        out |= {v: F.col(f"s_{v}"), f"{v}{v}": F.col(f"q_{v}")}
     return moments.withColumns(out).drop(*[f"{k}_{v}" for v in values for k in "sq"])
 
 
