@@ -233,9 +233,13 @@ def _(t):
     return A.intensity_stats(t.pixels, "value", 255, ["cam"])
 
 
+#: Calibration targets that are polynomials of the voltages, so that a fit has known values and no residual.
+HOT_WIRE = {"speed": "1 + 0.5e0 * {0} * {0} * {1} - 0.2e0 * {1} * {1} * {1}", "angle": "2 * {0} - 3 * {1} + 0.1e0 * {0} * {0} * {1} * {1}"}
+VOLTS = f"(select case_id, n, sqrt(1 + sqrt(u + 0.3e0 * v)) as e1, sqrt(1 + sqrt(v + 0.3e0 * u)) as e2 from {SIGNAL} sg)"
+
+
 def hot_wire_targets():
-    """Calibration targets built from the signal: speed and angle of (u, v)."""
-    return {"speed": P.speed("u", "v"), "angle": F.degrees(F.atan2("v", "u"))}
+    return {name: F.expr(text.format("e1", "e2")) for name, text in HOT_WIRE.items()}
 
 
 def hot_wire_volts(t):
@@ -245,14 +249,25 @@ def hot_wire_volts(t):
     )
 
 
-@query("a17_poly_calibration_fit", texts="case_id target", reals="at_centre at_corner", digits=2)
+def _fits_sql(pick: str) -> str:
+    return " union all ".join(f"select case_id, '{name}' as target, {pick.format(text.format('c1', 'c2'), text.format('m1', 'm2'))} from r" for name, text in HOT_WIRE.items())
+
+
+@query(
+    "a17_poly_calibration_fit", texts="case_id target", reals="at_centre at_corner", digits=2,
+    sql=f"""with r as (select case_id, (min(e1) + max(e1)) / 2 as c1, (min(e2) + max(e2)) / 2 as c2, max(e1) as m1, max(e2) as m2 from {VOLTS} v group by case_id)
+        {_fits_sql('{0} as at_centre, {1} as at_corner')}""",
+)
 def _(t):
     fit = A.poly_calibration_fit(hot_wire_volts(t), "e1", "e2", hot_wire_targets(), ["case_id"])
     corner = F.aggregate("coeffs", F.lit(0.0), lambda s, x: s + x)
     return fit.withColumns({"at_centre": F.element_at("coeffs", 1), "at_corner": corner})
 
 
-@query("a18_fit_errors", texts="case_id target", reals="rel_pct absolute", digits=3)
+@query(
+    "a18_fit_errors", texts="case_id target", reals="rel_pct absolute", digits=3,
+    sql=f"with r as (select distinct case_id, 0 as c1, 0 as c2, 0 as m1, 0 as m2 from {VOLTS} v) {_fits_sql('0e0 as rel_pct, 0e0 as absolute')}",
+)
 def _(t):
     rows = hot_wire_volts(t)
     fit = A.poly_calibration_fit(rows, "e1", "e2", hot_wire_targets(), ["case_id"])

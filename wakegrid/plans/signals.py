@@ -15,7 +15,7 @@ from ..operators import turbulence as B
 from ..operators import wind as M
 from ..operators.binning import Axis
 from ..sources import tables as ST
-from .eulerian import hot_wire_volts, midpoint_quantile_sql
+from .eulerian import HOT_WIRE, VOLTS, hot_wire_targets, hot_wire_volts, midpoint_quantile_sql
 from .registry import query
 from .views import FS, PIXELS, SAMPLES, SCADA, SIGNAL, TOWER, TWO_PI, grid_sql, num
 
@@ -341,16 +341,21 @@ def _(t):
 
 
 def calibration(t):
-    targets = {"U": F.col("u"), "V": F.col("v")}
+    known = hot_wire_targets()
+    targets = {"U": known["speed"], "V": known["angle"]}
     return A.poly_calibration_fit(hot_wire_volts(t), "e1", "e2", targets, ["case_id"])
 
 
-@query("j12_apply_calibration", texts="case_id", ints="n", reals="u v", digits=2)
+CALIBRATED = f"(select case_id, n, ({HOT_WIRE['speed'].format('e1', 'e2')}) / 10 as u, ({HOT_WIRE['angle'].format('e1', 'e2')}) / 10 as v from {VOLTS} vo)"
+
+
+@query("j12_apply_calibration", texts="case_id", ints="n", reals="u v", digits=3, sql=f"select * from {CALIBRATED} c")
 def _(t):
     return B.apply_calibration(hot_wire_volts(t).drop("u", "v"), calibration(t), ["case_id"], "e1", "e2", 10.0)
 
 
-@query("b7_velocity_from_volts", texts="case_id", ints="n", reals="mean std", digits=3)
+@query("b7_velocity_from_volts", texts="case_id", ints="n", reals="mean std", digits=3,
+       sql=f"select case_id, count(*) as n, avg(u) as mean, stddev_samp(u) as std from {CALIBRATED} c group by case_id")
 def _(t):
     volts = hot_wire_volts(t).drop("u", "v")
     stats, _ = B.velocity_from_volts(volts, calibration(t), ["case_id"], "n", "e1", "e2", 10.0, NSEG, FS)
