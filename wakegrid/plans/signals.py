@@ -482,7 +482,21 @@ def _(t):
     return M.convective_scale(M.turbulence_by_height(t.tower, ["record"], "height", "n"), "height")
 
 
-@query("m6_roughness_fit", ints="record levels", reals="ln_z0")
+_BISQUARE = "case when abs(x - c) < h then power(1 - power((x - c) / h, 2), 2) else 0 end"
+
+
+@query(
+    "m6_roughness_fit", ints="record levels", reals="ln_z0",
+    sql=f"""with recursive l as (select record, ln(height) - 0.4e0 * speed / s.friction + case when s.obukhov < 0 then -2 * ln((1 + x) / 2) - ln(1 + x * x)
+            + 2 * atan(x) - {num(math.pi / 2)} else 0 end as z
+          from (select t.*, s.friction, s.obukhov, case when s.obukhov < 0 then power(1 - 15e0 * t.height / s.obukhov, 0.25e0) end as x
+            from {_turbulence_sql('')} t join {STABLE} s using (record)) s),
+        g as materialized (select record, list(z order by z) as z from l where z is not null group by record),
+        r as (select record, z, list_avg(z) as c, 0 as k from g union all
+          select record, z, list_sum([{_BISQUARE} * x for x in z]) / list_sum([{_BISQUARE} for x in z]), k + 1
+          from (select *, 4.685e0 * greatest(list_median([abs(x - c) for x in z]) / 0.6745e0, 1e-12) as h from r where k < 20) q)
+        select record, len(z) as levels, c as ln_z0 from r where k = 20""",
+)
 def _(t):
     levels = M.turbulence_by_height(t.tower, ["record"], "height", "n")
     fit = M.roughness_fit(levels, M.stability(levels, ["record"], "height"), ["record"], "height")

@@ -9,6 +9,7 @@ from ..session import scratch_path
 from ..streaming import incremental as ST
 from .registry import query
 from .views import GRID, grid_sql, spark_samples
+from .vision import JUMP_REPORT, pairs
 
 
 def drain(stream: DataFrame, name: str, mode: str, every: bool) -> DataFrame:
@@ -54,10 +55,8 @@ def _(t):
     return ST.bin_moments_to_stats(drain(moments, "moments", "complete", False), ["u"])
 
 
-@query("st2_stream_jump_gate", ints="camera total rejected", reals="pct")
+@query("st2_stream_jump_gate", ints="camera total rejected", reals="pct", sql=JUMP_REPORT)
 def _(t):
-    from .vision import pairs
-
     path = scratch_path(t.spark, "pairs")
     table = pairs(t).select("camera", *ST.JUMP_STATE)
     table.write.parquet(path)

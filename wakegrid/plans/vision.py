@@ -393,7 +393,21 @@ def _(t):
     return Q.gate_report(Q.length_gate(pairs(t), lo, 300.0), ["camera"])
 
 
-@query("f5_jump_gate", ints="camera total rejected", reals="pct")
+#: The gate row after row: the state is the last accepted frame and its points.
+JUMPS = f"""(with recursive p as materialized (select camera, frame, x0, y0, x1, y1, row_number() over (partition by camera order by frame) as i
+      from {PAIRS} s where x0 + y0 + x1 + y1 is not null),
+    r as (select camera, i, frame, x0, y0, x1, y1, 1 as ok from p where i = 1 union all
+      select camera, i, case when near then frame else f end, case when near then x0 else a0 end, case when near then y0 else b0 end,
+        case when near then x1 else a1 end, case when near then y1 else b1 end, case when near then 1 else 0 end
+      from (select p.*, r.frame as f, r.x0 as a0, r.y0 as b0, r.x1 as a1, r.y1 as b1,
+        greatest(power(p.x0 - r.x0, 2) + power(p.y0 - r.y0, 2), power(p.x1 - r.x1, 2) + power(p.y1 - r.y1, 2)) <= power(60 * least(p.frame - r.frame, 5), 2) as near
+        from r join p on p.camera = r.camera and p.i = r.i + 1) q)
+    select camera, sum(ok) as kept from r group by camera)"""
+JUMP_REPORT = f"""select camera, total, total - kept as rejected, 100e0 * kept / total as pct from {JUMPS} j
+    join (select camera, count(*) as total from {PAIRS} p group by camera) c using (camera)"""
+
+
+@query("f5_jump_gate", ints="camera total rejected", reals="pct", sql=JUMP_REPORT)
 def _(t):
     return Q.gate_report(Q.jump_gate(pairs(t), ["camera"], 60.0, size=2048), ["camera"])
 
