@@ -746,7 +746,16 @@ def _(t):
     return peaks(t)
 
 
-@query("x5_suppress_peaks", ints="cam frame row col value")
+@query(
+    "x5_suppress_peaks", ints="cam frame row col value",
+    sql=f"""with recursive p as materialized (select *, row_number() over (partition by cam, frame order by value desc, col, row) as i from {PEAKS} k),
+        r as (select distinct cam, frame, cast(0 as bigint) as i, cast([] as struct(y bigint, x bigint)[]) as kept from p union all
+          select r.cam, r.frame, p.i, case when len([k for k in kept if power(k.y - p.row, 2) + power(k.x - p.col, 2) <= 9]) = 0
+            then list_append(kept, {{'y': cast(p.row as bigint), 'x': cast(p.col as bigint)}}) else kept end
+          from r join p on p.cam = r.cam and p.frame = r.frame and p.i = r.i + 1),
+        l as (select cam, frame, unnest(arg_max(kept, i)) as k from r group by cam, frame)
+        select p.cam, p.frame, p.row, p.col, p.value from l join p on l.cam = p.cam and l.frame = p.frame and l.k.y = p.row and l.k.x = p.col""",
+)
 def _(t):
     return X.suppress_peaks(peaks(t), 3.0)
 
