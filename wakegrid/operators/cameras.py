@@ -326,15 +326,24 @@ def _fundamental() -> list[list[Column]]:
     ]
 
 
+#: Cameras whose pairs are listed, and cameras whose swaps are.
+MAX_PAIRED, MAX_SWAPPED = 256, 12
+
+
 def pair_geometry(cams: DataFrame) -> DataFrame:
     """One row per camera pair c1 < c2: fundamental matrix f (9) and whether their walls differ.
 
-    The camera table is a handful of rows; the inequality join stays that small.
+    The cameras are gathered in one checked list, whose pairs are listed without a join.
     """
     fields = ("k", "r", "t", "plate_normal")
-    a = cams.select(F.col("camera").alias("c1"), *[F.col(f).alias(f"{f}_1") for f in fields])
-    b = cams.select(F.col("camera").alias("c2"), *[F.col(f).alias(f"{f}_2") for f in fields])
-    pairs = a.join(b, F.col("c1") < F.col("c2"))
+    listed = cams.select(F.struct("camera", *fields).alias("c")).agg(F.sort_array(F.collect_list("c")).alias("l"))
+    checked = F.when(F.size("l") <= MAX_PAIRED, F.col("l")).otherwise(F.raise_error(F.lit("too many cameras to pair")))
+    both = F.flatten(F.transform("l", lambda a: F.transform("l", lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = listed.select(checked.alias("l")).select(F.explode(F.filter(both, lambda p: p["a"]["camera"] < p["b"]["camera"])).alias("p"))
+    pairs = pairs.select(
+        *[F.col(f"p.{side}.camera").alias(f"c{i}") for i, side in ((1, "a"), (2, "b"))],
+        *[F.col(f"p.{side}.{f}").alias(f"{f}_{i}") for i, side in ((1, "a"), (2, "b")) for f in fields],
+    )
     f = _fundamental()
     cross = _arr("plate_normal_1", 0) != _arr("plate_normal_2", 0)
     return pairs.select(
@@ -397,6 +406,8 @@ def swap_search(
         F.count(F.lit(1)).alias("shared"),
         *[inliers(a, b).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)],
     ).filter(F.col("shared") * 2 >= min_shared)
+    if len(cameras) > MAX_SWAPPED:
+        raise ValueError(f"the swaps of {len(cameras)} cameras are too many to list")
     combos = list(itertools.product((0, 1), repeat=len(cameras)))
     position = {c: k for k, c in enumerate(sorted(cameras))}
     place = F.create_map(*[x for c, k in position.items() for x in (F.lit(c), F.lit(k))])
