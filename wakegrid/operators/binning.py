@@ -155,6 +155,22 @@ def resolution_sweep(
     )
 
 
+def sweep_profiles(sweep: DataFrame, height: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per resolution and height of a sweep: plane means, mean energy and dispersive fluxes."""
+    keys = [*by, "bins", height]
+    planes = with_tke(sweep).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in (*"uvw", "tke")])
+    return planes.join(dispersive_flux(sweep, keys), keys)
+
+
+def sweep_errors(profiles: DataFrame, height: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Relative errors of every resolution's profile against the finest one's."""
+    from .spectral import rel_errors
+
+    finest = attach(profiles, profiles.groupBy(*by).agg(F.max("bins").alias("_most")), by).filter(F.col("bins") == F.col("_most"))
+    reference = finest.select(*by, height, *[F.col(v).alias(f"_r_{v}") for v in values])
+    return rel_errors(profiles.join(reference, [*by, height]), [*by, "bins"], {v: f"_r_{v}" for v in values})
+
+
 def profile_moments(df: DataFrame, height: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean velocity, stresses and energy at every tabulated height."""
     return with_tke(

@@ -20,14 +20,19 @@ SHIFT_LIMIT = 96
 def velocity_fluctuation(
     tracks: DataFrame, profile: DataFrame, by: Sequence[str], track: str, index: str, dt: float,
     positions: Sequence[str] = ("x", "y", "z"), min_length: int = 10, size: int = BLOCK,
+    velocities: Sequence[str] | None = None,
 ) -> DataFrame:
     """Velocity along the first contiguous run minus the local mean profile.
 
-    ``profile`` tabulates u, v, w over y (and ``by``).  Adds u_p, v_p, w_p.
+    ``profile`` tabulates u, v, w over y (and ``by``).  Adds u_p, v_p, w_p.  The
+    velocity is the positions' gradient, or the tracked ``velocities`` if given.
     """
     keys = [*by, track]
     runs = first_contiguous_segment(tracks.dropna(subset=list(positions)), keys, index, min_length, size)
-    moving = central_gradient(runs, keys, index, positions, dt, "_g_", size)
+    if velocities is None:
+        moving = central_gradient(runs, keys, index, positions, dt, "_g_", size)
+    else:
+        moving = runs.withColumns({f"_g_{p}": F.col(v) for p, v in zip(positions, velocities)})
     local = interp_pchip(moving, "y", profile, "y", ["u", "v", "w"], by, suffix="_mean")
     out = {f"{c}_p": F.col(f"_g_{p}") - F.col(f"{c}_mean") for c, p in zip("uvw", positions)}
     return local.withColumns(out).drop(*[f"_g_{p}" for p in positions], "u_mean", "v_mean", "w_mean")

@@ -175,10 +175,15 @@ def axis_spectrum(hat: DataFrame, by: Sequence[str], axis: str, n: int, length:
     )
 
 
+def plane_profiles(field: DataFrame, by: Sequence[str], axis: int = 1) -> DataFrame:
+    """Plane averages of pressure and source along one axis."""
+    return field.groupBy(*by, INDEX[axis]).agg(F.avg("p").alias("p"), F.avg("source").alias("source"))
+
+
 def solver_diagnostics(field: DataFrame, by: Sequence[str], axes: Sequence[Axis], axis: int = 1) -> DataFrame:
     """Condition number and largest amplification of one axis, RMS of the source and pressure profiles."""
-    name, a = INDEX[axis], axes[axis]
-    profile = field.groupBy(*by, name).agg(F.avg("p").alias("p"), F.avg("source").alias("source"))
+    a = axes[axis]
+    profile = plane_profiles(field, by, axis)
     base = 2 * math.pi / (a.hi - a.lo)
     rms = {v: F.sqrt(F.avg(F.col(v) * F.col(v))) for v in ("source", "p")}
     return profile.groupBy(*by).agg(

@@ -159,6 +159,36 @@ def _(t):
     return A.resolution_sweep(t.samples, X8, SWEEP, (Y11,))
 
 
+SWEPT = f"""(select bins, ix, iy, avg(u) as u, avg(v) as v, avg(w) as w, 0.5e0 * (var_pop(u) + var_pop(v) + var_pop(w)) as tke
+    from (select bins, iy, u, v, w, {bin_sql('x', X8.lo, X8.hi, 'bins')} as ix
+      from {grid_sql((Y11,))} g, (select unnest([{', '.join(map(str, SWEEP))}]) as bins) r) s where ix is not null group by bins, ix, iy)"""
+
+
+def sweep_planes(t):
+    return A.sweep_profiles(A.resolution_sweep(t.samples, X8, SWEEP, (Y11,)), "iy")
+
+
+@query(
+    "a11b_sweep_profiles", ints="bins iy n", reals="u v w tke d_uu d_uv",
+    sql=f"""with p as (select *, avg(u) over o as pu, avg(v) over o as pv from {SWEPT} m window o as (partition by bins, iy))
+        select bins, iy, count(*) as n, avg(u) as u, avg(v) as v, avg(w) as w, avg(tke) as tke, avg((u-pu)*(u-pu)) as d_uu,
+          avg((u-pu)*(v-pv)) as d_uv from p group by bins, iy""",
+)
+def _(t):
+    return sweep_planes(t)
+
+
+@query(
+    "a11c_sweep_errors", ints="bins", reals="l2_u linf_u l2_tke linf_tke",
+    sql=f"""with p as (select bins, iy, avg(u) as u, avg(tke) as tke from {SWEPT} m group by bins, iy),
+        r as (select iy, u as ru, tke as rt from p where bins = {max(SWEEP)})
+        select bins, sqrt(sum(power(u-ru,2)) / sum(ru*ru)) as l2_u, max(abs(u-ru)) / max(abs(ru)) as linf_u,
+          sqrt(sum(power(tke-rt,2)) / sum(rt*rt)) as l2_tke, max(abs(tke-rt)) / max(abs(rt)) as linf_tke from p join r using (iy) group by bins""",
+)
+def _(t):
+    return A.sweep_errors(sweep_planes(t), "iy", ["u", "tke"])
+
+
 @query(
     "a12_profile_moments", ints="run height n", reals="u v w uu vv ww uv tke",
     sql=f"""select record as run, height, count(*) as n, avg(u) as u, avg(v) as v, avg(w) as w, var_pop(u) as uu,

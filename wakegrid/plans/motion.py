@@ -499,6 +499,17 @@ def _(t):
     return fluctuations(t)
 
 
+@query(
+    "l1b_tracked_velocity", ints="track_id frame", reals="u_p v_p w_p", digits=2,
+    sql=f"""select g.track_id, g.frame, g.z - mu.m as u_p, g.x - mv.m as v_p, g.y - mw.m as w_p from {SEGMENT} g
+        join {_local('u')} mu on g.track_id = mu.track_id and g.frame = mu.frame
+        join {_local('v')} mv on g.track_id = mv.track_id and g.frame = mv.frame
+        join {_local('w')} mw on g.track_id = mw.track_id and g.frame = mw.frame""",
+)
+def _(t):
+    return L.velocity_fluctuation(t.gappy, velocity_profile(t), [], "track_id", "frame", DT, velocities=("z", "x", "y"))
+
+
 VALUES = ["u_p", "v_p", "w_p"]
 LAGS = 20
 

@@ -114,15 +114,20 @@ def _(t):
 
 
 @query(
-    "g5_solver_diagnostics", reals="condition max_amplification pressure_rms ratio", digits=6,
+    "g5_solver_diagnostics", reals="condition max_amplification source_rms pressure_rms ratio", digits=6,
     sql=f"""with a as (select j, avg(p) as p, avg(source) as s from {PRESSURE} f group by j)
         select 16e0 as condition, 1 / power({num(2 * math.pi / (GRID[1].hi - GRID[1].lo))}, 2) as max_amplification,
-          sqrt(avg(p * p)) as pressure_rms, sqrt(avg(p * p)) / sqrt(avg(s * s)) as ratio from a""",
+          sqrt(avg(s * s)) as source_rms, sqrt(avg(p * p)) as pressure_rms, sqrt(avg(p * p)) / sqrt(avg(s * s)) as ratio from a""",
 )
 def _(t):
     return G.solver_diagnostics(pressure(t), [], GRID)
 
 
+@query("g5b_plane_profiles", ints="j", reals="p source", sql=f"select j, avg(p) as p, avg(source) as source from {PRESSURE} f group by j")
+def _(t):
+    return G.plane_profiles(pressure(t), [])
+
+
 @query(
     "g6_rel_errors", ints="run", reals="l2_u linf_u l2_v linf_v",
     sql=f"""with b as (select run, iy, avg(u) as u, avg(v) as v from {grid_sql((GRID[1],))} g group by run, iy),
@@ -362,6 +367,14 @@ def _(t):
     return stats
 
 
+@query("b7b_velocity_spectrum", texts="case_id", ints="bin segments", reals="freq psd", digits=3,
+       sql=f"select * from {WELCH.replace(SIGNAL, CALIBRATED)} w")
+def _(t):
+    volts = hot_wire_volts(t).drop("u", "v")
+    _, spectrum = B.velocity_from_volts(volts, calibration(t), ["case_id"], "n", "e1", "e2", 10.0, NSEG, FS)
+    return spectrum
+
+
 # ----------------------------------------------------------------------- tower
 
 
