@@ -84,6 +84,8 @@ def merge_block(part: pd.DataFrame) -> pd.DataFrame:
         twice[at] |= seen[at]
         seen[at] = True
         twice[unsqueeze(more)] = True
+    if not twice.any():
+        return pd.DataFrame({"block": [], "bitmap": []}).astype({"block": int, "bitmap": object})
     bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(twice, bitorder="little").tobytes())
     return pd.DataFrame({"block": [int(part["block"].iloc[0])], "bitmap": [bits]})
 
@@ -92,7 +94,11 @@ class Sketch:
     """The merged sketch in a task."""
 
     def __init__(self, held: Broadcast, bits: int):
-        self.rows, self.bits = held.value, bits
+        self.rows, self.bits = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)], bits
+        unit = 1 << (BLOCK_BITS - 3)
+        for number, data in held.value:
+            row, block = divmod(number, 1 << (bits - BLOCK_BITS))
+            self.rows[row][block * unit : (block + 1) * unit] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key's estimated count is two or more."""
@@ -104,10 +110,6 @@ class Sketch:
 
 
 def merged(sent: DataFrame, bits: int) -> Broadcast:
-    """The partitions' messages as one sketch of ``ROWS * 2**bits`` bits, sent to all tasks."""
-    rows = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
-    unit = 1 << (BLOCK_BITS - 3)
-    for got in sent.groupBy("block").applyInPandas(merge_block, "block int, bitmap binary").toLocalIterator(prefetchPartitions=True):
-        row, block = divmod(got["block"], 1 << (bits - BLOCK_BITS))
-        rows[row][block * unit : (block + 1) * unit] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(got["bitmap"])), np.uint8)
-    return sent.sparkSession.sparkContext.broadcast(rows)
+    """The partitions' messages as one sketch of at most ``ROWS * 2**bits`` bits, sent compressed to all tasks."""
+    found = sent.groupBy("block").applyInPandas(merge_block, "block int, bitmap binary").collect()
+    return sent.sparkSession.sparkContext.broadcast([(r["block"], bytes(r["bitmap"])) for r in found])
