@@ -103,7 +103,9 @@ def test_registry_names_and_entry(spark):
     import __spark_entry__ as entry
 
     assert all(re.fullmatch(r"(st|[a-z])\d+[a-z]?_[a-z0-9_]+", n) for n in QUERIES)
-    assert set(ORACLES) <= set(QUERIES) and set(entry.queries()) == set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
+    # beside them only the text operators, which may be left out
+    assert all(re.match(r"op\d+_|pipeline$", n) for n in set(entry.queries()) - set(QUERIES))
     df = entry.entry(spark)
     assert df.columns == ["iy", "bins", "u", "v", "w"] and df.count() > 0
 
