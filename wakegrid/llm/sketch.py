@@ -57,7 +57,7 @@ def messages(keys: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
                 yield (row << (bits - BLOCK_BITS)) + int(block[a]), squeeze(low[~twice]), squeeze(low[twice])
 
 
-def message_batches(chunks: Iterator[np.ndarray], bits: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def message_batches(chunks: Iterator[np.ndarray], bits: int, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Messages of a stream of key arrays, gathered to at most about ``most`` keys at a time."""
 
     def batch(held: list[np.ndarray]) -> pa.RecordBatch:

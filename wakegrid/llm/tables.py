@@ -15,8 +15,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to Python; with the batch's copies a task stays small whatever the texts' length.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{folder}/{name}.parquet")
+    tune(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; longer texts are handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 BASE = 0x9E3779B97F4A7C15 | 3
 MASK = (1 << 64) - 1
