@@ -10,11 +10,11 @@ distinct ``width``-word shingles.
 3. **Index.**  A class is listed under the first shingles of its set, common ones
    last; two linked classes meet in a list.  List entries carry size and place, by
    which entries that can't reach the threshold are skipped.
-4. **Pivots.**  Each class is compared with the head of its lists, the one with
-   most copies.  Classes that link to it are one component from then on, and pairs
-   inside a component need no look.
+4. **Pivots.**  Each class is compared with the first head of its lists, those with
+   most copies first, and in later rounds with the next outside its component.
+   Linked classes are one component from then on; pairs inside need no look.
 5. **Derived answers.**  What remains are classes outside the component of a
-   list's head.  A class's answers follow from its pivot's: two sets that share
+   list's head.  Each is also held against the pivot that most others there follow.  A class's answers follow from its pivot's: two sets that share
    nothing outside the pivot have at most the smaller of their overlaps with it in
    common.  Shingles outside the pivot are listed too, so pairs that share one meet
    in its own list, and all others are skipped by that bound.
@@ -42,6 +42,8 @@ from .text import Hasher, lower_ascii, slices, window_hashes, word_bounds
 SKETCH_BITS = 28
 #: Most common shingles whose order is sent to the tasks; the order decides how long lists are, not what is found.
 COMMON = 200_000
+#: Rounds in which each class is compared with one head of its lists.
+STAR_ROUNDS = 3
 
 
 def shingle_sets(batch: pa.RecordBatch, hasher: Hasher, width: int) -> Iterator[np.ndarray]:
@@ -188,22 +190,50 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     held = spark.sparkContext.broadcast((known[order], np.array([r["n"] for r in rows], np.int64)[order]))
     entries = kept(sets.select("id", "copies", "shingles").mapInArrow(list_first(held, percent), "token long, id long, size long, copies long, place long"), "entries")
 
-    # a list's head: most copies, then the one that a hash of its id puts first
-    lead = F.struct("copies", F.xxhash64("id").alias("h"), F.col("id").alias("head"), F.col("size").alias("head_size"))
-    heads = entries.groupBy("token").agg(F.max(lead).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "lead.head", "lead.head_size")
-    stars = entries.join(heads, "token").where("id <> head").where(sizes_fit("size", "head_size", percent))
-    stars = stars.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    first = kept(verified(stars, sets, percent, with_rest=True), "pivots")
-    links = first.where("linked").select("a", "b")
-    named = components(links)
+    # heads come in one order everywhere: most copies, then by a hash of the id
+    rank = [F.col("copies"), F.xxhash64("id").alias("h"), F.col("id").alias("head"), F.col("size").alias("head_size")]
+    heads = entries.groupBy("token").agg(F.max(F.struct(*rank)).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "lead")
+
+    def nearest(listed: DataFrame, against: DataFrame) -> DataFrame:
+        """For each class the best head of its lists, as pairs (a, b); once each."""
+        met = listed.join(against, "token").where("id <> lead.head").where(sizes_fit("size", "lead.head_size", percent))
+        return met.groupBy("id").agg(F.max("lead").alias("lead")).select(F.col("id").alias("a"), F.col("lead.head").alias("b"))
 
-    # the pivot a class shares most with, and what the class holds beside it
-    pivots = first.groupBy("a").agg(F.max(F.struct("shared", "b", "rest")).alias("p")).select(F.col("a").alias("id"), F.col("p.b").alias("pivot"), F.col("p.shared").alias("shared"), F.col("p.rest").alias("rest"))
-    pivots = kept(pivots, "derived")
-    about = entries.select("id", "size").distinct().join(named, "id", "left").join(pivots.drop("rest"), "id", "left")
+    first = kept(verified(nearest(entries, heads), sets, percent, with_rest=True), "pivots")
+    links, compared = first.where("linked").select("a", "b"), first.select("a", "b")
+    named = components(links)
+    for _ in range(STAR_ROUNDS - 1):
+        # classes outside their head's component try the next head
+        placed = entries.select("token", "id", "size").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        tops = heads.join(named.select(F.col("id").alias("h_id"), F.col("component").alias("head_component")), F.col("lead.head") == F.col("h_id"), "left")
+        tops = tops.select("token", "lead", F.coalesce("head_component", "lead.head").alias("head_component"))
+        met = placed.join(tops, "token").where("component <> head_component").where(sizes_fit("size", "lead.head_size", percent))
+        met = met.select("id", "lead", F.col("lead.head").alias("b")).join(compared.select(F.col("a").alias("id"), "b"), ["id", "b"], "left_anti")
+        met = met.groupBy("id").agg(F.max("lead").alias("lead")).select(F.col("id").alias("a"), F.col("lead.head").alias("b"))
+        more = kept(verified(met, sets, percent), "stars")
+        links, compared = links.union(more.where("linked").select("a", "b")), compared.union(more.select("a", "b"))
+        named = components(links)
+
+    # what a class has in common with its pivot, and what it holds beside it
+    # (where that is less than half of it, the pivot tells little and is not used)
+    close = first.where(F.col("shared") >= F.size("rest")).select("a", "b", "shared", "rest")
+    # classes outside the group around a pivot that they meet are held against that pivot too
+    popular = close.groupBy("b").agg(F.count(F.lit(1)).alias("followers"))
+    marks = close.select("a", "b").join(popular, "b").select(F.col("a").alias("id"), F.struct("followers", F.col("b").alias("pivot")).alias("best"))
+    spots = entries.select("token", "id").join(marks, "id", "left")
+    tops = spots.groupBy("token").agg(F.max("best").alias("top")).where("top is not null")
+    wanted = spots.join(tops, "token").groupBy("id").agg(F.max("top").alias("top"), F.max("best").alias("best"))
+    wanted = wanted.where("top.pivot <> id and (best is null or best.pivot <> top.pivot)").select(F.col("id").alias("a"), F.col("top.pivot").alias("b"))
+    again = kept(verified(wanted, sets, percent, with_rest=True), "pivots")
+    links, compared = links.union(again.where("linked").select("a", "b")), compared.union(again.select("a", "b"))
+    named = components(links)
+    adopted = again.where(F.col("shared") >= F.size("rest")).select("a", "b", "shared", "rest")
+    close = kept(adopted.union(close.join(adopted.select("a"), "a", "left_anti")), "close")
+    pivots = close.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "shared")
+    about = entries.select("id", "size").distinct().join(named, "id", "left").join(pivots, "id", "left")
     about = about.select("id", "size", F.coalesce("component", "id").alias("component"), F.coalesce("pivot", "id").alias("pivot"), F.coalesce("shared", "size").alias("shared"))
     about = kept(about, "about")
-    outside = pivots.select("id", F.explode("rest").alias("token")).withColumn("outside", F.lit(True))
+    outside = close.select(F.col("a").alias("id"), F.explode("rest").alias("token")).withColumn("outside", F.lit(True))
     listed = entries.select("token", "id", "place").join(outside, ["token", "id"], "full")
     listed = listed.join(about, "id").select("token", "id", "size", "component", "pivot", "shared", F.col("place"), F.coalesce("outside", F.lit(False)).alias("outside"))
     listed = kept(listed, "lists")
@@ -216,12 +246,14 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     need = reachable("size_a", "size_b", percent)
     # places count only between entries among the first shingles
     ahead = F.coalesce(F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + F.least("place_a", "place_b"), need)
-    bound = F.when((F.col("pivot_a") == F.col("pivot_b")) & ~F.col("outside_a") & ~F.col("outside_b"), F.least("shared_a", "shared_b")).otherwise(need)
+    # with one pivot: no more inside it than the smaller overlap, no more beside it than the smaller rest
+    beside = F.when(F.col("outside_a") & F.col("outside_b"), F.least(F.col("size_a") - F.col("shared_a"), F.col("size_b") - F.col("shared_b"))).otherwise(0)
+    bound = F.when(F.col("pivot_a") == F.col("pivot_b"), F.least("shared_a", "shared_b") + beside).otherwise(need)
     met = met.where((F.col("component_a") != F.col("component_b")) & sizes_fit("size_a", "size_b", percent) & (bound >= need) & (ahead >= need))
     pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    # a pair that was compared with a pivot is known
-    known_pairs = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = kept(pairs.join(known_pairs, ["a", "b"], "left_anti"), "pairs")
+    # what was compared with a head is known
+    known_pairs = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = kept(pairs.join(known_pairs.distinct(), ["a", "b"], "left_anti"), "pairs")
     second = verified(pairs, sets, percent).where("linked").select("a", "b")
     return kept(links.union(second), "links")
 
