@@ -10,15 +10,16 @@ headers, footers, sidebars, notices, adverts, forms, comments).
 
 1. Each page becomes a shape: its tree with equal neighbours as one, so that pages
    that differ in the number of paragraphs have the same shape.
-2. Distinct shapes of a host are folded into its tree by matching, first in
-   groups (by a hash of the shape), then group by group: the trees are small and
-   their number does not follow the pages.
-3. Texts are counted per host, node and text; a node is template when most pages
-   say the same there.  These counts are sums, so a hot host is spread out.
+2. Distinct shapes of a host are folded into its tree by matching, about ``FAN``
+   trees a task and level (by a hash of the tree), in as many levels as it takes.
+3. Texts are counted per host, node and text over pages with different texts, so
+   copies of a page count once; a text is template when most of these pages have
+   it at one node.  These counts are sums, so a hot host is spread out.
 4. Pages meet their host's tree in a join that Spark may split.
 
 Null and empty pages have no text.  A page without a host is its own host "".
-Pages of a host with fewer than ``FEWEST`` pages have no template nodes.
+Hosts with fewer than ``FEWEST`` different pages have no template nodes.  A page's
+content element is kept whole when all its text would go as template.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .tables import kept
 
-FEWEST, SHARE, GROUPS = 5, 0.8, 32
+FEWEST, SHARE, FAN = 5, 0.8, 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noembed noframes".split())
@@ -235,14 +236,10 @@ def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = (host_of(url), json.dumps(shape(tree(page or "")), separators=(",", ":"), ensure_ascii=False))
             seen[key] = seen.get(key, 0) + 1
         if seen:
-            yield pa.record_batch([pa.array([h for h, _ in seen]), pa.array([s for _, s in seen]), pa.array(list(seen.values()), pa.int64())], names=["host", "shape", "pages"])
+            yield pa.record_batch([pa.array([h for h, _ in seen]), pa.array([s for _, s in seen]), pa.array(list(seen.values()), pa.int64())], names=["host", "tree", "pages"])
 
 
 def fold_group(part: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": [part["host"].iloc[0]], "tree": [fold(part["shape"].tolist())], "pages": [int(part["pages"].sum())]})
-
-
-def fold_host(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [part["host"].iloc[0]], "tree": [fold(part["tree"].tolist())], "pages": [int(part["pages"].sum())]})
 
 
@@ -262,19 +259,31 @@ class Aligner:
         return out
 
 
-def count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, place, hash of the text, pages) of the texts at matched nodes, once for a page."""
-    aligner = Aligner()
+def page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, digest of the page's texts, keys of its texts at matched nodes) of pages; equal pages of a partition once."""
+    import xxhash
+
+    aligner, met = Aligner(), set()
     for batch in batches:
-        seen: dict[tuple[str, str, int], int] = {}
+        hosts, digests, texts = [], [], []
         for host, page, template in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            same = xxhash.xxh3_128_digest(f"{host}\n{page or ''}".encode("utf-8", "replace"))
+            if same in met:
+                continue
+            met.add(same)
             root = tree(page or "")
             where = aligner.of(root, template)
-            for key in {(host, where[id(node)], stable_hash(text)) for node, text, _, _ in blocks(root) if id(node) in where}:
-                seen[key] = seen.get(key, 0) + 1
-        if seen:
-            host, place, said = zip(*seen, strict=True)
-            yield pa.record_batch([pa.array(host), pa.array(place), pa.array(said, pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "place", "said", "pages"])
+            found, whole = set(), xxhash.xxh3_128()
+            for node, text, _, _ in blocks(root):
+                place = where.get(id(node))
+                whole.update(f"{place}\n{text}\n".encode("utf-8", "replace"))
+                if place is not None:
+                    found.add(text_key(place, text))
+            hosts.append(host)
+            digests.append(whole.digest())
+            texts.append(list(found))
+        if hosts:
+            yield pa.record_batch([pa.array(hosts), pa.array(digests, pa.binary()), pa.array(texts, pa.list_(pa.int64()))], names=["host", "digest", "texts"])
 
 
 def stable_hash(text: str) -> int:
@@ -283,11 +292,17 @@ def stable_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def main_text(root: Node, where: dict[int, str], constant: set[tuple[str, int]]) -> str:
+def text_key(place: str, text: str) -> int:
+    return stable_hash(f"{place}\n{text}")
+
+
+def main_text(root: Node, where: dict[int, str], constant: set[int]) -> str:
     """Blocks of varying slots that are not set apart; under the content element if the page has one."""
-    found = [(text, apart, content, (where.get(id(node)), stable_hash(text)) in constant if constant else False) for node, text, apart, content in blocks(root)]
-    inside = any(content and not apart for _, apart, content, _ in found)
-    return "\n".join(text for text, apart, content, fixed in found if not apart and not fixed and (content or not inside))
+    found = [(node, text, content) for node, text, apart, content in blocks(root) if not apart]
+    inside = [x for x in found if x[2]]
+    varying = [text for node, text, _ in inside or found if not (constant and id(node) in where and text_key(where[id(node)], text) in constant)]
+    # a content element that would lose all its text holds a page that others copy
+    return "\n".join(varying or [text for _, text, _ in inside])
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,11 +310,10 @@ def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index
         out = []
-        for page, template, fixed in zip(batch.column(at("html")).to_pylist(), batch.column(at("tree")).to_pylist(), batch.column(at("fixed")).to_pylist(), strict=True):
+        for page, template, fixed in zip(*(batch.column(at(c)).to_pylist() for c in ("html", "tree", "fixed")), strict=True):
             root = tree(page or "")
-            constant = {(f["place"], f["said"]) for f in fixed or ()}
-            where = aligner.of(root, template) if constant and template else {}
-            out.append(main_text(root, where, constant))
+            where = aligner.of(root, template) if template and fixed else {}
+            out.append(main_text(root, where, set(fixed or ())))
         yield pa.record_batch([batch.column(at("page_id")), batch.column(at("url")), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -308,20 +322,34 @@ def host_column(url: str) -> Column:
 
 
 def host_trees(pages: DataFrame) -> DataFrame:
-    """Written table (host, tree, pages): each host's tree and how many pages it has."""
-    found = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(shapes, "host string, shape string, pages long")
-    found = found.groupBy("host", "shape").agg(F.sum("pages").alias("pages")).withColumn("part", F.pmod(F.xxhash64("shape"), F.lit(GROUPS)))
-    parts = found.groupBy("host", "part").applyInPandas(fold_group, "host string, tree string, pages long")
-    return kept(parts.groupBy("host").applyInPandas(fold_host, "host string, tree string, pages long"), "host-trees")
+    """Written table (host, tree, pages): each host's tree and how many rows it has."""
+    kind = "host string, tree string, pages long"
+    found = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(shapes, kind)
+    trees, level = kept(found.groupBy("host", "tree").agg(F.sum("pages").alias("pages")), "host-shapes"), 0
+    while True:
+        sizes = trees.groupBy("host").agg(F.count(F.lit(1)).alias("trees"))
+        if (sizes.agg(F.max("trees")).first()[0] or 0) <= 1:
+            return trees
+        level += 1
+        part = F.pmod(F.xxhash64("tree"), F.ceil(F.col("trees") / FAN))
+        parts = trees.join(sizes, "host").withColumn("part", part).groupBy("host", "part")
+        trees = kept(parts.applyInPandas(fold_group, kind), f"host-trees-{level}")
+
+
+def host_slots(whole: DataFrame, trees: DataFrame) -> DataFrame:
+    """(host, fixed): the keys of each host's template texts."""
+    aligned = whole.join(trees.where(F.col("pages") >= FEWEST), "host").select("host", "html", "tree")
+    found = aligned.mapInArrow(page_texts, "host string, digest binary, texts array<long>")
+    # copies of a page have the same texts: a host's pages are those that differ
+    different = kept(found.groupBy("host", "digest").agg(F.first("texts").alias("texts")), "page-texts")
+    sizes = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= FEWEST)
+    counts = different.select("host", F.explode("texts").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * SHARE).groupBy("host").agg(F.collect_list("key").alias("fixed"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """A row per row of ``pages``: page_id, url and the main text."""
     trees = host_trees(pages)
     whole = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_column("url"))
-    aligned = whole.join(trees.where(F.col("pages") >= FEWEST), "host").select("host", "html", "tree")
-    counts = aligned.mapInArrow(count_texts, "host string, place string, said long, pages long").groupBy("host", "place", "said").agg(F.sum("pages").alias("n"))
-    fixed = counts.join(trees.select("host", "pages"), "host").where(F.col("n") >= F.col("pages") * SHARE)
-    fixed = fixed.groupBy("host").agg(F.collect_list(F.struct("place", "said")).alias("fixed"))
-    wrappers = kept(trees.join(fixed, "host", "left").select("host", "tree", "fixed"), "wrappers")
+    wrappers = kept(trees.join(host_slots(whole, trees), "host", "left").select("host", "tree", "fixed"), "wrappers")
     return whole.join(wrappers, "host", "left").select("page_id", "url", "html", "tree", "fixed").mapInArrow(extract, "page_id long, url string, text string")
