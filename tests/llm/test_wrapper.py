@@ -1,4 +1,4 @@
-"""Wrapper induction on hosts of copies and hosts of many shapes."""
+"""Wrapper induction on hosts of copies, hosts of many shapes and parts with misleading names."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import json
 import random
 
 from wakegrid.llm import wrapper
-from wakegrid.llm.wrapper import extract_pages, fold, host_trees
+from wakegrid.llm.wrapper import extract_pages, fold, host_trees, main_text, set_apart, tree
 
 PAGE = "<body><div class=top>Welcome to the site</div><article><h1>{}</h1><p>{}</article></body>"
 
@@ -49,3 +49,18 @@ def test_shapes_are_folded_in_levels(spark, monkeypatch):
     monkeypatch.undo()
     assert fold([trees[0]["tree"]]) == trees[0]["tree"]
     assert extracted(spark, htmls) == ["\n".join(f"{k} {i}" for i in range(6)) for k in range(len(htmls))]
+
+
+def test_names_that_set_nothing_apart():
+    for tag, rest in [("div", ' style="overflow:hidden"'), ("div", " class='overflow-hidden'"), ("div", ' title="hidden gems"'), ("body", ' class="no-sidebar"'), ("body", ' class="right-sidebar"'), ("article", " class=legal"), ("section", ' id="related-work"'), ("div", ' class="post meta-analysis"'), ("div", ' aria-hidden="false"'), ("div", ' data-x="display:none"')]:
+        assert not set_apart(tag, rest), (tag, rest)
+    for tag, rest in [("div", " hidden"), ("div", ' hidden=""'), ("div", ' style="color:red; display: none"'), ("div", " class=ad"), ("div", ' class="ad-slot"'), ("div", ' class="x site-footer"'), ("div", ' id="comments"'), ("section", " class=related-posts"), ("div", ' class="more-stories"'), ("div", ' class="post-meta"'), ("div", ' role="navigation"'), ("nav", "")]:
+        assert set_apart(tag, rest), (tag, rest)
+    # names that set all text of a page apart
+    assert main_text(tree('<body><div class="legal"><p>The law</div><div hidden>no</div></body>'), {}, set()) == "The law"
+
+
+def test_main_slot_overrules_its_name(spark):
+    body = '<body><h1>Title {k}</h1><div class="legal"><p>' + "Long words of the law {k}. " * 5 + '</p></div><div class="comments">I say {k}</div></body>'
+    got = extracted(spark, [body.format(k=k) for k in range(8)])
+    assert got == [f"Title {k}\n" + (f"Long words of the law {k}. " * 5).strip() for k in range(8)]

@@ -15,11 +15,14 @@ headers, footers, sidebars, notices, adverts, forms, comments).
 3. Texts are counted per host, node and text over pages with different texts, so
    copies of a page count once; a text is template when most of these pages have
    it at one node.  These counts are sums, so a hot host is spread out.
-4. Pages meet their host's tree in a join that Spark may split.
+4. A part that only its class or id sets apart is taken back where it is the
+   host's main slot: where it holds more varying text than the parts not set apart.
+5. Pages meet their host's tree in a join that Spark may split.
 
 Null and empty pages have no text.  A page without a host is its own host "".
 Hosts with fewer than ``FEWEST`` different pages have no template nodes.  A page's
-content element is kept whole when all its text would go as template.
+content element is kept whole when all its text would go as template; and a page
+where names set all text apart keeps it.
 """
 
 from __future__ import annotations
@@ -43,21 +46,27 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 APART = frozenset("nav footer aside form header menu button select option input label dialog head".split())
 APART_WORDS = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert\w*|adslot|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|gdpr|popup|modal|overlay|subscribe|newsletter|signup|login|sidebar|side|rail|related|recommend\w*|more-stories|trending|widget|nav\w*|menu|breadcrumb\w*|crumbs|pager|pagination|toolbar|topbar|header|masthead|footer|foot|copyright|legal|comment\w*|reply|replies|discussion|disqus|respond|share|sharing|social|follow|tags|meta|byline|skip|search|hidden)(?:$|[-_ \d])"
+    r"(?:^|[-_ ])(?:ad|ads|advert\w*|adslot|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|gdpr|popup|modal|overlay|subscribe|newsletter|signup|login|sidebar|side|rail|related|recommend\w*|more-stories|trending|widget|nav\w*|menu|breadcrumb\w*|crumbs|pager|pagination|toolbar|topbar|header|masthead|footer|foot|copyright|legal|comment\w*|reply|replies|discussion|disqus|respond|share|sharing|social|follow|tags|meta|byline|skip|search)(?:$|[-_ \d])"
 )
+#: Words that only say where or in what form a part stands: beside them a name is still that of a part set apart.
+FORM_WORDS = frozenset("area article articles bar block blocks body bottom box btn button buttons center col column container content count desktop div entry fixed float global group heading holder icon icons img inline inner item items label large left link links list local main mobile module more news outer page panel position post posts primary region right row secondary section single site slot small sticky stories story sub text the title toggle top unit us view wrap wrapper".split())
+#: Elements that hold a page or its content: what they are called sets nothing apart.
+HOLDERS = frozenset("html body main article".split())
 CONTENT_WORDS = re.compile(r"(?:^|[-_ ])(?:article|post|entry|story|content|main|body-text|text)(?:$|[-_ ])")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CLOSES = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+PAIR = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("apart", "children", "label", "shape", "tag", "text")
+    __slots__ = ("apart", "children", "label", "named", "shape", "tag", "text")
 
-    def __init__(self, tag: str, label: str, apart: bool):
-        self.tag, self.label, self.apart = tag, label, apart
+    def __init__(self, tag: str, label: str, apart: bool, named: bool = False):
+        #: set apart by element or attribute; by class, id or role
+        self.tag, self.label, self.apart, self.named = tag, label, apart, named
         self.children: list[Node] = []
         self.shape: Shape | None = None
         #: the node's own blocks of text, in page order among its children: (child number, text)
@@ -117,7 +126,7 @@ def tree(page: str) -> Node:
         while len(stack) > 1 and tag in CLOSES.get(stack[-1].tag, ()):
             stack.pop()
         names = attributes(rest)
-        node = Node(tag, tag + "." + names if names else tag, set_apart(tag, rest))
+        node = Node(tag, tag + "." + names if names else tag, tag in APART or hidden(rest), named_apart(tag, names))
         stack[-1].children.append(node)
         stack.append(node)
     flush()
@@ -132,11 +141,32 @@ def attributes(rest: str) -> str:
     return re.sub(r"\d+", "0", WHITE.sub(" ", found).strip().lower())
 
 
+def hidden(rest: str) -> bool:
+    """An element with the attribute ``hidden`` or the style display: none."""
+    low = rest.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for m in PAIR.finditer(low):
+        value = "".join(x for x in m.groups()[1:] if x)
+        if m.group(1) == "hidden" and value != "false" or m.group(1) == "style" and re.search(r"(?:^|;)\s*display\s*:\s*none", value):
+            return True
+    return False
+
+
+def apart_name(name: str) -> bool:
+    """A name all of whose parts speak of a part set apart or of its form: "ad-slot" and "site-footer", not "related-work"."""
+    if not APART_WORDS.search(name):
+        return False
+    rest = name.replace("more-stories", "trending")
+    return all(p in FORM_WORDS or p.isdigit() or APART_WORDS.fullmatch(p) for p in re.split(r"[-_]+|(?<=[^\d])(?=\d)", rest) if p)
+
+
+def named_apart(tag: str, names: str) -> bool:
+    return bool(names) and tag not in HOLDERS and bool(APART_WORDS.search(names)) and any(apart_name(x) for x in names.split())
+
+
 def set_apart(tag: str, rest: str) -> bool:
-    if tag in APART:
-        return True
-    names = attributes(rest)
-    return bool(names and APART_WORDS.search(names)) or bool(re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", rest, re.I))
+    return tag in APART or hidden(rest) or named_apart(tag, attributes(rest))
 
 
 Shape = list  # [label, [shape, ...]]
@@ -212,16 +242,17 @@ def places(node: Node, template: Shape, path: str, known: dict, out: dict[int, s
             places(child, template[1][pairs[k]], f"{path}/{pairs[k]}", known, out)
 
 
-def blocks(node: Node, apart: bool = False, content: bool = False) -> Iterator[tuple[Node, str, bool, bool]]:
-    """(node, text, set apart, under a content element) of the blocks of a page, in page order."""
+def blocks(node: Node, apart: bool = False, content: bool = False, named: tuple[Node, ...] = ()) -> Iterator[tuple[Node, str, bool, bool, tuple[Node, ...]]]:
+    """(node, text, set apart, under a content element, elements around it that are apart by name) of the blocks of a page, in page order."""
     apart = apart or node.apart
     content = content or node.tag in ("article", "main") or "main" in node.label.split()
+    named = (*named, node) if node.named else named
     said = list(node.text)
     for k, child in enumerate([*node.children, None]):
         while said and said[0][0] == k:
-            yield node, said.pop(0)[1], apart, content
+            yield node, said.pop(0)[1], apart, content, named
         if child is not None:
-            yield from blocks(child, apart, content)
+            yield from blocks(child, apart, content, named)
 
 
 def host_of(url: str | None) -> str:
@@ -260,12 +291,16 @@ class Aligner:
 
 
 def page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, digest of the page's texts, keys of its texts at matched nodes) of pages; equal pages of a partition once."""
+    """(host, digest of the page's texts, its texts at matched nodes) of pages; equal pages of a partition once.
+
+    A text has a key (place and text), a length (0 if it is set apart for good) and the
+    place of the one element that sets it apart by name, or 0.
+    """
     import xxhash
 
     aligner, met = Aligner(), set()
     for batch in batches:
-        hosts, digests, texts = [], [], []
+        hosts, digests, sizes, key, chars, names = [], [], [0], [], [], []
         for host, page, template in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             same = xxhash.xxh3_128_digest(f"{host}\n{page or ''}".encode("utf-8", "replace"))
             if same in met:
@@ -273,17 +308,22 @@ def page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met.add(same)
             root = tree(page or "")
             where = aligner.of(root, template)
-            found, whole = set(), xxhash.xxh3_128()
-            for node, text, _, _ in blocks(root):
+            found, whole = {}, xxhash.xxh3_128()
+            for node, text, apart, _, named in blocks(root):
                 place = where.get(id(node))
                 whole.update(f"{place}\n{text}\n".encode("utf-8", "replace"))
                 if place is not None:
-                    found.add(text_key(place, text))
+                    lost = apart or len(named) > 1 or named and id(named[0]) not in where
+                    found.setdefault(text_key(place, text), (0 if lost else len(text), 0 if lost or not named else stable_hash(where[id(named[0])])))
             hosts.append(host)
             digests.append(whole.digest())
-            texts.append(list(found))
+            sizes.append(sizes[-1] + len(found))
+            key += found
+            chars += [c for c, _ in found.values()]
+            names += [x for _, x in found.values()]
         if hosts:
-            yield pa.record_batch([pa.array(hosts), pa.array(digests, pa.binary()), pa.array(texts, pa.list_(pa.int64()))], names=["host", "digest", "texts"])
+            texts = pa.StructArray.from_arrays([pa.array(key, pa.int64()), pa.array(chars, pa.int64()), pa.array(names, pa.int64())], names=["key", "chars", "named"])
+            yield pa.record_batch([pa.array(hosts), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), texts)], names=["host", "digest", "texts"])
 
 
 def stable_hash(text: str) -> int:
@@ -296,13 +336,15 @@ def text_key(place: str, text: str) -> int:
     return stable_hash(f"{place}\n{text}")
 
 
-def main_text(root: Node, where: dict[int, str], constant: set[int]) -> str:
+def main_text(root: Node, where: dict[int, str], constant: set[int], free: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of varying slots that are not set apart; under the content element if the page has one."""
-    found = [(node, text, content) for node, text, apart, content in blocks(root) if not apart]
+    open_blocks = [(node, text, content, named) for node, text, apart, content, named in blocks(root) if not apart]
+    main_slot = lambda node: bool(free) and id(node) in where and stable_hash(where[id(node)]) in free
+    found = [x for x in open_blocks if all(map(main_slot, x[3]))] or open_blocks
     inside = [x for x in found if x[2]]
-    varying = [text for node, text, _ in inside or found if not (constant and id(node) in where and text_key(where[id(node)], text) in constant)]
+    varying = [text for node, text, _, _ in inside or found if not (constant and id(node) in where and text_key(where[id(node)], text) in constant)]
     # a content element that would lose all its text holds a page that others copy
-    return "\n".join(varying or [text for _, text, _ in inside])
+    return "\n".join(varying or [text for _, text, _, _ in inside])
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,10 +352,10 @@ def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index
         out = []
-        for page, template, fixed in zip(*(batch.column(at(c)).to_pylist() for c in ("html", "tree", "fixed")), strict=True):
+        for page, template, fixed, free in zip(*(batch.column(at(c)).to_pylist() for c in ("html", "tree", "fixed", "free")), strict=True):
             root = tree(page or "")
-            where = aligner.of(root, template) if template and fixed else {}
-            out.append(main_text(root, where, set(fixed or ())))
+            where = aligner.of(root, template) if template and (fixed or free) else {}
+            out.append(main_text(root, where, set(fixed or ()), set(free or ())))
         yield pa.record_batch([batch.column(at("page_id")), batch.column(at("url")), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -337,19 +379,24 @@ def host_trees(pages: DataFrame) -> DataFrame:
 
 
 def host_slots(whole: DataFrame, trees: DataFrame) -> DataFrame:
-    """(host, fixed): the keys of each host's template texts."""
+    """(host, fixed, free): the keys of each host's template texts, and the places that are its main slot though a name sets them apart."""
     aligned = whole.join(trees.where(F.col("pages") >= FEWEST), "host").select("host", "html", "tree")
-    found = aligned.mapInArrow(page_texts, "host string, digest binary, texts array<long>")
+    found = aligned.mapInArrow(page_texts, "host string, digest binary, texts array<struct<key:long,chars:long,named:long>>")
     # copies of a page have the same texts: a host's pages are those that differ
     different = kept(found.groupBy("host", "digest").agg(F.first("texts").alias("texts")), "page-texts")
     sizes = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= FEWEST)
-    counts = different.select("host", F.explode("texts").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * SHARE).groupBy("host").agg(F.collect_list("key").alias("fixed"))
+    counts = kept(different.select("host", F.explode("texts").alias("t")).groupBy("host", "t.key").agg(F.count(F.lit(1)).alias("n"), F.sum("t.chars").alias("chars"), F.max("t.named").alias("named")), "text-counts")
+    # written, so that Spark may split this join at a hot host
+    template = kept(counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * SHARE).select("host", "named", "key", "chars"), "template-texts")
+    fixed = template.groupBy("host", "named").agg(F.collect_list("key").alias("fixed"), (-F.sum("chars")).alias("chars"))
+    slots = counts.groupBy("host", "named").agg(F.sum("chars").alias("chars")).unionByName(fixed, True).groupBy("host", "named").agg(F.flatten(F.collect_list("fixed")).alias("fixed"), F.sum("chars").alias("chars"))
+    hosts = slots.groupBy("host").agg(F.flatten(F.collect_list("fixed")).alias("fixed"), F.sum(F.when(F.col("named") == 0, F.col("chars")).otherwise(0)).alias("own"), F.collect_list(F.struct("named", "chars")).alias("held"))
+    return hosts.join(sizes, "host").select("host", "fixed", F.expr("transform(filter(held, x -> x.named != 0 and x.chars > own), x -> x.named)").alias("free"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """A row per row of ``pages``: page_id, url and the main text."""
     trees = host_trees(pages)
     whole = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_column("url"))
-    wrappers = kept(trees.join(host_slots(whole, trees), "host", "left").select("host", "tree", "fixed"), "wrappers")
-    return whole.join(wrappers, "host", "left").select("page_id", "url", "html", "tree", "fixed").mapInArrow(extract, "page_id long, url string, text string")
+    wrappers = kept(trees.join(host_slots(whole, trees), "host", "left").select("host", "tree", "fixed", "free"), "wrappers")
+    return whole.join(wrappers, "host", "left").select("page_id", "url", "html", "tree", "fixed", "free").mapInArrow(extract, "page_id long, url string, text string")
