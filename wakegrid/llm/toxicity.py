@@ -3,8 +3,9 @@
 A hidden word passes through a channel that swaps letters for look-alikes (3 for
 e, @ for a), repeats them (idiooot), or parts them (i.d.i.o.t, i d i o t).  For a
 suspicious form a lattice is built: per written mark the letters it may stand
-for, or nothing.  Viterbi decoding under a character language model finds the
-likeliest reading.  The model's counts are taken from all letters of all texts.
+for, nothing, or a word break.  Viterbi decoding under a character language model
+finds the likeliest reading, in one pass over forms of any length.  The model's
+counts are taken from all letters of all texts.
 
 The restored text is scored by logistic regression over words and word beginnings
 that labelled rows show to matter; its rows are a bounded sample.  Null and empty
@@ -38,13 +39,20 @@ LOOK_ALIKE = {
 }
 SWAP_COST, DROP_COST, KEEP_COST, REPEAT_COST = 1.5, 0.7, 0.05, 0.4
 PARTING = ".-_*~'`^,/ "
-LONGEST_FORM = 40
-
+#: After so many marks the part of a reading that all paths share is read out.
+READ_OUT = 256
+#: Longer forms are decoded each time, so that the known ones stay small.
+LONGEST_KNOWN = 64
+
+LOOKS, PARTS = re.escape("".join(LOOK_ALIKE)), re.escape(PARTING.replace(" ", ""))
+#: A form with a mark inside, a mark before two letters, or a letter three times.
+MIXED = re.compile(rf"[a-z][{LOOKS}{PARTS}]+[a-z]|^[{LOOKS}]+[a-z]{{2}}|([a-z])\1\1")
+#: Single marks that are parted, four at least.
+SPACED = re.compile(rf"(?<!\S)[a-z{LOOKS}](?:[ {PARTS}]+[a-z{LOOKS}]){{3,}}(?![^\s.,!?;:])")
 #: Cheap test: a text without any match has no suspicious form.
-SUSPECT = re.compile(r"[a-z][013456789@$!|+*._~^-]+[a-z]|[@$!013457][a-z]{2}|([a-z])\1\1|(?<![a-z])[a-z@$!013457]([ ._*~-])[a-z@$!013457]\2[a-z@$!013457]\2[a-z@$!013457](?![a-z])")
-SPACED = re.compile(r"(?<![^\s])[a-z@$!|013457](?:([ ._*~-])[a-z@$!|013457])(?:\1[a-z@$!|013457]){2,}(?![^\s.,!?;:])")
-FORM = re.compile(r"[^\s]+")
-MIXED = re.compile(r"[a-z][013456789@$!|+*._~^-]+[a-z]|^[@$!013457]+[a-z]{2}|([a-z])\1\1")
+SUSPECT = re.compile(rf"[a-z][{LOOKS}{PARTS}]+[a-z]|[{LOOKS}][a-z]{{2}}|([a-z])\1\1|{SPACED.pattern}")
+#: Forms that may be mixed, found without a call for each of the others.
+SUSPECT_FORM = re.compile(rf"(?<!\S)(?=\S*?(?:[a-z][{LOOKS}{PARTS}]+[a-z]|[{LOOKS}][a-z]{{2}}|([a-z])\1\1))\S+")
 
 
 def count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +80,7 @@ def letter_model(docs: DataFrame) -> np.ndarray:
 
 
 def lattice(form: str) -> list[tuple[str, list[tuple[str, float]], int]]:
-    """(mark, readings with costs, repeats) of each run of equal marks; the reading '' drops the mark."""
+    """(mark, readings with costs, repeats) of each run of equal marks; the reading '' drops the mark, ' ' is a word break."""
     out, at = [], 0
     while at < len(form):
         to = at
@@ -85,29 +93,64 @@ def lattice(form: str) -> list[tuple[str, list[tuple[str, float]], int]]:
             if run > 1:
                 readings.append((mark * 2, KEEP_COST if run == 2 else REPEAT_COST))
         if mark in PARTING or not readings:
-            readings.append(("", DROP_COST))
+            readings += [("", DROP_COST), (" ", DROP_COST)]
         out.append((mark, readings, run))
         at = to
     return out
 
 
 def decode(form: str, cost: np.ndarray) -> str:
-    """The likeliest reading of a written form: Viterbi over pairs of letters."""
-    beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for _, readings, _ in lattice(form):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+    """The likeliest reading of a written form: Viterbi over pairs of letters, with what all paths agree on read out on the way."""
+    # a path: (cost, (path before, letters))
+    beams: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    out: list[str] = []
+    for k, (_, readings, _) in enumerate(lattice(form), 1):
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (spent, said) in beams.items():
             for letters, price in readings:
                 x, y, total = a, b, spent + price
                 for c in letters:
-                    z = ord(c) - 96 if "a" <= c <= "z" else 27
+                    z = ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
                     total += float(cost[x, y, z])
                     x, y = y, z
                 if (x, y) not in new or total < new[x, y][0]:
-                    new[x, y] = (total, said + letters)
+                    new[x, y] = (total, (said, letters))
         beams = new
-    ended = [(spent + float(cost[x, y, 0]), said) for (x, y), (spent, said) in beams.items()]
-    return min(ended)[1]
+        if k % READ_OUT == 0:
+            beams, agreed = read_out(beams)
+            out.append(agreed)
+    _, best = min((spent + float(cost[x, y, 0]), spell(said)) for (x, y), (spent, said) in beams.items())
+    return "".join([*out, best])
+
+
+def spell(said: tuple | None) -> str:
+    letters = []
+    while said:
+        said, last = said
+        letters.append(last)
+    return "".join(reversed(letters))
+
+
+def read_out(beams: dict[tuple[int, int], tuple[float, tuple | None]]) -> tuple[dict, str]:
+    """The paths after what is common to all of them, and the common part."""
+    paths = {}
+    for at, (_, said) in beams.items():
+        steps = []
+        while said:
+            steps.append(said)
+            said = said[0]
+        paths[at] = steps[::-1]
+    same, first = 0, next(iter(paths.values()))
+    while all(len(p) > same and p[same] is first[same] for p in paths.values()):
+        same += 1
+    cut: dict[int, tuple] = {}
+    ends: dict[tuple[int, int], tuple | None] = {}
+    for at, steps in paths.items():
+        said = None
+        for step in steps[same:]:
+            said = cut.setdefault(id(step), (said, step[1]))
+        ends[at] = said
+    return {at: (spent, ends[at]) for at, (spent, _) in beams.items()}, "".join(x for _, x in first[:same])
 
 
 class Restorer:
@@ -117,6 +160,8 @@ class Restorer:
         self.cost, self.most, self.known = cost, most, {}
 
     def word(self, form: str) -> str:
+        if len(form) > LONGEST_KNOWN:
+            return decode(form, self.cost)
         if form not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
@@ -126,21 +171,18 @@ class Restorer:
     def form(self, match: re.Match) -> str:
         form = match.group()
         body = form.rstrip("%&#*$!?.,;:~^\"')")
-        if not 3 <= len(body) <= LONGEST_FORM or not MIXED.search(body):
-            return form
-        letters = sum(c.isalpha() for c in body)
-        # more marks than letters, or a long code: not a word in disguise
-        if letters * 2 + 1 < len(body) or (letters < len(body) and len(body) > 24) or "=" in body or "//" in body:
-            return form
-        return self.word(body)
+        return self.word(body) if len(body) >= 3 and MIXED.search(body) else form
+
+    def spaced(self, match: re.Match) -> str:
+        form = match.group()
+        return self.word(form) if any("a" <= c <= "z" for c in form) else form
 
     def text(self, text: str) -> str:
         """``text`` in lower case with its suspicious forms replaced."""
         text = text.lower()
         if not SUSPECT.search(text):
             return text
-        text = SPACED.sub(lambda m: self.word(m.group()) if len(m.group()) <= LONGEST_FORM and len(set(m.group())) > 3 else m.group(), text)
-        return FORM.sub(self.form, text)
+        return SUSPECT_FORM.sub(self.form, SPACED.sub(self.spaced, text))
 
 
 #: Marks between words of a restored text: all ASCII that is no letter.
