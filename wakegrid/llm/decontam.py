@@ -1,12 +1,11 @@
-"""Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
+"""Benchmark decontamination: lookup of item shingles, then exact similarity of windows.
 
 For each benchmark item, windows of as many words as the item has (or the whole
-text, if it has fewer) are fingerprinted by SimHash over their ``width``-word
-shingles.  Item fingerprints are indexed by ``BLOCKS`` blocks of bits: two
-fingerprints within ``RADIUS`` bits differ by at most ``RADIUS // BLOCKS`` bits in
-some block, so looking up all values that near to a window's blocks finds every
-item within the radius.  Candidates are verified by weighted Jaccard similarity of
-shingles (how often each stands in the window and in the item).
+text, if it has fewer) are held against it.  Candidates come from an inverted index
+of the items' ``width``-word shingles.  All windows of a candidate are verified by
+weighted Jaccard similarity of shingles (how often each stands in the window and in
+the item).  SimHash is not used to search, as a radius would lose windows; the
+distance of the fingerprints is given for what was found.
 
 Windows are taken only where a text has at least ``percent`` % of an item's
 shingles (by count): elsewhere no window can be similar enough.
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from .tables import id_and_text
 from .text import Hasher, lower_ascii, slices, window_hashes, word_bounds
 
-BITS, BLOCKS, RADIUS = 64, 8, 23
+BLOCKS = 8
 PART = 5000
 FOUND = "doc_id long, item_id long, start long, n_words long, distance long, similarity double"
 
@@ -53,14 +52,8 @@ def fingerprints(total: np.ndarray) -> np.ndarray:
     return np.packbits(total > 0, axis=1)
 
 
-def near_values() -> list[np.ndarray]:
-    """For each byte the bytes within the reach that the radius leaves to a block."""
-    weight = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)
-    return [np.flatnonzero(weight[np.arange(256) ^ v] <= RADIUS // BLOCKS) for v in range(256)]
-
-
 class Items:
-    """A part of the benchmark: shingles with counts, fingerprints and their block index."""
+    """A part of the benchmark: shingles with counts, their inverted index, and fingerprints."""
 
     def __init__(self, rows: list[tuple[int, str]], width: int):
         hasher = Hasher()
@@ -87,41 +80,34 @@ class Items:
         order = np.lexsort((owner, every))
         self.keys, first = np.unique(every[order], return_index=True)
         self.owners, self.first = owner[order], np.append(first, len(every))
-        # block, value -> items whose block is near that value
-        near = near_values()
-        self.index = [[np.zeros(0, np.int64)] * 256 for _ in range(BLOCKS)]
-        for block in range(BLOCKS):
-            lists: list[list[int]] = [[] for _ in range(256)]
-            for k, value in enumerate(self.prints[:, block]):
-                for v in near[value]:
-                    lists[v].append(k)
-            self.index[block] = [np.array(x, np.int64) for x in lists]
-
-    def within(self, prints: np.ndarray, item: int) -> np.ndarray:
-        """Distances of fingerprints that the index finds near to ``item``; -1 for all others."""
-        found = np.zeros(len(prints), bool)
-        for block in range(BLOCKS):
-            hit = np.array([item in self.index[block][v] for v in np.unique(prints[:, block])])
-            found |= hit[np.unique(prints[:, block], return_inverse=True)[1]]
-        apart = np.unpackbits(prints ^ self.prints[item], axis=1).sum(1).astype(np.int64)
-        return np.where(found & (apart <= RADIUS), apart, -1)
+
+
+def shared_shingles(place: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Shingles that each window of ``n`` shares with an item: of each at most its weight; ``place`` is its number in the item or -1."""
+    at = np.flatnonzero(place >= 0)
+    order = np.argsort(place[at], kind="stable")
+    at, keys = at[order], place[at][order]
+    # one counts in the windows that hold it, but not as many equal ones before it as the weight
+    back = np.arange(len(at)) - weights[keys]
+    full = (back >= 0) & (keys[np.maximum(back, 0)] == keys)
+    first = np.maximum(np.where(full, at[np.maximum(back, 0)] + 1, 0), np.maximum(at - n + 1, 0))
+    change = np.bincount(first, minlength=len(place) + 1) - np.bincount(at + 1, minlength=len(place) + 1)
+    return np.cumsum(change)[: len(place) - n + 1]
 
 
 def best_window(items: Items, k: int, shingles: np.ndarray, starts: np.ndarray, n: int, percent: int) -> tuple[int, int, float] | None:
     """(start, distance, similarity) of the most similar window of ``n`` shingles at ``starts``."""
-    total = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(shingles), axis=0)])
-    distance = items.within(fingerprints(total[starts + n] - total[starts]), k)
-    best = None
     keys, weights, size = items.shingles[k], items.weights[k], int(items.need[k])
     at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-    place = np.where(keys[at] == shingles, at, -1)
-    for s, d in zip(starts[distance >= 0].tolist(), distance[distance >= 0].tolist(), strict=True):
-        inside = place[s : s + n]
-        shared = int(np.minimum(np.bincount(inside[inside >= 0], minlength=len(keys)), weights).sum())
-        union = n + size - shared
-        if 100 * shared >= percent * union and (best is None or shared / union > best[2]):
-            best = (s, d, shared / union)
-    return best
+    shared = shared_shingles(np.where(keys[at] == shingles, at, -1), weights, n)[starts]
+    s = int(np.argmax(shared))
+    most = int(shared[s])
+    union = n + size - most
+    if 100 * most < percent * union:
+        return None
+    start = int(starts[s])
+    own = fingerprints(signs(shingles[start : start + n]).sum(0, keepdims=True))[0]
+    return start, int(np.unpackbits(own ^ items.prints[k]).sum()), most / union
 
 
 def search(held, width: int, percent: int):
