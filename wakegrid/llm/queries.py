@@ -186,3 +186,29 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
     found = extract_pages(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents
+), l AS (
+  SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), common AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT k.*, c.key IS NOT NULL AND c.last <> doc_id AS dropped FROM k LEFT JOIN common c ON c.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query("op11_line_dedup", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from .lineruns import dedup_lines
+
+    found = dedup_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

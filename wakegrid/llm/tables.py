@@ -15,6 +15,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that this package wrote to the shared folder and no longer reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Bytes of a batch that goes to Python; with the batch's copies a task stays small whatever the texts' length.
 BATCH_BYTES = 8 << 20
 
