@@ -212,3 +212,94 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 
     found = dedup_lines(table(spark, folder, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)
+  )
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), dw AS (
+  SELECT doc_id, unnest(w) AS w FROM d
+), bw AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), words AS (
+  SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)
+), bytes AS (
+  SELECT w, [CAST(instr('0123456789ABCDEF', substr(hex(w), 2 * i + 1, 1)) * 16 + instr('0123456789ABCDEF', substr(hex(w), 2 * i + 2, 1)) - 17 AS BIGINT) FOR i IN range(strlen(w))] AS b FROM words
+), buckets AS (
+  SELECT w, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc_table
+), own AS (
+  SELECT bucket, count(*) AS s FROM dw JOIN buckets USING (w) GROUP BY bucket
+), target AS (
+  SELECT bucket, count(*) AS t FROM bw JOIN buckets USING (w) GROUP BY bucket
+), totals AS (
+  SELECT (SELECT coalesce(sum(s), 0) FROM own) AS big_s, (SELECT coalesce(sum(t), 0) FROM target) AS big_t
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(big_s + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(big_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM own LEFT JOIN target USING (bucket), totals
+), weights AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN buckets USING (w) JOIN gains USING (bucket) GROUP BY doc_id
+), noisy AS (
+  SELECT doc_id, list_reduce([CAST(0 AS BIGINT)] || [CAST(instr('0123456789abcdef', substr(sha256('2024:' || doc_id), i, 1)) - 1 AS BIGINT) FOR i IN range(1, 9)], lambda a, x: a * 16 + x) AS h FROM d
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d JOIN noisy USING (doc_id) LEFT JOIN weights USING (doc_id)
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= (10 * n) // 100 THEN place END AS rank
+FROM scored s LEFT JOIN placed USING (doc_id)
+"""
+
+
+@query("op12_importance_resampling", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from .importance import resample
+
+    found = resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def lloyd_sql(rounds: int = 5) -> str:
+    """The rounds one after the other, each as an assignment and the centroids that follow from it."""
+
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+  SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+    SELECT v.r, c.cluster, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.x, c.x)]) AS BIGINT) AS d FROM v, c{k} c
+  ) GROUP BY r
+)"""
+
+    def moved(k: int) -> str:
+        return f"""m{k} AS (
+  SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS x, unnest(range(64)) AS i FROM a{k} JOIN v USING (r)) GROUP BY cluster, i
+), c{k + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{k} c
+  LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM m{k} GROUP BY cluster) m USING (cluster)
+)"""
+
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS cluster, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT 40))",
+    ]
+    for k in range(rounds):
+        parts += [assigned(k), moved(k)]
+    parts += [assigned(rounds)]
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
+@query("op13_centroid_clusters", lloyd_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, folder, "embeddings"))
