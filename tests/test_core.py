@@ -71,22 +71,53 @@ def midpoint(values, p):
     return v[k - 1] + (h - k) * (v[min(k, len(v) - 1)] - v[k - 1])
 
 
-@pytest.mark.parametrize("accuracy", [20, 10000])
-@pytest.mark.parametrize("ties", [False, True])
-def test_exact_quantiles(spark, accuracy, ties):
-    """accuracy 20 forces the bracket path (groups of more than 80 values)."""
+@pytest.mark.parametrize("slot", [4, 100_000])
+@pytest.mark.parametrize("kind", ["smooth", "ties", "far"])
+def test_exact_quantiles(spark, slot, kind):
+    """Slot 4 forces several rounds of shrinking ranges; 100,000 closes all at once."""
     rng = np.random.default_rng(5)
     v = rng.lognormal(size=3000)
-    if ties:
+    if kind == "ties":
         v = np.floor(v * 3)
+    if kind == "far":
+        v[:5] = [1e300, -1e300, 1e-300, 0.0, 1e18]
     pdf = pd.DataFrame({"g": np.where(np.arange(3000) % 10 < 9, 0, 1), "v": v})
     probs = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.9, "e": 1.0}
-    got = core.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs, accuracy=accuracy).toPandas().set_index("g")
+    got = core.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs, slot=slot).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
         for name, p in probs.items():
             assert got.loc[g, name] == pytest.approx(midpoint(part["v"].to_numpy(), p))
 
 
+def test_quantiles_of_several_columns_without_groups(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"v": rng.normal(size=20_000), "w": rng.integers(0, 3, 20_000).astype(float), "empty": np.nan})
+    df = spark.createDataFrame(pdf).withColumn("empty", F.lit(None).cast("double")).repartition(8)
+    out = core.quantiles_of(df, [], {"v": {"v1": 0.1, "v2": 0.99}, "w": {"w1": 0.5}, "empty": {"none": 0.5}}, slot=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    got = out.first()
+    assert got["v1"] == pytest.approx(midpoint(pdf["v"], 0.1)) and got["v2"] == pytest.approx(midpoint(pdf["v"], 0.99))
+    assert got["w1"] == midpoint(pdf["w"], 0.5) and got["none"] is None
+    assert core.quantiles_of(df.limit(0), ["w"], {"v": {"v1": 0.1}}).count() == 0
+
+
+def test_numbered_without_a_one_task_window(spark):
+    rng = np.random.default_rng(7)
+    ids = np.unique(rng.integers(-(2**63), 2**63 - 1, 5000))
+    df = spark.createDataFrame(pd.DataFrame({"id": ids})).repartition(7)
+    out = core.numbered(df, ["id"], "n")
+    got = out.toPandas().sort_values("id")
+    assert (got["n"].to_numpy() == np.arange(len(ids))).all()
+    assert core.numbered(df.limit(0), ["id"], "n").count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = core.numbered(df, ["id"], "n").groupBy(F.spark_partition_id().alias("task")).count().toPandas()["count"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(held) > 1 and held.max() < 2 * len(ids) / len(held)  # ranges of like size, not one task
+
+
 def test_quantile_rules(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 10]], "v double")
     one = lambda rule, p: core.exact_quantiles(df, [], "v", {"q": p}, rule).first()["q"]

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import BLOCK, attach, exact_quantiles
+from ..core import BLOCK, attach, exact_quantiles, quantiles_of
 from ..session import cut
 
 
@@ -52,18 +52,46 @@ def gate_report(gated: DataFrame, by: Sequence[str]) -> DataFrame:
 JUMP_STATE = ("frame", "x0", "y0", "x1", "y1")
 
 
+def within_jump(state: np.ndarray, rows: np.ndarray, max_jump: float, max_gap: int) -> np.ndarray:
+    """Whether each row (frame, x0, y0, x1, y1) is within reach of a state, or of the state beside it."""
+    d = rows - state
+    reach = max_jump * np.minimum(d[:, 0], max_gap)
+    far = np.maximum(d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2], d[:, 3] * d[:, 3] + d[:, 4] * d[:, 4])
+    return ~(far > reach * reach)
+
+
 def fold_jumps(rows: np.ndarray, state, max_jump: float, max_gap: int):
-    """Accept or reject rows (frame, x0, y0, x1, y1) in order from the last accepted row."""
-    accepted = np.zeros(len(rows), bool)
-    if len(rows) > 1 and (np.diff(rows[:, 0]) <= 0).any() or len(rows) and state is not None and rows[0, 0] <= state[0]:
+    """Accept or reject rows (frame, x0, y0, x1, y1) in order from the last accepted row.
+
+    Rows that follow an accepted row within reach are accepted in one stroke up to
+    the first violation; from there the next row within reach is looked for in
+    growing stretches.  The loop runs once for each violation, not for each row.
+    """
+    n = len(rows)
+    accepted = np.zeros(n, bool)
+    if n > 1 and (np.diff(rows[:, 0]) <= 0).any() or n and state is not None and rows[0, 0] <= state[0]:
         raise ValueError("frames come late or twice; a gate needs them in order")
-    for i, row in enumerate(rows):
-        if state is not None:
-            reach = max_jump * min(row[0] - state[0], max_gap)
-            d = row[1:] - state[1:]
-            if d[0] * d[0] + d[1] * d[1] > reach * reach or d[2] * d[2] + d[3] * d[3] > reach * reach:
-                continue
-        accepted[i], state = True, row
+    if not n:
+        return accepted, state
+
+    def next_within(state: np.ndarray, at: int) -> int:
+        step = 64
+        while at < n:
+            found = np.flatnonzero(within_jump(state, rows[at : at + step], max_jump, max_gap))
+            if len(found):
+                return at + int(found[0])
+            at, step = at + step, step * 4
+        return n
+
+    # rows that their predecessor's state would reject
+    breaks = np.flatnonzero(~within_jump(rows[:-1], rows[1:], max_jump, max_gap)) + 1
+    at = 0 if state is None else next_within(np.asarray(state, float), 0)
+    while at < n:
+        k = int(np.searchsorted(breaks, at, "right"))
+        end = int(breaks[k]) if k < len(breaks) else n
+        accepted[at:end] = True
+        state = rows[end - 1]
+        at = next_within(state, end)
     return accepted, state
 
 
@@ -210,9 +238,8 @@ def percentile_trim(
     df: DataFrame, columns: Sequence[str], lo: float = 1, hi: float = 99, by: Sequence[str] = ()
 ) -> DataFrame:
     """Rows inside the box spanned by two exact percentiles of every column."""
-    out = df
-    for c in columns:
-        out = attach(out, exact_quantiles(df, by, c, {f"_lo_{c}": lo / 100, f"_hi_{c}": hi / 100}), by)
+    cuts = quantiles_of(df, by, {c: {f"_lo_{c}": lo / 100, f"_hi_{c}": hi / 100} for c in columns})
+    out = attach(df, cuts, by)
     for c in columns:
         out = out.filter(F.col(c).between(F.col(f"_lo_{c}"), F.col(f"_hi_{c}")))
     return out.drop(*[f"_{k}_{c}" for c in columns for k in ("lo", "hi")])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import attach, nan_to_null, ordinal
+from ..core import attach, nan_to_null, numbered
 
 _IMAGE = [f"img{c}_{a}" for c in range(1, 5) for a in "uv"]
 _MOTION = ["x", "y", "z", "u", "v", "w", "ax", "ay", "az"]
@@ -47,15 +47,14 @@ def melt_wide_tracks(df: DataFrame, keys: Sequence[str], columns: Sequence[str]
     return nan_to_null(long, columns).dropna(subset=list(columns))
 
 
-def index_tracks(df: DataFrame, track: str = "track_id", frame: str = "frame", width: int = 1 << 20) -> DataFrame:
+def index_tracks(df: DataFrame, track: str = "track_id", frame: str = "frame") -> DataFrame:
     """Arbitrary ids to 0..N-1 (column_index) and frames to offsets (row_index).
 
-    Only the distinct ids are numbered, in slots of ``width`` consecutive ids.
+    Only the distinct ids are numbered, by ranges of ids.
     """
-    ids = df.select(track).distinct()
-    numbered = ordinal(ids, [], [track], F.floor(F.col(track) / width), "column_index")
+    ids = numbered(df.select(track).distinct(), [track], "column_index")
     first = df.agg(F.min(frame).alias("_first"))
-    out = attach(df.join(numbered, track), first, [])
+    out = attach(df.join(ids, track), first, [])
     return out.withColumn("row_index", F.col(frame) - F.col("_first")).drop("_first")
 
 
