@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wakegrid.operators import ftle as E
 from wakegrid.operators import neighbours as N
@@ -38,6 +39,30 @@ def test_knn_equals_brute_force_on_skewed_points(spark, k):
                 assert list(rows["n_id"]) == list(order)
 
 
+@pytest.mark.parametrize("k", [1, 5])
+def test_knn_over_many_cells(spark, monkeypatch, k):
+    """Small cells: a far outlier, a dense heap, a pile of copies and a line, against brute force."""
+    rng = np.random.default_rng(5)
+    p = np.concatenate([
+        rng.normal(scale=1e-6, size=(500, 3)), rng.uniform(-1, 1, (300, 3)), np.full((90, 3), 0.25), [[1e9, -1e9, 1e9], [1e9, -1e9, 2e9]],
+        np.column_stack([np.linspace(0, 50, 200), np.zeros(200), np.zeros(200)]),
+    ])
+    p = p[rng.permutation(len(p))]
+    df = spark.createDataFrame(frame(p)).withColumn("w", F.col("x") * 2).repartition(5)
+    placed, cells, rounds = N.space_cells(df.where("x <> 0.25"), ["g"], ["x", "y", "z"], 24)
+    assert placed.groupBy("g", "_cell").count().agg({"count": "max"}).first()[0] <= 24
+    assert rounds <= 6  # 1,000 points, a far outlier and a heap: rounds follow the number of points
+    monkeypatch.setattr(N, "BUNDLE", 100)
+    got = N.knn(df, ["g"], "id", ["x", "y", "z"], k, ["w"], most=24).toPandas().sort_values(["id", "rank"])
+    assert len(got) == len(p) * k and (got["n_w"].to_numpy() == 2 * p[got["n_id"], 0]).all()
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :k]
+    np.testing.assert_allclose(got["dist"].to_numpy().reshape(len(p), k), want, rtol=1e-12)
+    same = d[got["id"], got["n_id"]]
+    np.testing.assert_allclose(same, got["dist"], rtol=1e-12)
+
+
 def test_knn_2d_and_too_few_points(spark):
     p = np.array([[0.0, 0], [1, 0], [5, 5]])
     df = spark.createDataFrame(pd.DataFrame({"id": range(3), "x": p[:, 0], "y": p[:, 1]}))
