@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wakegrid.core import range_slots
 from wakegrid.operators import joins as J
 from wakegrid.operators import lagrangian as L
 
@@ -85,20 +86,34 @@ def test_linear_interpolation_and_no_extrapolation(curve_frames):
         assert part["y_at"].isna().equals(outside)
 
 
-@pytest.mark.parametrize("per_slot", [2, 16, 4096])
-def test_long_curve_interpolation(spark, per_slot):
+@pytest.mark.parametrize("slots", [None, 7, 60])
+def test_long_curve_interpolation(spark, slots):
     rng = np.random.default_rng(8)
     xs = np.sort(np.r_[rng.uniform(0, 1, 150), rng.uniform(90, 100, 50)])  # a wide empty stretch
     ys = rng.normal(size=200)
     q = np.r_[rng.uniform(-5, 105, 300), xs[::7], xs[0], xs[-1]]
     got = J.interp_long(
         spark.createDataFrame(pd.DataFrame({"g": 0, "i": np.arange(len(q)), "x": q})), "x",
-        spark.createDataFrame(pd.DataFrame({"g": 0, "t": xs, "y": ys})), "t", ["y"], ["g"], "", per_slot,
+        spark.createDataFrame(pd.DataFrame({"g": 0, "t": xs, "y": ys})), "t", ["y"], ["g"], "", slots,
     ).toPandas().sort_values("i")
     assert len(got) == len(q)
     np.testing.assert_allclose(got["y"], [linear(xs, ys, v) for v in q], rtol=1e-7, atol=1e-7)
 
 
+def test_crowded_curve_is_dealt_in_equal_shares(spark):
+    """Nearly all nodes, and many queries of one x, in a millionth of the range."""
+    rng = np.random.default_rng(9)
+    xs = np.sort(np.r_[rng.lognormal(sigma=9, size=3000), 1e12])
+    ys = rng.normal(size=len(xs))
+    q = np.r_[rng.choice(xs, 2000) * rng.uniform(0.9, 1.1, 2000), np.full(3000, xs[1500] * 1.0001)]
+    curve = spark.createDataFrame(pd.DataFrame({"g": 0, "t": xs, "y": ys}))
+    asked = spark.createDataFrame(pd.DataFrame({"g": 0, "i": np.arange(len(q)), "x": q}))
+    got = J.interp_long(asked, "x", curve, "t", ["y"], ["g"], slots=16).toPandas().sort_values("i")
+    np.testing.assert_allclose(got["y"], [linear(xs, ys, v) for v in q], rtol=1e-7, atol=1e-7)
+    dealt = range_slots(asked, ["g", "x", "i"], 16).groupBy("_slot").count().toPandas()["count"]
+    assert len(dealt) == 16 and dealt.max() < 3 * len(q) / 16
+
+
 def test_align_repeats_puts_all_on_the_first_grid(spark):
     rows = [(0, r, float(k) + 0.1 * r, float(2 * (k + 0.1 * r))) for r in (1, 2, 3) for k in range(10)]
     got = J.align_repeats(spark.createDataFrame(rows, "g int, rep int, t double, v double"), ["g"], "rep", "t", ["v"]).toPandas()

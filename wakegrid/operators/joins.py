@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import attach
+from ..core import attach, range_slots
 from ..functions.scalars import angle_diff, stderr
 from .binning import Axis, bin_means, with_bins
 
@@ -357,37 +357,33 @@ def repeat_average(aligned: DataFrame, by: Sequence[str], value: str) -> DataFra
 
 def interp_long(
     df: DataFrame, x: str, table: DataFrame, tx: str, values: Sequence[str], by: Sequence[str], suffix: str = "",
-    nodes_per_slot: int = 4096,
+    slots: int | None = None,
 ) -> DataFrame:
     """``interp_linear`` for long curves (millions of nodes per group).
 
-    Curve and queries are numbered together along x in slots of equal width, the
-    last node before and the first node after each query are found inside the
-    slot or, across empty stretches, from one row per slot.  Rows of groups with
-    fewer than two nodes get NULL.
+    Curve and queries are dealt together by ranges of (by, x) that hold about as
+    many rows each, however the nodes crowd; queries of one x are told apart by a
+    hash, so many of them don't gather in one range.  The last node before and the
+    first node after each query are found inside its range or, beyond its borders,
+    from one row per range.  Rows of groups with fewer than two nodes get NULL.
     """
     by = list(by)
     ranges = table.dropna(subset=[tx, *values]).groupBy(*by).agg(
         F.min(tx).alias("_lo"), F.max(tx).alias("_hi"), F.count(F.lit(1)).alias("_m")
     ).filter(F.col("_m") > 1)
-    slots = F.greatest(F.floor(F.col("_m") / nodes_per_slot), F.lit(1))
-
-    def slot(v):
-        raw = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slots)
-        return F.least(F.greatest(raw, F.lit(0)), slots - 1)
-
     node = F.struct(F.col(tx).alias("x"), *[F.col(v) for v in values])
     others = [c for c in df.columns if c not in by]
     payload = F.struct(*others)
     nodes = attach(table.dropna(subset=[tx, *values]), ranges, by).select(
-        *by, slot(F.col(tx)).alias("_slot"), F.col(tx).alias("_x"), F.lit(0).alias("_kind"),
+        *by, F.col(tx).alias("_x"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"),
         node.alias("_node"), F.lit(None).alias("_row"),
     )
-    queries = attach(df, ranges, by, "left").select(
-        *by, F.coalesce(slot(F.col(x)), F.lit(0)).alias("_slot"), F.col(x).alias("_x"), F.lit(1).alias("_kind"),
+    queries = df.select(
+        *by, F.col(x).alias("_x"), F.lit(1).alias("_kind"), F.xxhash64(*others).alias("_tie"),
         F.lit(None).alias("_node"), payload.alias("_row"),
     )
-    both = nodes.unionByName(queries)
+    both = range_slots(nodes.unionByName(queries), [*by, "_x", "_kind", "_tie"], slots)
+    nodes = both.filter(F.col("_kind") == 0)
     w = Window.partitionBy(*by, "_slot").orderBy("_x", "_kind")
     back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
