@@ -31,7 +31,7 @@ def test_wide_tracks_and_index(spark):
     wide = spark.createDataFrame([(50, [1.0, nan, 3.0], [1.0, nan, 3.0], [0.0, nan, 0.0]), (9, [nan, 2.0], [nan, 2.0], [nan, 0.0])], "track_id long, x array<double>, y array<double>, z array<double>")
     long = S.melt_wide_tracks(wide, ["track_id"])
     assert sorted((r["track_id"], r["frame"], r["x"]) for r in long.collect()) == [(9, 1, 2.0), (50, 0, 1.0), (50, 2, 3.0)]
-    idx = {(r["track_id"], r["frame"]): (r["column_index"], r["row_index"]) for r in S.index_tracks(long, width=4).collect()}
+    idx = {(r["track_id"], r["frame"]): (r["column_index"], r["row_index"]) for r in S.index_tracks(long).collect()}
     assert idx == {(9, 1): (0, 1), (50, 0): (1, 0), (50, 2): (1, 2)}
 
 
@@ -99,6 +99,103 @@ def test_streamed_gate_equals_sequential(spark, tmp_path):
     assert batch.set_index("frame")["accepted"].to_dict() == sequential(pdf, 20.0)
 
 
+def loads(spark, pdf, path, size=60, blur=30, seed=1):
+    """One file per micro-batch; rows are out of order by up to ``blur`` frames, also from file to file."""
+    rng = np.random.default_rng(seed)
+    mixed = pdf.iloc[np.argsort(pdf["frame"] + rng.uniform(0, blur, len(pdf)), kind="stable")]
+    parts = [mixed.iloc[k : k + size] for k in range(0, len(mixed), size)]
+    return [spark.createDataFrame(part).coalesce(1) for part in parts]
+
+
+def gated(spark, schema, path, out, **options):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    rated = I.stream_jump_gate(stream, ["camera"], 20.0, **options)
+    run = rated.writeStream.format("parquet").option("checkpointLocation", f"{path}/progress").option("path", f"{path}/{out}")
+    query = run.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def test_streamed_gate_orders_late_frames_and_restarts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "WAIT_BLOCK", 16)
+    pdf = walk(0, 300)
+    schema = spark.createDataFrame(pdf).schema
+    files = loads(spark, pdf, tmp_path)
+    for part in files[:2]:
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    first = gated(spark, schema, tmp_path, "out", slack=40)
+    assert len([p for p in first.recentProgress if p["numInputRows"]]) == 2  # several micro-batches
+    before = spark.read.parquet(str(tmp_path / "out")).count()
+    assert 0 < before < 120  # the last frames wait
+    for part in files[2:]:
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    end = spark.createDataFrame([(int(pdf["camera"].iloc[0]), int(pdf["frame"].max()) + 40)], "camera long, frame long")
+    missing = [c for c in schema.names if c not in ("camera", "frame")]
+    end = end.select(*[F.col(f.name).cast(f.dataType) if f.name not in missing else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    end.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    gated(spark, schema, tmp_path, "out", slack=40)  # goes on from the progress folder
+    got = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    assert len(got) == len(pdf) and got.set_index("frame")["accepted"].to_dict() == sequential(pdf, 20.0)
+
+
+def test_streamed_gate_raises_for_frames_beyond_the_slack(spark, tmp_path):
+    pdf = walk(0, 300)
+    for part in loads(spark, pdf, tmp_path, size=30, blur=100):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="come late"):
+        gated(spark, spark.createDataFrame(pdf).schema, tmp_path, "out", slack=2)
+
+
+def test_silent_camera_is_released_by_its_timer(spark, tmp_path):
+    import time
+
+    pdf = walk(0, 50)
+    spark.createDataFrame(pdf).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.createDataFrame(pdf).schema).parquet(str(tmp_path / "in"))
+    rated = I.stream_jump_gate(stream, ["camera"], 20.0, slack=1000, patience_ms=1)
+    run = rated.writeStream.format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "progress")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if spark.table("silent").count() == len(pdf):
+                break
+            time.sleep(0.5)
+    finally:
+        run.stop()
+    got = spark.table("silent").toPandas()
+    assert got.set_index("frame")["accepted"].to_dict() == sequential(pdf, 20.0)
+
+
+def test_streamed_moments_of_a_folder_of_part_files(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    table.repartition(70).write.parquet(str(tmp_path / "lineitem.parquet"))
+    run = QUERIES["st1_stream_bin_moments"]
+    key = ["ix", "iy", "iz"]
+    parts = run(spark, str(tmp_path)).orderBy(*key).toPandas()
+    whole = run(spark, "/root/testdata/sf0.001").orderBy(*key).toPandas()
+    pd.testing.assert_frame_equal(parts, whole)
+
+
+def test_jump_fold_equals_row_by_row():
+    rng = np.random.default_rng(4)
+    for trial in range(60):
+        n = int(rng.integers(1, 200))
+        rows = np.column_stack([np.cumsum(rng.integers(1, 4, n)), np.cumsum(rng.normal(scale=rng.choice([0.1, 2]), size=(n, 4)), axis=0)])
+        rows[rng.random(n) < 0.2, 1:] += 40 * rng.normal(size=4)
+        start = None if trial % 2 else np.array([0.0, *rng.normal(size=4)])
+        state, want = start, []
+        for row in rows:
+            if state is not None:
+                reach = 3.0 * min(row[0] - state[0], 5)
+                d = row[1:] - state[1:]
+                if d[0] ** 2 + d[1] ** 2 > reach**2 or d[2] ** 2 + d[3] ** 2 > reach**2:
+                    want.append(False)
+                    continue
+            want.append(True)
+            state = row
+        got, end = Q.fold_jumps(rows, start, 3.0, 5)
+        assert got.tolist() == want and (end is None) == (state is None) and (end is None or (end == state).all())
+
+
 def test_registry_names_and_entry(spark):
     import __spark_entry__ as entry
 

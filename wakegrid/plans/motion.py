@@ -55,7 +55,7 @@ def _(t):
         frame - min(frame) over () as row_index from {GAPPY} g""",
 )
 def _(t):
-    return S.index_tracks(t.gappy, width=64)
+    return S.index_tracks(t.gappy)
 
 
 @query(
@@ -767,7 +767,7 @@ def _(t):
     sql=f"select track_id, row_number() over (order by track_id) - 1 as column_index from (select distinct track_id from {GAPPY} g) d",
 )
 def _(t):
-    return S.index_tracks(t.gappy, width=64).select("track_id", "column_index").distinct()
+    return S.index_tracks(t.gappy).select("track_id", "column_index").distinct()
 
 
 @query(

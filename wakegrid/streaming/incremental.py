@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.binning import Axis, with_bins
 from ..operators.quality import JUMP_STATE, fold_jumps
@@ -38,29 +38,101 @@ def bin_moments_to_stats(moments: DataFrame, values: Sequence[str]) -> DataFrame
     return moments.withColumns(out).drop(*[f"{k}_{v}" for v in values for k in "sq"])
 
 
+#: Frames of a camera that wait under one key of its state.
+WAIT_BLOCK = 4096
+POSITIONS = JUMP_STATE[1:]
+
+
+class JumpGate(StatefulProcessor):
+    """State of one camera: its last accepted row, its clock, and rows that wait for their turn.
+
+    Rows wait in blocks of ``WAIT_BLOCK`` frames, so whatever the order in which they
+    arrive, one block at a time is sorted and folded, and a batch is never put
+    together.  The clock is the largest frame seen less ``slack``.
+    """
+
+    def __init__(self, by: Sequence[str], max_jump: float, max_gap: int, slack: int, patience_ms: int | None):
+        self.by, self.max_jump, self.max_gap, self.slack, self.patience_ms = list(by), max_jump, max_gap, slack, patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", ", ".join(f"{c} double" for c in JUMP_STATE))
+        self.clock = handle.getValueState("clock", "seen double, folded double")
+        self.waiting = handle.getMapState("waiting", "block long", ", ".join(f"{c} array<double>" for c in JUMP_STATE))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen, folded = self.clock.get() if self.clock.exists() else (-np.inf, -np.inf)
+        for chunk in rows:
+            seen = max(seen, float(chunk["frame"].max()))
+            chunk = chunk.dropna(subset=list(POSITIONS))  # a row without a position only moves the clock
+            values = chunk[list(JUMP_STATE)].to_numpy(float)
+            if len(values) and values[:, 0].min() <= folded:
+                raise ValueError("frames come late or twice; allow more slack")
+            self.wait(values)
+        yield from self.release(key, seen - self.slack, seen, folded)
+        if self.patience_ms is not None:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A camera that has been silent for long: nothing is waited for any more."""
+        seen, folded = self.clock.get()
+        yield from self.release(key, seen, seen, folded)
+
+    def wait(self, values: np.ndarray) -> None:
+        blocks = np.floor_divide(values[:, 0], WAIT_BLOCK).astype(np.int64)
+        for block in np.unique(blocks):
+            self.put(int(block), values[blocks == block], self.held(int(block)))
+
+    def held(self, block: int) -> np.ndarray:
+        if not self.waiting.containsKey((block,)):
+            return np.zeros((0, len(JUMP_STATE)))
+        return np.array([list(c) for c in self.waiting.getValue((block,))], float).T
+
+    def put(self, block: int, values: np.ndarray, before: np.ndarray) -> None:
+        self.waiting.updateValue((block,), tuple(c.tolist() for c in np.concatenate([before, values]).T))
+
+    def release(self, key, upto: float, seen: float, folded: float) -> Iterator[pd.DataFrame]:
+        """Fold the waiting rows with frames up to ``upto``, block by block."""
+        state = np.array(self.last.get(), float) if self.last.exists() else None
+        for block in sorted(int(k[0]) for k in self.waiting.keys()):
+            if block * WAIT_BLOCK > upto:
+                break
+            values = self.held(block)
+            values = values[np.argsort(values[:, 0], kind="stable")]
+            ready = values[:, 0] <= upto
+            self.waiting.removeKey((block,))
+            if not ready.all():
+                self.put(block, values[~ready], values[:0])
+            values = values[ready]
+            accepted, state = fold_jumps(values, state, self.max_jump, self.max_gap)
+            out = {c: [v] * len(values) for c, v in zip(self.by, key)}
+            yield pd.DataFrame({**out, "frame": values[:, 0], "accepted": accepted})
+        if state is not None:
+            self.last.update(tuple(float(v) for v in state))
+        self.clock.update((seen, max(folded, upto)))
+
+    def close(self) -> None:
+        pass
+
+
 def stream_jump_gate(
-    pairs: DataFrame, by: Sequence[str], max_jump: float, max_gap: int = 5, mode: str = "append"
+    pairs: DataFrame, by: Sequence[str], max_jump: float, max_gap: int = 5, slack: int = 0, patience_ms: int | None = None
 ) -> DataFrame:
-    """Jump gate over a stream: (by, frame, accepted).
+    """Jump gate over a stream: (by, frame, accepted), each row once, in append mode.
 
-    The state of a camera is its last accepted frame.  Frames of a camera have
-    to arrive in order across micro-batches; within one they are sorted.
+    Frames of a camera may arrive up to ``slack`` frames out of order, within a
+    micro-batch and across micro-batches; they wait in the camera's state until the
+    camera has been seen ``slack`` frames later.  A frame that comes later than that,
+    or twice, raises.  A row without a position isn't rated: it only tells how far
+    the camera is, so one at the end with a frame ``slack`` later releases what still
+    waits.  With ``patience_ms`` a camera that is silent for that long is released too.
     """
     by = list(by)
     fields = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    output = "".join(f"`{c}` {fields[c]}, " for c in [*by, "frame"]) + "accepted boolean"
-    state_schema = ", ".join(f"{c} double" for c in JUMP_STATE)
-
-    def rate(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(chunks)).sort_values("frame", kind="stable")
-        start = np.asarray(state.get, float) if state.exists else None
-        accepted, last = fold_jumps(batch[list(JUMP_STATE)].to_numpy(float), start, max_jump, max_gap)
-        if last is not None:
-            state.update(tuple(float(v) for v in last))
-        out = {c: [v] * len(batch) for c, v in zip(by, key)}
-        yield pd.DataFrame({**out, "frame": batch["frame"].to_numpy(), "accepted": accepted})
-
-    rows = pairs.dropna(subset=list(JUMP_STATE)).select(*by, *JUMP_STATE)
-    return rows.groupBy(*by).applyInPandasWithState(
-        rate, output, state_schema, mode, GroupStateTimeout.NoTimeout
-    )
+    output = "".join(f"`{c}` {fields[c]}, " for c in by) + "frame double, accepted boolean"
+    rows = pairs.dropna(subset=["frame"]).select(*by, *JUMP_STATE)
+    mode = "None" if patience_ms is None else "processingTime"
+    rated = rows.groupBy(*by).transformWithStateInPandas(JumpGate(by, max_jump, max_gap, slack, patience_ms), output, "append", mode)
+    return rated.withColumn("frame", F.col("frame").cast(fields["frame"]))
