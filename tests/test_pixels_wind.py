@@ -52,6 +52,22 @@ def test_maxima_and_greedy_suppression(spark):
         assert set(zip(left["row"], left["col"])) == greedy(img, want, 4.0)
 
 
+@pytest.mark.parametrize("tile", [512, 9])
+def test_suppression_over_tiles_takes_two_passes(spark, monkeypatch, tile):
+    """A falling chain across the whole image, and random peaks, in squares that are smaller than the chain."""
+    rng = np.random.default_rng(3)
+    img = np.zeros((70, 90), int)
+    img[20, :] = np.arange(200, 110, -1)
+    img[40:, :] = rng.integers(0, 6, (30, 90))
+    at = {(int(r), int(c)) for r, c in np.argwhere(img)}
+    peaks = spark.createDataFrame([(0, 0, r, c, int(img[r, c])) for r, c in at], "cam int, frame int, row int, col int, value int")
+    passes = []
+    monkeypatch.setattr(X, "cut", lambda df, cut=X.cut: passes.append(1) or cut(df))
+    got = X.suppress_peaks(peaks, 2.0, tile).collect()
+    assert {(r["row"], r["col"]) for r in got} == greedy(img, at, 2.0)
+    assert len(passes) == 1
+
+
 def flood(mask):
     label = -np.ones(mask.shape, int)
     for r, c in np.argwhere(mask):

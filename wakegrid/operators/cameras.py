@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import small_table, top_k
+from ..core import attach, exact_quantiles, small_table, top_k
 from ..functions import optics
 from ..functions.linear import solve3, symmetric3
 from .joins import camera_pairs, point_pairs
@@ -244,6 +244,37 @@ def reconstruction_counts(recon: DataFrame, by: Sequence[str] = ()) -> DataFrame
     )
 
 
+def _own_range_histogram(df: DataFrame, value: str, bins: int, by: Sequence[str]) -> DataFrame:
+    """Rows per equal-width bin of a group's own range, with the bin's edges; the last bin is closed, empty ones are left out."""
+    by = list(by)
+    box = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    number = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1).cast("bigint"))
+    placed = attach(df.dropna(subset=[value]), box, by).withColumn("bin", F.when(width > 0, number).otherwise(F.lit(0).cast("bigint")))
+    return placed.groupBy(*by, "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("_lo") + F.col("bin") * width).alias("lo"), F.max(F.col("_lo") + (F.col("bin") + 1) * width).alias("hi")
+    )
+
+
+def error_histogram(errors: DataFrame, by: Sequence[str] = (), bins: int = 50) -> DataFrame:
+    """Reprojection errors of all observations in ``bins`` bins over their range."""
+    return _own_range_histogram(errors, "err", bins, by)
+
+
+def camera_errors(errors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean and largest reprojection error of each camera."""
+    return errors.groupBy(*by, "camera").agg(F.count("err").alias("n"), F.avg("err").alias("mean_err"), F.max("err").alias("max_err"))
+
+
+def wand_histogram(points: DataFrame, by: Sequence[str], frame: str, length: float, bins: int = 30) -> DataFrame:
+    """Reconstructed wand lengths in millimetres in ``bins`` bins, beside their mean, spread and error in percent."""
+    by = list(by)
+    wands = wand_lengths(points, [*by, frame]).withColumn("mm", 1000.0 * F.col("length"))
+    whole = wands.groupBy(*by).agg(F.avg("mm").alias("mean_mm"), F.stddev_samp("mm").alias("std_mm"))
+    whole = whole.withColumn("error_pct", 100.0 * F.abs(F.col("mean_mm") - 1000.0 * length) / (1000.0 * length))
+    return attach(_own_range_histogram(wands, "mm", bins, by), whole, by)
+
+
 def position_sigma(
     errors: DataFrame, cams: DataFrame, by: Sequence[str], step: float = 1e-6, floor: float = 0.1
 ) -> DataFrame:
@@ -434,12 +465,26 @@ def truth_errors(points: DataFrame, truth: DataFrame, by: Sequence[str], group:
     )
 
 
+# Fixed values of the seeding report: limits of the ratios to the spacing, the full
+# width at half maximum of a Gaussian over its sigma, the variation of the counts
+# from which a film counts as contaminated.
+RATIO_LIMITS = (("track", "moved_vox", 0.33), ("predict", "predict_vox", 0.30), ("initial", "initial_vox", 0.60))
+FWHM = 2.3548
+VARIES = 0.15
+
+
 def seeding_report(
     counts: DataFrame, by: Sequence[str], count: str, *, box_mm: tuple[float, float, float], voxel_mm: float,
     px_mm: float, fps: float, velocity: float, worst_rms_px: float, efficiency: float = 1.0,
     predict_factor: float = 3.0, initial_factor: float = 6.0, tolerance_factor: float = 3.0,
+    neighbours: DataFrame | None = None, widths: DataFrame | None = None,
 ) -> DataFrame:
-    """Density, spacing, displacement, search radii and OK/WARN ratios from counts per frame."""
+    """Density, spacing, displacement, search radii and OK/WARN ratios from counts per frame.
+
+    ``neighbours`` (by, dist) are distances in pixels to the nearest neighbour in an
+    image, whose median is a lower bound of the spacing; ``widths`` (by, sigma) are
+    widths of particle images in pixels.  A group without them has NULL there.
+    """
     volume = box_mm[0] * box_mm[1] * box_mm[2]
     base = counts.groupBy(*by).agg(
         (F.avg(count) * efficiency).alias("mean_n"),
@@ -459,8 +504,15 @@ def seeding_report(
             "tol_vox": F.lit(tolerance_factor * worst_rms_px * px_mm / voxel_mm),
         }
     )
-    # Fixed limits of the ratios to the spacing.
-    for name, part, limit in (("track", "moved_vox", 0.33), ("predict", "predict_vox", 0.30), ("initial", "initial_vox", 0.60)):
+    if neighbours is not None:
+        near = exact_quantiles(neighbours, by, "dist", {"nn_px": 0.5})
+        out = attach(out, near, by, "left").withColumn("nn_vox", F.col("nn_px") * (px_mm / voxel_mm))
+        out = out.withColumn("nn_check", F.when(F.col("nn_vox") <= spacing, "OK").when(F.col("nn_vox") > spacing, "WARN"))
+    if widths is not None:
+        sizes = exact_quantiles(widths, by, "sigma", {"sigma_px": 0.5})
+        out = attach(out, sizes, by, "left").withColumn("fwhm_px", FWHM * F.col("sigma_px"))
+    out = out.withColumn("contaminated", F.coalesce(F.col("cv") > VARIES, F.lit(False)))
+    for name, part, limit in RATIO_LIMITS:
         ratio = F.col(part) / spacing
         out = out.withColumn(f"{name}_check", F.when(ratio < limit, "OK").otherwise("WARN"))
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Sequence
 
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from ..core import attach, exact_quantiles
 from ..session import cut
 from .ftle import gaussian_smooth, key_schema
-from .neighbours import radius_neighbours
 
 IMAGE = ("cam", "frame")
 AT = ("row", "col")
@@ -90,42 +90,94 @@ def local_maxima(pixels: DataFrame, window: int, threshold: float | Column) -> D
     return seen.filter(F.col("value") >= F.col("_most")).drop("_most")
 
 
-def suppress_peaks(peaks: DataFrame, radius: float) -> DataFrame:
-    """Keep peaks greedily from bright to dim, dropping those within ``radius`` of a kept one.
+#: Side of the squares in which peaks are suppressed, in pixels, and peaks that a task takes together.
+TILE = 512
+TILE_PEAKS = 50_000
 
-    A peak that beats all its undecided neighbours is kept by the greedy rule
-    whatever happens elsewhere, so rounds of "keep the local winners, drop what
-    they cover" give the same result with no frame in one task.  Ties are broken
-    by column, then row.
+
+def _greedy(peaks: pd.DataFrame, radius: float, halo: np.ndarray) -> np.ndarray:
+    """Fate of each peak of one tile: 1 kept, 0 covered, 2 undecided.
+
+    Strongest first, ties by column, then row.  A peak of the ``halo`` counts as
+    undecided, and so does a peak that only undecided ones may cover.
+    """
+    row, col, value = (peaks[c].to_numpy() for c in (*AT, "value"))
+    reach = int(np.floor(radius))
+    r, c = row - row.min() + reach, col - col.min() + reach
+    raster = np.zeros((r.max() + reach + 1, c.max() + reach + 1), np.int8)
+    dr, dc = np.ogrid[-reach : reach + 1, -reach : reach + 1]
+    disc = dr * dr + dc * dc <= radius * radius
+    fate = np.zeros(len(peaks), np.int8)
+    for k in np.lexsort((row, col, -value)):
+        near = raster[r[k] - reach : r[k] + reach + 1, c[k] - reach : c[k] + reach + 1][disc]
+        if halo[k] or not (near == 1).any():
+            fate[k] = raster[r[k], c[k]] = 2 if halo[k] or (near == 2).any() else 1
+    return fate
+
+
+def _greedy_far(peaks: pd.DataFrame, radius: float) -> np.ndarray:
+    """Whether each peak is kept; peaks may lie anywhere, so kept ones are looked up by square."""
+    row, col, value = (peaks[c].to_numpy() for c in (*AT, "value"))
+    side = max(1, int(np.ceil(radius)))
+    held: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    kept = np.zeros(len(peaks), bool)
+    for k in np.lexsort((row, col, -value)):
+        r, c = int(row[k]), int(col[k])
+        i, j = r // side, c // side
+        around = (p for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for p in held.get((a, b), ()))
+        if not any((r - y) ** 2 + (c - x) ** 2 <= radius * radius for y, x in around):
+            kept[k] = True
+            held.setdefault((i, j), []).append((r, c))
+    return kept
+
+
+def suppress_peaks(peaks: DataFrame, radius: float, tile: int = TILE) -> DataFrame:
+    """Greedy suppression: strongest first, a kept peak covers all others within ``radius``.
+
+    Ties are broken by column, then row.  Images are cut into squares of ``tile``
+    pixels that also see the peaks within ``radius`` of their border.  Inside a
+    square the greedy rule is applied in Arrow batches; a peak is left undecided only
+    when its fate hangs on a peak beyond the border.  Undecided peaks, with the kept
+    ones near borders, are then decided image by image: two passes whatever the
+    length of a chain of peaks that cover each other.  An image is one sensor frame,
+    so its border peaks fit a task.
     """
+    tile = max(tile, 4 * int(radius) + 1)
     named = peaks.select(*IMAGE, *AT, "value")
-    pid = F.col("col") * (1 << 20) + F.col("row")
-    nodes = cut(named.withColumn("pid", pid.cast("bigint")))
-    slim = nodes.select(*IMAGE, "pid", *AT, "value")
-    pairs = radius_neighbours(
-        slim, slim.toDF(*slim.columns), IMAGE, AT, radius, "pid", "pid", ["value"], include_self=False
-    )
-    beaten = (F.col("n_value") > F.col("value")) | ((F.col("n_value") == F.col("value")) & (F.col("n_pid") < F.col("pid")))
-    # edge: winner n_pid -> loser pid
-    edges = cut(pairs.filter(beaten).select(*IMAGE, F.col("n_pid").alias("winner"), F.col("pid").alias("loser")))
-    open_nodes = nodes.select(*IMAGE, "pid")
-    kept = None
-    while True:
-        losers = edges.select(*IMAGE, F.col("loser").alias("pid")).distinct()
-        winners = cut(open_nodes.join(losers, [*IMAGE, "pid"], "left_anti"))
-        kept = winners if kept is None else cut(kept.unionByName(winners))
-        if edges.isEmpty():
-            break
-        won = winners.toDF(*IMAGE, "winner")
-        dropped = edges.join(won, [*IMAGE, "winner"], "left_semi").select(*IMAGE, F.col("loser").alias("pid")).distinct()
-        gone = cut(dropped.unionByName(winners.toDF(*dropped.columns)))
-        open_nodes = cut(open_nodes.join(gone.toDF(*gone.columns), [*IMAGE, "pid"], "left_anti"))
-        edges = cut(
-            edges.join(gone.toDF(*IMAGE, "loser"), [*IMAGE, "loser"], "left_anti").join(
-                gone.toDF(*IMAGE, "winner"), [*IMAGE, "winner"], "left_anti"
-            )
-        )
-    return nodes.join(kept.toDF(*kept.columns), [*IMAGE, "pid"], "left_semi").select(*IMAGE, *AT, "value")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields)
+    reach = float(radius)
+
+    def squares(c: str) -> Column:
+        return F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
+
+    seen = named.withColumn("_ti", F.explode(squares("row"))).withColumn("_tj", F.explode(squares("col")))
+    seen = seen.withColumn("_halo", (F.floor(F.col("row") / tile) != F.col("_ti")) | (F.floor(F.col("col") / tile) != F.col("_tj")))
+    place = [*IMAGE, "_ti", "_tj"]
+
+    def decide(bundle: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, square in bundle.groupby(place, sort=False):
+            halo = square["_halo"].to_numpy()
+            out.append(square.assign(_fate=_greedy(square, radius, halo).astype("int32"))[~halo])
+        return pd.concat(out)[[*IMAGE, *AT, "value", "_fate"]]
+
+    total = named.count()
+    bundles = max(1, -(-total // TILE_PEAKS))
+    dealt = seen.withColumn("_bundle", F.pmod(F.xxhash64(*place), F.lit(bundles)))
+    fates = cut(dealt.groupBy("_bundle").applyInPandas(decide, f"{fields}, _fate int"))
+    kept = fates.where("_fate = 1").select(*named.columns)
+    if not fates.where("_fate = 2").head(1):
+        return kept
+    border = functools.reduce(Column.__or__, [F.pmod(F.col(c), F.lit(tile)) < reach for c in AT] + [F.pmod(F.col(c), F.lit(tile)) >= tile - reach for c in AT])
+    # kept peaks near a border decide with the undecided; what they cover at home is settled
+    open_ = fates.where((F.col("_fate") == 2) | ((F.col("_fate") == 1) & border))
+
+    def settle(image: pd.DataFrame) -> pd.DataFrame:
+        sure = image["_fate"].to_numpy() == 1
+        found = _greedy_far(image, radius)
+        return image[found & ~sure][[*IMAGE, *AT, "value"]]
+
+    return kept.unionByName(open_.groupBy(*IMAGE).applyInPandas(settle, fields))
 
 
 def neighbour_values(peaks: DataFrame, pixels: DataFrame, offsets: Sequence[tuple[str, int, int]]) -> DataFrame:
@@ -157,6 +209,27 @@ def subpixel_gauss3(peaks: DataFrame, pixels: DataFrame, shape: tuple[int, int])
     return rows.select(*IMAGE, *AT, "value", x.alias("x"), y.alias("y"))
 
 
+def detect_tracers(
+    pixels: DataFrame, shape: tuple[int, int], *, background: str = "median", sigma_bg: float, sigma_noise: float,
+    k: float, floor: float, window: int, radius: float, target: float,
+) -> DataFrame:
+    """From raw frames to tracers: (cam, frame, row, col, value, x, y, threshold, gain).
+
+    The temporal background is removed (signed), the residual is band-passed, its
+    noise gives one threshold for each camera, maxima above it are suppressed
+    greedily and placed between pixels on the band-passed residual.  The gain brings
+    a camera's bright peaks, detected above ``floor``, to ``target``.
+    """
+    residual = subtract_background(dense_frames(pixels, *shape), temporal_background(dense_frames(pixels, *shape), background), clip=False)
+    clean = cut(bandpass(residual, shape, sigma_bg, sigma_noise))
+    limits = robust_threshold(clean, k, floor)
+    seen = suppress_peaks(local_maxima(clean, window, floor), radius)
+    gain = camera_gain(seen, target).select("cam", "gain")
+    above = attach(clean, limits, ["cam"]).filter(F.col("value") > F.col("threshold")).select(*clean.columns)
+    found = subpixel_gauss3(suppress_peaks(local_maxima(above, window, floor), radius), clean, shape)
+    return attach(attach(found, limits.select("cam", "threshold"), ["cam"]), gain, ["cam"], "left")
+
+
 def camera_gain(peaks: DataFrame, target: float) -> DataFrame:
     """Gain per camera that brings the nearest-rank 90th percentile of the peaks to ``target``."""
     bright = exact_quantiles(peaks, ["cam"], "value", {"bright": 0.9}, rule="nearest")
@@ -198,6 +271,7 @@ def peak_sigma(pixels: DataFrame, peaks: DataFrame, shape: tuple[int, int], r: i
 def particle_size(sigmas: DataFrame, by: Sequence[str]) -> DataFrame:
     """Exact median width and its full width at half maximum."""
     mid = exact_quantiles(sigmas, by, "sigma", {"sigma": 0.5})
+    # fixed value: the full width at half maximum of a Gaussian over its sigma
     return mid.withColumn("fwhm", 2.3548 * F.col("sigma"))
 
 

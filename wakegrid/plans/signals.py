@@ -14,6 +14,8 @@ from ..operators import spectral as G
 from ..operators import turbulence as B
 from ..operators import wind as M
 from ..operators.binning import Axis
+from ..operators.cameras import seeding_report
+from ..operators.neighbours import knn
 from ..sources import tables as ST
 from .eulerian import HOT_WIRE, VOLTS, hot_wire_targets, hot_wire_volts, midpoint_quantile_sql
 from .registry import query
@@ -759,16 +761,18 @@ def _(t):
     return peaks(t)
 
 
-@query(
-    "x5_suppress_peaks", ints="cam frame row col value",
-    sql=f"""with recursive p as materialized (select *, row_number() over (partition by cam, frame order by value desc, col, row) as i from {PEAKS} k),
+def suppressed_sql(source: str, radius2: float, ctes: str = "") -> str:
+    """Greedy suppression, peak after peak: the twin of the tiles."""
+    return f"""with recursive {ctes} p as materialized (select *, row_number() over (partition by cam, frame order by value desc, col, row) as i from {source} k),
         r as (select distinct cam, frame, cast(0 as bigint) as i, cast([] as struct(y bigint, x bigint)[]) as kept from p union all
-          select r.cam, r.frame, p.i, case when len([k for k in kept if power(k.y - p.row, 2) + power(k.x - p.col, 2) <= 9]) = 0
+          select r.cam, r.frame, p.i, case when len([k for k in kept if power(k.y - p.row, 2) + power(k.x - p.col, 2) <= {radius2}]) = 0
             then list_append(kept, {{'y': cast(p.row as bigint), 'x': cast(p.col as bigint)}}) else kept end
           from r join p on p.cam = r.cam and p.frame = r.frame and p.i = r.i + 1),
         l as (select cam, frame, unnest(arg_max(kept, i)) as k from r group by cam, frame)
-        select p.cam, p.frame, p.row, p.col, p.value from l join p on l.cam = p.cam and l.frame = p.frame and l.k.y = p.row and l.k.x = p.col""",
-)
+        select p.cam, p.frame, p.row, p.col, p.value from l join p on l.cam = p.cam and l.frame = p.frame and l.k.y = p.row and l.k.x = p.col"""
+
+
+@query("x5_suppress_peaks", ints="cam frame row col value", sql=suppressed_sql(PEAKS, 9))
 def _(t):
     return X.suppress_peaks(peaks(t), 3.0)
 
@@ -808,21 +812,79 @@ def _(t):
     return X.equalise_gain(t.pixels, gain, X.robust_threshold(t.pixels, 4.0, 50.0), 0.5, 255)
 
 
-@query(
-    "x8_peak_sigma", ints="cam frame row col", reals="sigma",
-    sql=f"""with d as materialized (select * from {DENSE} x),
+SIGMAS = f"""(with d as materialized (select * from {DENSE} x),
         b as (select * from {PEAKS} p),
         w as (select b.cam, b.frame, b.row, b.col, d.row - b.row as y, d.col - b.col as x, d.value - min(d.value) over (partition by b.cam, b.frame, b.row, b.col) as v
           from b join d on b.cam = d.cam and b.frame = d.frame and abs(d.row - b.row) <= 3 and abs(d.col - b.col) <= 3
           where b.row between 3 and 12 and b.col between 3 and 12),
         c as (select cam, frame, row, col, sum(x * v) / sum(v) as cx, sum(y * v) / sum(v) as cy from w group by 1, 2, 3, 4 having sum(v) > 0)
         select cam, frame, row, col, sqrt(sum((power(x - cx, 2) + power(y - cy, 2)) * v) / sum(v) / 2) as sigma from w join c using (cam, frame, row, col)
-        group by cam, frame, row, col""",
-)
+        group by cam, frame, row, col)"""
+
+
+@query("x8_peak_sigma", ints="cam frame row col", reals="sigma", sql=f"select * from {SIGMAS} s")
 def _(t):
     return X.peak_sigma(dense(t), peaks(t), SHAPE, 3)
 
 
+@query(
+    "c11b_seeding_crosscheck", texts="track_check nn_check", ints="cam contaminated",
+    reals="mean_n std_n cv spacing_vox nn_px nn_vox sigma_px fwhm_px",
+    sql=f"""with pk as materialized (select * from {PEAKS} p), c as (select cam, frame, count(*) as n from pk group by cam, frame),
+        first as (select cam, min(frame) as frame from pk group by cam),
+        near as (select a.cam, a.row, a.col, min(sqrt(power(a.row - b.row, 2) + power(a.col - b.col, 2))) as d from pk a join first using (cam, frame)
+          join pk b on a.cam = b.cam and a.frame = b.frame and (a.row <> b.row or a.col <> b.col) group by a.cam, a.row, a.col),
+        nn as (select cam, median(d) as nn_px from near group by cam),
+        sg as (select cam, median(sigma) as sigma_px from {SIGMAS} s join first using (cam, frame) group by cam),
+        b as (select cam, avg(n) as mean_n, stddev_samp(n) as std_n, stddev_samp(n) / avg(n) as cv from c group by cam),
+        r as (select *, power(6000e0 / mean_n, 1e0 / 3) / 0.5e0 as spacing_vox, 0.1e0 * nn_px as nn_vox, 2.3548e0 * sigma_px as fwhm_px
+          from b left join nn using (cam) left join sg using (cam))
+        select *, case when cv > 0.15e0 then 1 else 0 end as contaminated, case when 1.6e0 / spacing_vox < 0.33e0 then 'OK' else 'WARN' end as track_check,
+          case when nn_vox <= spacing_vox then 'OK' when nn_vox > spacing_vox then 'WARN' end as nn_check from r""",
+)
+def _(t):
+    found = peaks(t)
+    first = found.groupBy("cam").agg(F.min("frame").alias("frame"))
+    sample = found.join(first, ["cam", "frame"], "left_semi")
+    spots = sample.withColumn("pid", F.col("row") * SHAPE[1] + F.col("col")).select("cam", "frame", "pid", "row", "col")
+    near = knn(spots, ["cam", "frame"], "pid", ["row", "col"], 1)
+    widths = X.peak_sigma(dense(t), sample, SHAPE, 3)
+    counts = found.groupBy("cam", "frame").agg(F.count(F.lit(1)).alias("n"))
+    return seeding_report(
+        counts, ["cam"], "n", box_mm=(20.0, 20.0, 15.0), voxel_mm=0.5, px_mm=0.05, fps=500.0, velocity=0.4, worst_rms_px=0.4,
+        neighbours=near, widths=widths,
+    ).withColumn("contaminated", F.col("contaminated").cast("int"))
+
+
+def _chain_sql(k: float, floor: float, radius2: float, target: float) -> str:
+    """The steps from raw frames to tracers one after the other."""
+    fine1, fine2 = _blur_sql("r0", 0.7)
+    coarse1, coarse2 = _blur_sql("r0", 2.0)
+    maxima = """(select * from (select p.cam, p.frame, p.row, p.col, p.value, max(q.value) as most from {0} p join {0} q
+        on p.cam = q.cam and p.frame = q.frame and abs(p.row - q.row) <= 1 and abs(p.col - q.col) <= 1 group by p.cam, p.frame, p.row, p.col, p.value) m where value >= most)"""
+    return f"""with d0 as materialized (select * from {DENSE} x), g0 as (select cam, row, col, median(value) as background from d0 group by cam, row, col),
+        r0 as materialized (select cam, frame, row, col, value - background as value from d0 join g0 using (cam, row, col)),
+        f1 as materialized (select * from {fine1} x), c1 as materialized (select * from {coarse1} x),
+        f2 as (select * from {fine2.format("f1")} x), c2 as (select * from {coarse2.format("c1")} x),
+        d as materialized (select cam, frame, row, col, f2.value - c2.value as value from f2 join c2 using (cam, frame, row, col)),
+        m0 as (select cam, median(value) as m from d group by cam),
+        s0 as materialized (select cam, greatest({k} * 1.4826e0 * median(abs(value - m)), {floor}) as threshold from d join m0 using (cam) group by cam),
+        o0 as materialized (select * from d where value > {floor}), o1 as materialized (select d.* from d join s0 using (cam) where value > threshold and value > {floor}),
+        k0 as materialized (select * from {maxima.format("o0")} z), k1 as materialized (select * from {maxima.format("o1")} z),
+        w0 as materialized ({suppressed_sql("k0", radius2)}), w1 as materialized ({suppressed_sql("k1", radius2)}),
+        b0 as (select cam, max(case when i = greatest(floor(0.9e0 * c + 0.5e0), 1) then value end) as bright from (
+          select cam, value, row_number() over (partition by cam order by value) as i, count(*) over (partition by cam) as c from w0) x group by cam)
+        select p.cam, p.frame, p.row, p.col, p.value, s0.threshold, {target} / greatest(b0.bright, 2.220446049250313e-16) as gain,
+        p.col + case when p.row between 1 and 14 and p.col between 1 and 14 then {_log3('l.value', 'r.value')} else 0 end as x,
+        p.row + case when p.row between 1 and 14 and p.col between 1 and 14 then {_log3('u.value', 'b.value')} else 0 end as y
+        from w1 p join s0 on s0.cam = p.cam left join b0 on b0.cam = p.cam {_at('l', 0, -1)} {_at('r', 0, 1)} {_at('u', -1, 0)} {_at('b', 1, 0)}"""
+
+
+@query("x7b_detect_tracers", ints="cam frame row col", reals="value x y threshold gain", sql=_chain_sql(3.0, 5.0, 9, 200.0))
+def _(t):
+    return X.detect_tracers(t.pixels, SHAPE, sigma_bg=2.0, sigma_noise=0.7, k=3.0, floor=5.0, window=3, radius=3.0, target=200.0)
+
+
 MASK = f"""(select cam, frame, row, col, value from (select cam * 100 + frame as g, * from {PIXELS} p where value > 0) x
     join {midpoint_quantile_sql(0.8, f'(select cam * 100 + frame as g, value from {PIXELS} p where value > 0)', 'g', 'value', 'cut')} c using (g) where value >= cut)"""
 
