@@ -154,6 +154,36 @@ def confidence(priority: int) -> float:
     return round(max(0.3, 1 - priority / 100), 3)
 
 
+def uncovered(spans: list[tuple[int, int]]) -> list[bool]:
+    """Of spans in order of rank: whether no earlier one contains the span.
+
+    A sweep by start with a tree of running largest ends over the ranks: a span is
+    covered when, of the spans that begin no later, one of smaller rank ends no
+    earlier.  Whether that one is covered itself makes no difference, as what covers
+    it covers this one too.
+    """
+    n = len(spans)
+    tree = [-1] * (n + 1)
+    free = [True] * n
+    order = sorted(range(n), key=lambda k: spans[k][0])
+    at = 0
+    while at < n:
+        to = at
+        while to < n and spans[order[to]][0] == spans[order[at]][0]:
+            k, end = order[to] + 1, spans[order[to]][1]
+            while k <= n and tree[k] < end:
+                tree[k] = end
+                k += k & -k
+            to += 1
+        for i in order[at:to]:
+            k, end = i, spans[i][1]  # ranks before this one
+            while k and tree[k] < end:
+                k -= k & -k
+            free[i] = k == 0
+        at = to
+    return free
+
+
 class Scanner:
     def __init__(self, rules: list[RULE] | None = None):
         import ahocorasick
@@ -172,14 +202,9 @@ class Scanner:
         text = text.translate(FLAT)
         tried = sorted({k for _, numbers in self.gates.iter(text) for k in numbers})
         found = [(m.start(), m.end(), self.rules[k][0], self.rules[k][1]) for k in tried for m in self.rules[k][3].finditer(text) if m.end() > m.start()]
-        # by rank, then the longer, then the earlier: a span is kept unless a kept one contains it
+        # by rank, then the longer, then the earlier: a span is kept unless an earlier one contains it
         found.sort(key=lambda s: (s[2], s[0] - s[1], s[0], s[3]))
-        kept: list[tuple[int, int, int, str]] = []
-        starts: list[tuple[int, int]] = []
-        for span in found:
-            if not any(a <= span[0] and span[1] <= b for a, b in starts):
-                kept.append(span)
-                starts.append(span[:2])
+        kept = [span for span, free in zip(found, uncovered([s[:2] for s in found]), strict=True) if free]
         return sorted(kept)
 
 
