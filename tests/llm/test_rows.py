@@ -82,11 +82,56 @@ def test_word_ids_are_the_tokenizers(monkeypatch):
             assert ids.tolist() == words.encoder.encode(t, add_special_tokens=False).ids, t
 
 
+def fewest(lengths: list[int], size: int) -> int:
+    """Least number of sequences, by trying all."""
+    from functools import cache
+
+    @cache
+    def best(left: tuple[int, ...]) -> int:
+        if not left:
+            return 0
+        head, rest = left[0], left[1:]
+        found = len(left)
+
+        def fill(at: int, room: int, taken: tuple[int, ...]):
+            nonlocal found
+            found = min(found, 1 + best(tuple(rest[i] for i in range(len(rest)) if i not in taken)))
+            for i in range(at, len(rest)):
+                if rest[i] <= room:
+                    fill(i + 1, room - rest[i], (*taken, i))
+
+        fill(0, size - head, ())
+        return found
+
+    return best(tuple(sorted(lengths, reverse=True)))
+
+
+def test_plan_against_the_optimum():
+    r = random.Random(8)
+    over = 0
+    for _ in range(25):
+        lengths = [r.choice([3, 4, 5, 6, 7, 11, 13]) for _ in range(9)]
+        histogram = {n: lengths.count(n) for n in set(lengths)}
+        many = sum(m for _, m in plan(histogram, 20))
+        assert fewest(lengths, 20) <= many <= sum(m for _, m in best_fit(histogram, 20))
+        over += many - fewest(lengths, 20)
+    assert over <= 2
+
+
+def test_program_saves_sequences():
+    """Lengths that best-fit puts together badly: 15,000 (2050, 1000, 1000), 10,000 (2050, 1350) and 3,334 (1350 x 3) are optimal."""
+    histogram = {1000: 30_000, 1350: 20_000, 2050: 25_000}
+    many, plain = (sum(m for _, m in p) for p in (plan(histogram, 4096), best_fit(histogram, 4096)))
+    lengths = np.array(sorted(histogram))
+    _, bound = packing.configurations(lengths, np.array([histogram[n] for n in lengths]), 4096, 0.01, 100_000)
+    assert plain == 30_000 and many <= 28_340 and 0.95 * 28_333 < bound <= 28_334
+
+
 def test_plan_places_all():
     r = random.Random(3)
     for _ in range(20):
         histogram = {r.randrange(1, 65): r.randrange(1, 200) for _ in range(r.randrange(1, 30))}
-        for made in (plan(histogram, 64, rounds=20), best_fit(histogram, 64)):
+        for made in (plan(histogram, 64, work=2000), best_fit(histogram, 64)):
             placed: dict[int, int] = {}
             for filling, many in made:
                 assert sum(n * a for n, a in filling.items()) <= 64
