@@ -16,8 +16,9 @@ distinct ``width``-word shingles.
 5. **Derived answers.**  What remains are classes outside the component of a
    list's head.  Each is also held against the pivot that most others there follow.  A class's answers follow from its pivot's: two sets that share
    nothing outside the pivot have at most the smaller of their overlaps with it in
-   common.  Shingles outside the pivot are listed too, so pairs that share one meet
-   in its own list, and all others are skipped by that bound.
+   common.  The first shingles outside the pivot are listed too, so pairs that can
+   share enough of them meet in such a list, and all others are skipped by that
+   bound; these lists are looked at for sets with one pivot only.
 
 Fewer than ``width`` words: the whole sequence is the one shingle.  Null texts
 and texts without words have an empty set and link with nothing.  Rows that repeat
@@ -119,10 +120,7 @@ def list_first(held: Broadcast, percent: int):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             sets = unpacked(batch.column(batch.schema.get_field_index("shingles")))
             for own, copies, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = np.where(known[at] == s, rank[at], 0)
-                    s = s[np.lexsort((s, often))]
+                s = ranked(s, known, rank)
                 p = len(s) - least_shared(len(s), percent) + 1
                 for column, values in zip(out, (s[:p].view(np.int64), np.full(p, own), np.full(p, len(s)), np.full(p, copies), np.arange(p)), strict=True):
                     column.append(values)
@@ -132,6 +130,36 @@ def list_first(held: Broadcast, percent: int):
     return run
 
 
+def ranked(s: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Shingles in the one order of all lists: the commonest last, then by value."""
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        s = s[np.lexsort((s, np.where(known[at] == s, rank[at], 0)))]
+    return s
+
+
+def list_rest(held: Broadcast, percent: int):
+    """Entries (id, token) of the first shingles that a set holds beside its pivot.
+
+    A partner with the same pivot that shares no more inside it than this set does has
+    at least ``least_shared(size) - shared`` shingles in common with it beside it, so
+    two such sets meet among the first of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = held.value
+        for batch in batches:
+            ids, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for own, shared, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rest = np.asarray(rest.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+                p = len(rest) - max(1, least_shared(shared + len(rest), percent) - shared) + 1
+                tokens.append(ranked(rest, known, rank)[: max(0, p)])
+                ids.append(np.full(len(tokens[-1]), own, np.int64))
+            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(tokens).view(np.int64))], names=["id", "token"])
+
+    return run
+
+
 def compare(percent: int, with_rest: bool):
     """Overlap of the two sets of each row; ``rest``: the first set's shingles that the second lacks."""
 
@@ -233,7 +261,7 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     about = entries.select("id", "size").distinct().join(named, "id", "left").join(pivots, "id", "left")
     about = about.select("id", "size", F.coalesce("component", "id").alias("component"), F.coalesce("pivot", "id").alias("pivot"), F.coalesce("shared", "size").alias("shared"))
     about = kept(about, "about")
-    outside = close.select(F.col("a").alias("id"), F.explode("rest").alias("token")).withColumn("outside", F.lit(True))
+    outside = close.select("a", "shared", "rest").mapInArrow(list_rest(held, percent), "id long, token long").withColumn("outside", F.lit(True))
     listed = entries.select("token", "id", "place").join(outside, ["token", "id"], "full")
     listed = listed.join(about, "id").select("token", "id", "size", "component", "pivot", "shared", F.col("place"), F.coalesce("outside", F.lit(False)).alias("outside"))
     listed = kept(listed, "lists")
@@ -249,7 +277,9 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     # with one pivot: no more inside it than the smaller overlap, no more beside it than the smaller rest
     beside = F.when(F.col("outside_a") & F.col("outside_b"), F.least(F.col("size_a") - F.col("shared_a"), F.col("size_b") - F.col("shared_b"))).otherwise(0)
     bound = F.when(F.col("pivot_a") == F.col("pivot_b"), F.least("shared_a", "shared_b") + beside).otherwise(need)
-    met = met.where((F.col("component_a") != F.col("component_b")) & sizes_fit("size_a", "size_b", percent) & (bound >= need) & (ahead >= need))
+    # sets with different pivots meet among the first shingles of both, or not at all
+    either = (F.col("pivot_a") == F.col("pivot_b")) | (F.col("place_a").isNotNull() & F.col("place_b").isNotNull())
+    met = met.where((F.col("component_a") != F.col("component_b")) & either & sizes_fit("size_a", "size_b", percent) & (bound >= need) & (ahead >= need))
     pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     # what was compared with a head is known
     known_pairs = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
