@@ -14,7 +14,7 @@ from data import documents, frame
 from wakegrid.llm import packing
 from wakegrid.llm.fingerprints import version_fingerprints
 from wakegrid.llm.labelled import fold
-from wakegrid.llm.licenses import Scanner, build_rules, license_scan
+from wakegrid.llm.licenses import Scanner, build_rules, license_scan, uncovered
 from wakegrid.llm.packing import best_fit, knapsack, pack_documents, plan
 from wakegrid.llm.quality import Machine, score_quality, train_quality
 from wakegrid.llm.queries import tokenizer_path
@@ -51,6 +51,31 @@ def test_license_rules_by_rank():
     assert not labels("plain words about by and sa")
 
 
+def test_suppression_equals_comparing_all_pairs():
+    r = random.Random(6)
+    for _ in range(200):
+        spans = [(a, a + r.randrange(1, 9)) for a in (r.randrange(25) for _ in range(r.randrange(50)))]
+        kept: list[tuple[int, int]] = []
+        want = []
+        for a, b in spans:
+            want.append(not any(x <= a and b <= y for x, y in kept))
+            kept += [(a, b)] * want[-1]
+        assert uncovered(spans) == want
+
+
+def test_scan_of_a_long_text_equals_the_rules_tried_one_by_one():
+    """Without the gates and with all pairs compared; a text of 2 MB stays quick."""
+    scanner = Scanner()
+    text = " ".join(["released under the mit license, all rights reserved", "gnu lesser general public license version 2.1 or later", "cc-by-sa 4.0", "x"][k % 4] for k in range(60))
+    found = sorted(((p, m.start() - m.end(), m.start(), label, m.end()) for p, label, _, pattern in scanner.rules for m in pattern.finditer(text) if m.end() > m.start()))
+    kept: list[tuple] = []
+    for p, _, a, label, b in found:
+        if not any(x <= a and b <= y for x, y, _, _ in kept):
+            kept.append((a, b, p, label))
+    assert scanner.spans(text) == sorted(kept) and len(kept) > 40
+    assert len(scanner.spans("released under the mit license. " * 60_000)) == 60_000
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 

@@ -64,3 +64,26 @@ def test_main_slot_overrules_its_name(spark):
     body = '<body><h1>Title {k}</h1><div class="legal"><p>' + "Long words of the law {k}. " * 5 + '</p></div><div class="comments">I say {k}</div></body>'
     got = extracted(spark, [body.format(k=k) for k in range(8)])
     assert got == [f"Title {k}\n" + (f"Long words of the law {k}. " * 5).strip() for k in range(8)]
+
+
+def test_deep_pages(spark):
+    """10,000 nested elements: all text in its order, what is set apart stays so, and pages still align."""
+    def page(depth: int, k: int) -> str:
+        return "<body><div class=top>Same words</div>" + "".join(f"<div><p>in {i} of {k}" for i in range(depth)) + "<nav><div>gone</div></nav>" + "".join(f"</div>out {i}" for i in range(depth)) + "</body>"
+
+    def told(depth: int, k: int) -> list[str]:
+        return [f"in {i} of {k}" for i in range(depth)] + [f"out {i}" for i in range(depth)]
+
+    for depth in (3, wrapper.DEEP + 3, 1500, 10_000):
+        assert main_text(tree(page(depth, 1)), {}, set()).split("\n") == ["Same words", *told(depth, 1)]
+    nested = "<div>" * 400 + "<aside>" + "<div>" * 400 + "gone" + "</div>" * 400 + "</aside>kept" + "</div>" * 400
+    assert main_text(tree(nested), {}, set()) == "kept"
+    got = extracted(spark, [page(2000, k) for k in range(6)])
+    assert all("Same words" not in t and f"in 1999 of {k}" in t and "gone" not in t for k, t in enumerate(got))
+
+
+def test_empty_tables_and_extra_columns(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string, host string, tree string, fixed string")
+    assert extract_pages(df).count() == 0
+    odd = spark.createDataFrame([(1, None, None, "h", "t", "f"), (None, "http://h/", "<p>x", "h", "t", "f"), (1, None, "", "h", "t", "f")], df.schema)
+    assert sorted((r["page_id"] or 0, r["text"]) for r in extract_pages(odd).collect()) == [(0, "x"), (1, ""), (1, "")]

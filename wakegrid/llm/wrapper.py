@@ -19,6 +19,9 @@ headers, footers, sidebars, notices, adverts, forms, comments).
    host's main slot: where it holds more varying text than the parts not set apart.
 5. Pages meet their host's tree in a join that Spark may split.
 
+Elements that are nested more than ``DEEP`` levels deep stand side by side on that
+level, with what they inherit; their text stays in its order.  A page is handled as one value in a task.
+
 Null and empty pages have no text.  A page without a host is its own host "".
 Hosts with fewer than ``FEWEST`` different pages have no template nodes.  A page's
 content element is kept whole when all its text would go as template; and a page
@@ -40,6 +43,10 @@ from pyspark.sql import functions as F
 from .tables import kept
 
 FEWEST, SHARE, FAN = 5, 0.8, 64
+#: Levels of a page's tree; elements that are nested deeper stand side by side on the last level.
+DEEP = 150
+#: Children of a node from which on equal ones count once in its shape.
+WIDE = 300
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noembed noframes".split())
@@ -83,6 +90,11 @@ def tree(page: str) -> Node:
         words = WHITE.sub(" ", html.unescape("".join(said))).strip()
         said.clear()
         if words:
+            if len(stack) > DEEP and stack[DEEP - 1].children[-1] is not stack[-1]:
+                # text behind an element that stands beside its parent: the parent goes on behind it
+                over = stack[-1]
+                stack[-1] = Node(over.tag, over.label, over.apart, over.named)
+                stack[DEEP - 1].children.append(stack[-1])
             stack[-1].text.append((len(stack[-1].children), words))
 
     while at < size:
@@ -127,7 +139,13 @@ def tree(page: str) -> Node:
             stack.pop()
         names = attributes(rest)
         node = Node(tag, tag + "." + names if names else tag, tag in APART or hidden(rest), named_apart(tag, names))
-        stack[-1].children.append(node)
+        if len(stack) >= DEEP:
+            # on the last level elements inherit from those they are nested in by copying
+            if len(stack) > DEEP:
+                node.apart, node.named = node.apart or stack[-1].apart, node.named or stack[-1].named
+            stack[DEEP - 1].children.append(node)
+        else:
+            stack[-1].children.append(node)
         stack.append(node)
     flush()
     return root
@@ -175,15 +193,40 @@ Shape = list  # [label, [shape, ...]]
 def shape(node: Node) -> Shape:
     """The tree of labels with equal neighbours as one."""
     if node.shape is None:
-        children: list[Shape] = []
-        for c in node.children:
-            s = shape(c)
-            if not children or children[-1] != s:
-                children.append(s)
-        node.shape = [node.label, children]
+        node.shape = [node.label, []]
+        numbered_children(node)
     return node.shape
 
 
+def numbered_children(node: Node) -> list[int]:
+    """For each child its number among the children of the node's shape, which are made here.
+
+    Equal neighbours are one child of the shape.  Of more than ``WIDE`` children equal
+    ones are one wherever they stand, so a long list of alternating elements is as
+    narrow a shape as its pattern.
+    """
+    own = [shape(c) for c in node.children]
+    children: list[Shape] = []
+    numbers = []
+    for s in own:
+        if not children or children[-1] != s:
+            children.append(s)
+        numbers.append(len(children) - 1)
+    if len(children) > WIDE:
+        met: dict[str, int] = {}
+        children, renumbered = [], {}
+        for k, s in zip(numbers, own, strict=True):
+            if k not in renumbered:
+                key = json.dumps(s)
+                if key not in met:
+                    met[key] = len(children)
+                    children.append(s)
+                renumbered[k] = met[key]
+        numbers = [renumbered[k] for k in numbers]
+    shape(node)[1] = children
+    return numbers
+
+
 def matching(a: Shape, b: Shape, known: dict) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two nodes with one label: size of the largest matching and the matched children."""
     key = (id(a), id(b))
@@ -233,11 +276,7 @@ def places(node: Node, template: Shape, path: str, known: dict, out: dict[int, s
     own = shape(node)
     pairs = dict(matching(own, template, known)[1])
     out[id(node)] = path
-    k, last = -1, None
-    for child in node.children:
-        s = shape(child)
-        if last is None or s != last:
-            k, last = k + 1, s
+    for k, child in zip(numbered_children(node), node.children, strict=True):
         if k in pairs:
             places(child, template[1][pairs[k]], f"{path}/{pairs[k]}", known, out)
 
