@@ -214,3 +214,43 @@ def test_xcorr_and_scales(spark):
     assert row["taylor_t"] == pytest.approx(2.0) and row["taylor_x"] == pytest.approx(10.0)
     g = B.isotropic_transverse(curve.withColumn("d", F.col("tau") * 5), ["g"], "r", "d").toPandas().set_index("lag")["g_iso"]
     assert g[3] == pytest.approx(1 - 2 * 0.09 / 8)
+
+
+def lines(rng, n, groups=2):
+    z = rng.normal(size=(groups, n)) + 1j * rng.normal(size=(groups, n))
+    rows = [(g, i, float(z[g, i].real), float(z[g, i].imag)) for g in range(groups) for i in range(n)]
+    return z, rows
+
+
+@pytest.mark.parametrize("n", [512, 1200, 509, 2 * 257])
+@pytest.mark.parametrize("inverse", [False, True])
+def test_folded_transform_equals_the_whole_one(spark, monkeypatch, n, inverse):
+    """Lines of at most 64 nodes: powers of two, mixed factors, primes, and a prime above the limit."""
+    z, rows = lines(np.random.default_rng(n), n)
+    df = spark.createDataFrame(rows, "g int, i long, v_re double, v_im double")
+    held = []
+    monkeypatch.setattr(G, "transform_lines", lambda df, keys, axis, m, *a, f=G.transform_lines, **b: held.append(m) or f(df, keys, axis, m, *a, **b))
+    got = G.pencil_fft(df, ["g"], "i", n, ["v"], inverse, line=64).toPandas().sort_values(["g", "i"])
+    want = (np.fft.ifft if inverse else np.fft.fft)(z, axis=1).ravel()
+    np.testing.assert_allclose(got["v_re"] + 1j * got["v_im"], want, atol=1e-9)
+    assert held and max(held) <= 64
+
+
+def test_long_derivative_and_product(spark, monkeypatch):
+    n, rng = 240, np.random.default_rng(1)
+    f, h = rng.normal(size=n), rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "f": f, "h": h}))
+    short = G.spectral_derivative(df, [], "i", "f", n, 3.0).toPandas().sort_values("i")
+    product = G.dealiased_product(df, [], "i", "f", "h", n).toPandas().sort_values("mode")
+    monkeypatch.setattr(G, "LINE", 32)
+    long = G.spectral_derivative(df, [], "i", "f", n, 3.0).toPandas().sort_values("i")
+    np.testing.assert_allclose(long[["f", "d_fft", "d_central"]], short[["f", "d_fft", "d_central"]], atol=1e-8)
+    again = G.dealiased_product(df, [], "i", "f", "h", n).toPandas().sort_values("mode")
+    np.testing.assert_allclose(again, product[again.columns], atol=1e-10)
+
+
+def test_a_line_of_a_quarter_million_nodes(spark):
+    n = 1 << 18
+    df = spark.range(n).select(F.col("id").alias("i"), F.cos(F.col("id") * (2 * np.pi * 1000 / n)).alias("v_re"), F.lit(0.0).alias("v_im"))
+    got = G.pencil_fft(df, [], "i", n, ["v"], line=1024).where("abs(v_re) + abs(v_im) > 1").collect()
+    assert {(r["i"], round(r["v_re"] / n, 9)) for r in got} == {(1000, 0.5), (n - 1000, 0.5)}

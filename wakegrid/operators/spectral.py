@@ -1,7 +1,9 @@
 """Fourier operators on gridded fields and long signals (G operators).
 
 A transform needs a whole line of nodes or a whole segment, whose length is a
-parameter.  Lines are packed into arrays by Spark and transformed batch-wise.
+parameter.  Lines are packed into arrays by Spark and transformed batch-wise; a
+line of more than ``LINE`` nodes is folded into a matrix, whose columns and rows are
+transformed as short lines of their own, so no task holds the line.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import attach
+from ..session import cut
 from .binning import STRESSES, Axis, nearest_slice
 from .ftle import key_schema
 from .sequence import detrend_linear
 
 INDEX = ("i", "j", "k")
+#: Nodes of a line that is transformed in one piece.
+LINE = 1 << 16
 
 
 def _field(name: str) -> Callable[[Column], Column]:
@@ -67,10 +72,15 @@ def transform_lines(
 
 
 def pencil_fft(
-    df: DataFrame, keys: Sequence[str], axis: str, n: int, values: Sequence[str], inverse: bool = False
+    df: DataFrame, keys: Sequence[str], axis: str, n: int, values: Sequence[str], inverse: bool = False, line: int | None = None
 ) -> DataFrame:
-    """Complex transform along one axis of columns <v>_re, <v>_im."""
+    """Complex transform along one axis of columns <v>_re, <v>_im.
+
+    Lines of more than ``line`` nodes are transformed in pieces (``_folded_fft``).
+    """
     columns = [f"{v}_{p}" for v in values for p in ("re", "im")]
+    if n > (line or LINE):
+        return _folded_fft(df.select(*keys, F.col(axis).cast("bigint").alias(axis), *columns), list(keys), axis, n, list(values), inverse, line or LINE)
     fft = np.fft.ifft if inverse else np.fft.fft
 
     def work(data):
@@ -82,6 +92,64 @@ def pencil_fft(
     return transform_lines(df, keys, axis, n, columns, columns, work)
 
 
+def _turned(df: DataFrame, values: Sequence[str], angle: Column, scale: float | Column = 1.0) -> DataFrame:
+    """Values times scale * exp(i * angle)."""
+    c, s = F.cos(angle) * scale, F.sin(angle) * scale
+    out = {}
+    for v in values:
+        re, im = F.col(f"{v}_re"), F.col(f"{v}_im")
+        out |= {f"{v}_re": re * c - im * s, f"{v}_im": re * s + im * c}
+    return df.withColumns(out)
+
+
+def _folded_fft(df: DataFrame, keys: list[str], axis: str, n: int, values: list[str], inverse: bool, line: int) -> DataFrame:
+    """Transform of a long line in pieces of bounded length.
+
+    With n = p * q a line is a matrix of p rows and q columns.  Its columns are
+    transformed, every node is turned by its share of a revolution, and its rows are
+    transformed; the result is read column by column.  Each step regroups the nodes
+    into lines of p or q nodes, which may be folded again.  A length with a prime
+    factor above ``line`` is transformed as a convolution of a power of two.
+    """
+    p = max(d for d in range(1, math.isqrt(n) + 1) if n % d == 0)
+    q = n // p
+    if p == 1 or q > line and max(d for d in range(1, math.isqrt(q) + 1) if q % d == 0) == 1:
+        return _chirp_fft(df, keys, axis, n, values, inverse, line)
+    i, sign = F.col(axis), 1.0 if inverse else -1.0
+    down = df.withColumns({"_b": i % q, "_a": F.floor(i / q).cast("bigint")}).drop(axis)
+    down = pencil_fft(down, [*keys, "_b"], "_a", p, values, inverse, line)
+    share = (F.col("_a") * F.col("_b")) % n  # whole turns are taken off before the angle is made
+    down = _turned(down, values, sign * 2 * math.pi / n * share)
+    across = pencil_fft(down, [*keys, "_a"], "_b", q, values, inverse, line)
+    return across.withColumn(axis, F.col("_a") + p * F.col("_b")).drop("_a", "_b")
+
+
+def _chirp_fft(df: DataFrame, keys: list[str], axis: str, n: int, values: list[str], inverse: bool, line: int) -> DataFrame:
+    """Transform of a line of any length as a circular convolution with a chirp, whose length is a power of two."""
+    m = 1 << (2 * n - 2).bit_length()
+    i, sign = F.col(axis), 1.0 if inverse else -1.0
+
+    def quarter(j: Column) -> Column:
+        """j*j half turns by n, whole turns taken off; exact for n below 2**31."""
+        return sign * math.pi / n * ((j * j) % (2 * n))
+
+    nodes = df.sparkSession.range(m).select(F.col("id").alias(axis))
+    off = F.least(i, m - i)
+    chirp = nodes.select(axis, F.when(off < n, F.cos(quarter(off))).otherwise(0.0).alias("_w_re"), F.when(off < n, -F.sin(quarter(off))).otherwise(0.0).alias("_w_im"))
+    chirp = cut(pencil_fft(chirp, [], axis, m, ["_w"], False, line))
+    turned = _turned(df, values, quarter(i))
+    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).drop("id")
+    rest = groups.withColumn(axis, F.explode(F.sequence(F.lit(n).cast("bigint"), F.lit(m - 1).cast("bigint"))))
+    rest = rest.withColumns({f"{v}_{c}": F.lit(0.0) for v in values for c in ("re", "im")})
+    hat = pencil_fft(turned.unionByName(rest), keys, axis, m, values, False, line).join(chirp, axis)
+    product = {}
+    for v in values:
+        re, im = F.col(f"{v}_re"), F.col(f"{v}_im")
+        product |= {f"{v}_re": re * F.col("_w_re") - im * F.col("_w_im"), f"{v}_im": re * F.col("_w_im") + im * F.col("_w_re")}
+    back = pencil_fft(hat.withColumns(product).drop("_w_re", "_w_im"), keys, axis, m, values, True, line).where(i < n)
+    return _turned(back, values, quarter(i), 1.0 / n if inverse else 1.0)
+
+
 def grid_fft(
     df: DataFrame, by: Sequence[str], shape: Mapping[str, int], values: Sequence[str], inverse: bool = False
 ) -> DataFrame:
@@ -299,6 +367,8 @@ def spectral_derivative(
     """Derivative of a periodic series of n nodes by FFT (Nyquist mode 0) and by central differences."""
     if n % 2:
         raise ValueError("the transform needs an even number of nodes")
+    if n > LINE:
+        return _long_derivative(df, list(by), index, value, n, length)
     modes = np.fft.fftfreq(n, 1 / n) * (2 * np.pi / length)
     modes[n // 2] = 0.0
 
@@ -311,6 +381,42 @@ def spectral_derivative(
     return transform_lines(df, by, index, n, [value], [value, "d_fft", "d_central"], work)
 
 
+def _long_derivative(df: DataFrame, by: list[str], index: str, value: str, n: int, length: float) -> DataFrame:
+    """``spectral_derivative`` of lines that are transformed in pieces; neighbours meet by their places."""
+    rows = df.select(*by, F.col(index).cast("bigint").alias(index), F.col(value).cast("double").alias(value))
+    hat = pencil_fft(as_complex(rows, [value]), by, index, n, [value])
+    k = wavenumber(index, n, length, zero_nyquist=True)
+    hat = hat.select(*by, index, (-k * F.col(f"{value}_im")).alias("_d_re"), (k * F.col(f"{value}_re")).alias("_d_im"))
+    exact = pencil_fft(hat, by, index, n, ["_d"], True).select(*by, index, F.col("_d_re").alias("d_fft"))
+    steps = F.array(*[F.lit(o) for o in (-1, 0, 1)])
+    sent = rows.withColumn("_o", F.explode(steps)).withColumn(index, F.pmod(F.col(index) + F.col("_o"), F.lit(n)))
+    at = lambda o: F.max(F.when(F.col("_o") == o, F.col(value)))
+    near = sent.groupBy(*by, index).agg(at(0).alias(value), ((at(-1) - at(1)) / (2 * length / n)).alias("d_central"))
+    return near.join(exact, [*by, index]).select(*by, index, value, "d_fft", "d_central")
+
+
+def _long_product(df: DataFrame, by: list[str], index: str, a: str, b: str, n: int) -> DataFrame:
+    """``dealiased_product`` of lines that are transformed in pieces."""
+    m, h, i = 3 * n // 2, n // 2, F.col(index)
+    rows = df.select(*by, i.cast("bigint").alias(index), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    plain = pencil_fft(as_complex(rows.select(*by, index, (F.col("_a") * F.col("_b")).alias("_p")), ["_p"]), by, index, n, ["_p"])
+    hat = pencil_fft(as_complex(rows, ["_a", "_b"]), by, index, n, ["_a", "_b"])
+    parts = [f"{v}_{c}" for v in ("_a", "_b") for c in ("re", "im")]
+    wide = hat.withColumn(index, F.when(i < h, i).otherwise(i + (m - n))).withColumns({c: F.col(c) * (m / n) for c in parts})
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).drop("id")
+    gap = groups.withColumn(index, F.explode(F.sequence(F.lit(h).cast("bigint"), F.lit(m - h - 1).cast("bigint")))).withColumns({c: F.lit(0.0) for c in parts})
+    fine = pencil_fft(wide.unionByName(gap), by, index, m, ["_a", "_b"], True)
+    re = F.col("_a_re") * F.col("_b_re") - F.col("_a_im") * F.col("_b_im")
+    im = F.col("_a_re") * F.col("_b_im") + F.col("_a_im") * F.col("_b_re")
+    clean = pencil_fft(fine.select(*by, index, re.alias("_c_re"), im.alias("_c_im")), by, index, m, ["_c"])
+    clean = clean.where((i < h) | (i >= m - h)).withColumn(index, F.when(i < h, i).otherwise(i - (m - n)))
+    out = plain.join(clean, [*by, index])
+    return out.select(
+        *by, i.alias("mode"), (F.col("_p_re") / n).alias("plain_re"), (F.col("_p_im") / n).alias("plain_im"),
+        (F.col("_c_re") / m).alias("clean_re"), (F.col("_c_im") / m).alias("clean_im"),
+    )
+
+
 def fourier_amplitudes(
     df: DataFrame, by: Sequence[str], index: str, value: str, n: int, tol: float = 1e-10
 ) -> DataFrame:
@@ -331,6 +437,8 @@ def dealiased_product(
     """Spectra of a*b on n modes, plain and with the 3/2 rule: (by, mode, plain and clean re/im)."""
     if n % 2:
         raise ValueError("the transform needs an even number of nodes")
+    if 3 * n // 2 > LINE:
+        return _long_product(df, list(by), index, a, b, n)
     m, h = 3 * n // 2, n // 2
 
     def work(data):
