@@ -10,6 +10,7 @@ from ..operators import binning as A
 from ..operators import joins as J
 from ..operators import quality as Q
 from ..operators import sequence as W
+from ..session import cut
 from .registry import query
 from .views import (
     DT, FS, GRID, PIXELS, SAMPLES, SIGNAL, TOWER, TRACKS, X8, Y11, Z3, bin_sql, grid_sql, num,
@@ -100,7 +101,7 @@ def track_velocity(t):
     select iy, count(*) as bins, avg(u) as u, avg(v) as v, avg(w) as w from m group by iy""",
 )
 def _(t):
-    v = track_velocity(t)
+    v = cut(track_velocity(t))  # read twice: for the bounds of the grid and for its bins
     v = attach(v, A.padded_bounds(v, ["x", "y"]), [])
     numbered = v.withColumns(
         {f"i{c}": A.uniform_bins(c, F.col(f"lo_{c}"), F.col(f"hi_{c}"), n) for c, n in (("x", 4), ("y", 9))}
@@ -312,6 +313,25 @@ def _(t):
     return A.singular_energy(t.embeddings, "embedding", 64, (1, 2, 4, 8, 16, 32, 64))
 
 
+_GRAM = ", ".join(f"sum(cast(embedding[{i}] as double) * embedding[{j}]) as g{i}{j}" for i, j in ((1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)))
+
+
+@query(
+    "a19b_singular_energy_by_label", ints="label k", reals="sigma frobenius spectral energy",
+    sql=f"""with g as (select label, {_GRAM} from embeddings group by label), t as (select *, (g11 + g22 + g33) / 3 as m from g),
+        p as (select *, sqrt((power(g11 - m, 2) + power(g22 - m, 2) + power(g33 - m, 2) + 2 * (g12 * g12 + g13 * g13 + g23 * g23)) / 6) as p from t),
+        r as (select *, ((g11 - m) * ((g22 - m) * (g33 - m) - g23 * g23) - g12 * (g12 * (g33 - m) - g23 * g13) + g13 * (g12 * g23 - (g22 - m) * g13)) / (2 * p * p * p) as r from p),
+        a as (select *, acos(least(greatest(r, -1), 1)) / 3 as a from r),
+        e as (select label, [m + 2 * p * cos(a), m + 2 * p * cos(a - 2 * pi() / 3), m + 2 * p * cos(a + 2 * pi() / 3)] as e from a)
+        select label, k, sqrt(e[k]) as sigma, sqrt(list_sum(e[k + 1:])) as frobenius, sqrt(e[k + 1]) as spectral, list_sum(e[:k]) / list_sum(e) as energy
+        from e, (values (1), (2)) as ks(k)""",
+)
+def _(t):
+    """The three eigenvalues of a 3x3 matrix have a closed form, which the twin uses."""
+    short = t.embeddings.select("label", F.slice("embedding", 1, 3).alias("embedding"))
+    return A.singular_energy(short, "embedding", 3, (1, 2), ["label"])
+
+
 @query(
     "a20_simpson_trapezoid", texts="case_id", reals="trapezoid simpson",
     sql=f"""with e as (select case_id, max(n) as m from {SIGNAL} s group by case_id)

@@ -253,9 +253,13 @@ def _diff_sql(c: str, axis: int) -> str:
         / (case when {p} = 0 or {p} = {a.n - 1} then 1 else 2 end * {step}))"""
 
 
-HESSIAN = f"""(select *, {_diff_sql('gx', 0)} as hxx, {_diff_sql('gx', 1)} as hxy, {_diff_sql('gx', 2)} as hxz,
+def hessian_sql(source: str) -> str:
+    return f"""(select *, {_diff_sql('gx', 0)} as hxx, {_diff_sql('gx', 1)} as hxy, {_diff_sql('gx', 2)} as hxz,
     {_diff_sql('gy', 1)} as hyy, {_diff_sql('gy', 2)} as hyz, {_diff_sql('gz', 2)} as hzz from (
-    select *, {_diff_sql('v', 0)} as gx, {_diff_sql('v', 1)} as gy, {_diff_sql('v', 2)} as gz from {FILLED} f) g)"""
+    select *, {_diff_sql('v', 0)} as gx, {_diff_sql('v', 1)} as gy, {_diff_sql('v', 2)} as gz from {source} f) g)"""
+
+
+HESSIAN = hessian_sql(FILLED)
 
 
 @query("e9_grid_gradient_hessian", ints="i j k", reals="gx gy gz hxx hxy hxz hyy hyz hzz", digits=2,
@@ -264,7 +268,33 @@ def _(t):
     return E.grid_gradient_hessian(filled(t), [], "v", AXES)
 
 
-@query("e10_ridge_points", ints="i j k", reals="v lam align", digits=3)
+ERODED = f"""(with f as (select * from {FIELD} f) select a.i, a.j, a.k from f a, {NEAR6}, f b
+        where b.i = a.i + di and b.j = a.j + dj and b.k = a.k + dk group by 1, 2, 3 having count(*) = 6)"""
+
+
+def _ridge_sql(floor: float, concave: float, align: float) -> str:
+    """Ridges with the smallest eigenvalue in closed form; its vector is the longest cross product of two rows of H - lambda I."""
+    rows = {"a": ("hxx - lam", "hxy", "hxz"), "b": ("hxy", "hyy - lam", "hyz"), "c": ("hxz", "hyz", "hzz - lam")}
+
+    def cross(p: str, q: str) -> str:
+        (x, y, z), (u, v, w) = rows[p], rows[q]
+        return f"[({y}) * ({w}) - ({z}) * ({v}), ({z}) * ({u}) - ({x}) * ({w}), ({x}) * ({v}) - ({y}) * ({u})]"
+
+    norm = lambda c: f"({c}[1] * {c}[1] + {c}[2] * {c}[2] + {c}[3] * {c}[3])"
+    return f"""with valid as materialized (select h.* from {hessian_sql(SMOOTH)} h join {ERODED} e using (i, j, k)),
+        cand as (select v.* from (select 1 as g, * from valid) v join {midpoint_quantile_sql(floor, '(select 1 as g, v from valid)', 'g', 'v', 'low')} q using (g) where v > low),
+        t as (select *, (hxx + hyy + hzz) / 3 as m from cand),
+        p as (select *, sqrt((power(hxx - m, 2) + power(hyy - m, 2) + power(hzz - m, 2) + 2 * (hxy * hxy + hxz * hxz + hyz * hyz)) / 6) as p from t),
+        r as (select *, case when p > 0 then ((hxx - m) * ((hyy - m) * (hzz - m) - hyz * hyz) - hxy * (hxy * (hzz - m) - hyz * hxz) + hxz * (hxy * hyz - (hyy - m) * hxz)) / (2 * p * p * p) else 0 end as r from p),
+        l as (select *, m + 2 * p * cos(acos(least(greatest(r, -1), 1)) / 3 + 2 * pi() / 3) as lam from r),
+        c as (select *, {cross("a", "b")} as ab, {cross("a", "c")} as ac, {cross("b", "c")} as bc from l),
+        w as (select *, case when {norm("ab")} >= {norm("ac")} and {norm("ab")} >= {norm("bc")} then ab when {norm("ac")} >= {norm("bc")} then ac else bc end as w from c),
+        e as materialized (select 1 as g, i, j, k, v, lam, abs(gx * w[1] + gy * w[2] + gz * w[3]) / sqrt({norm("w")}) / (sqrt(gx * gx + gy * gy + gz * gz) + 2.220446049250313e-16) as align from w)
+        select i, j, k, v, lam, align from e join {midpoint_quantile_sql(concave, '(select g, -lam as d from e where lam < 0)', 'g', 'd', 'cut')} q using (g)
+        where lam < 0 and -lam > cut and align < {align}"""
+
+
+@query("e10_ridge_points", ints="i j k", reals="v lam align", digits=3, sql=_ridge_sql(0.5, 0.3, 0.7))
 def _(t):
     smooth = E.gaussian_smooth(filled(t), [], "v", SHAPE, 0.8)
     derivs = E.grid_gradient_hessian(smooth, [], "v", AXES)

@@ -270,7 +270,42 @@ def _(t):
     return W.decimated(t.signal, "n", 7)
 
 
-@query("w16_zero_phase_lowpass", texts="case_id", ints="n", reals="smooth")
+def _filtered_sql(source: str, name: str, sections) -> str:
+    """One pass of a cascade of second-order sections over (case_id, e, x), sample after sample.
+
+    Each section keeps two numbers and starts in the steady state of the first value.
+    """
+    states, moves, first = [], [], []
+    x, x0 = "p.x", "x"
+    for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+        y = f"({num(b0)} * {x} + r.s{k})"
+        states += [f"s{k}", f"z{k}"]
+        moves += [f"{num(b1)} * {x} - {num(a1)} * {y} + r.z{k} as s{k}", f"{num(b2)} * {x} - {num(a2)} * {y} as z{k}"]
+        y0 = f"({num((b0 + b1 + b2) / (1 + a1 + a2))} * {x0})"
+        steady = [f"{num(b1)} * {x0} - {num(a1)} * {y0} + {num(b2)} * {x0} - {num(a2)} * {y0}", f"{num(b2)} * {x0} - {num(a2)} * {y0}"]
+        first += [f"{steady[0]} as s{k}", f"{steady[1]} as z{k}"]
+        x, x0 = y, y0
+    return f"""{name}_p as materialized (select * from {source}),
+        {name} as (select case_id, cast(-1 as bigint) as e, cast(0 as double) as y, {", ".join(first)} from {name}_p where e = 0
+          union all select p.case_id, p.e, {x} as y, {", ".join(moves)} from {name} r join {name}_p p on p.case_id = r.case_id and p.e = r.e + 1)"""
+
+
+def _zero_phase_sql(order: int, fc: float, fs: float) -> str:
+    sections = [tuple(map(float, s)) for s in W.butterworth_sections(order, fc, fs)]
+    pad = 3 * order
+    return f"""with recursive s as materialized (select case_id, n, u, max(n) over (partition by case_id) + 1 as m,
+          first_value(u) over (partition by case_id order by n) as a, first_value(u) over (partition by case_id order by n desc) as b from {SIGNAL} s),
+        x as materialized (select case_id, n + {pad} as e, u as x from s where m > {pad}
+          union all select case_id, {pad} - n, 2 * a - u from s where m > {pad} and n between 1 and {pad}
+          union all select case_id, 2 * (m - 1) - n + {pad}, 2 * b - u from s where m > {pad} and n between m - 1 - {pad} and m - 2),
+        {_filtered_sql("x", "forth", sections)},
+        turned as materialized (select f.case_id, t.m + {2 * pad - 1} - f.e as e, f.y as x from forth f join (select distinct case_id, m from s) t using (case_id) where f.e >= 0),
+        {_filtered_sql("turned", "back", sections)},
+        done as (select f.case_id, t.m + {pad - 1} - f.e as n, f.y as smooth from back f join (select distinct case_id, m from s) t using (case_id) where f.e >= 0)
+        select s.case_id, s.n, coalesce(d.smooth, case when s.m <= {pad} then s.u end) as smooth from s left join done d on d.case_id = s.case_id and d.n = s.n"""
+
+
+@query("w16_zero_phase_lowpass", texts="case_id", ints="n", reals="smooth", sql=_zero_phase_sql(6, 2.0, 100.0))
 def _(t):
     return W.zero_phase_lowpass(t.signal, ["case_id"], "n", "u", "smooth", fc=2.0, fs=100.0, size=4096)
 

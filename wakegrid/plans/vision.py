@@ -288,6 +288,30 @@ def _(t):
     return C.position_sigma(errors, cams, ["frame", "idx"])
 
 
+def _sigma_sql() -> str:
+    """Position errors of pinhole cameras: the Jacobian of a pixel in closed form, and the inverse of the summed matrix by cofactors."""
+    axes = "xyz"
+    jac = {(p, a): f"f * (r{p}{a} - {q} * r2{a}) / d" for p, q in ((0, "a"), (1, "b")) for a in range(3)}
+    sums = ", ".join(f"sum(w * (({jac[0, i]}) * ({jac[0, j]}) + ({jac[1, i]}) * ({jac[1, j]}))) as m{i}{j}" for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)))
+    det = "(m00 * (m11 * m22 - m12 * m12) - m01 * (m01 * m22 - m12 * m02) + m02 * (m01 * m12 - m11 * m02))"
+    cofactors = ("m11 * m22 - m12 * m12", "m00 * m22 - m02 * m02", "m00 * m11 - m01 * m01")
+    return f"""with s as (select s.frame, s.idx, tx, ty, tz, c.*, 1 / power(greatest(sqrt(power({NOISE_X}, 2) + power({NOISE_Y}, 2)), 0.1e0), 2) as w
+          from {SEEN} s join (select camera as cam, * exclude (camera) from {cameras_sql()} k) c on s.camera = c.cam),
+        q as (select *, r20*tx + r21*ty + r22*tz + t2 as d, (r00*tx + r01*ty + r02*tz + t0) / (r20*tx + r21*ty + r22*tz + t2) as a,
+          (r10*tx + r11*ty + r12*tz + t1) / (r20*tx + r21*ty + r22*tz + t2) as b from s),
+        m as (select frame, idx, {sums} from q group by frame, idx)
+        select frame, idx, {", ".join(f"1000 * sqrt(({c}) / {det}) as s{a}_mm" for a, c in zip(axes, cofactors))} from m"""
+
+
+@query("c7b_position_sigma_pinhole", ints="frame idx", reals="sx_mm sy_mm sz_mm", sql=_sigma_sql())
+def _(t):
+    obs, cams = observed(t, noise=True, dist=(0.0,) * 5)
+    points = truth(t).withColumnsRenamed({"tx": "px", "ty": "py", "tz": "pz"})
+    errors = C.reprojection_errors(obs.drop("tx", "ty", "tz"), points, cams, BY)
+    sigma = C.position_sigma(errors, cams, ["frame", "idx"])
+    return sigma.select("frame", "idx", *[(1000.0 * F.col(f"s{a}")).alias(f"s{a}_mm") for a in "xyz"])
+
+
 def _skew(v):
     return np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
 
