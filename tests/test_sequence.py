@@ -160,6 +160,23 @@ def sequential(pdf, limit, gap=5):
     return out
 
 
+def test_jump_gate_takes_a_fixed_number_of_jobs(spark, monkeypatch):
+    """A state that rejects block after block, and ordinary walks: the same number of written tables, the sequential result."""
+    passes, cut = {}, Q.cut
+    stuck = walk(1, 400)
+    stuck.loc[stuck["frame"] > 30, ["x0", "y0", "x1", "y1"]] += 1e6  # the track never comes back
+    back = walk(2, 400)
+    back.loc[(back["frame"] > 30) & (back["frame"] < 330), ["x0", "x1"]] += 1e6
+    for name, pdf in {"calm": walk(0, 400), "stuck": stuck, "both": pd.concat([stuck, back, walk(3, 60)])}.items():
+        passes[name] = []
+        monkeypatch.setattr(Q, "cut", lambda df, held=passes[name]: held.append(1) or cut(df))
+        got = Q.jump_gate(spark.createDataFrame(pdf), ["camera"], 20.0, size=16).toPandas()
+        for camera, part in got.groupby("camera"):
+            assert part.set_index("frame")["accepted"].to_dict() == sequential(pdf[pdf["camera"] == camera], 20.0)
+    assert max(map(len, passes.values())) <= 1 + 4 * (1 + Q.ROUNDS)
+
+
+
 @pytest.mark.parametrize("size", [25, 65536])
 @pytest.mark.parametrize("limit", [8.0, 30.0])
 def test_jump_gate_equals_sequential_fold(spark, size, limit):

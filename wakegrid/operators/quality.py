@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,8 @@ def gate_report(gated: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 JUMP_STATE = ("frame", "x0", "y0", "x1", "y1")
+#: Times that blocks are folded again with the state their predecessor has got.
+ROUNDS = 2
 
 
 def within_jump(state: np.ndarray, rows: np.ndarray, max_jump: float, max_gap: int) -> np.ndarray:
@@ -101,9 +104,12 @@ def jump_gate(
     """Reject a frame if either point moved too far from the *last accepted* frame.
 
     Acceptance depends on everything before it, but folds started from different
-    states soon agree.  Blocks of frames are folded at the same time; a block is
-    folded again only while the state its predecessor ends with differs from the
-    one it started with.  The result equals one sequential pass.
+    states soon agree.  Blocks of frames are folded at the same time, and a block is
+    folded again when the state its predecessor ends with differs from the one it
+    started with.  After ``ROUNDS`` of that, groups that still differ somewhere (a
+    state that rejects block after block) are folded in order from there, streamed
+    through a task in Arrow batches.  The number of jobs doesn't depend on the data,
+    and the result equals one sequential pass.
     """
     by = list(by)
     keys = [*by, "_block"]
@@ -143,7 +149,7 @@ def jump_gate(
     ends = None
     started = None
     order = Window.partitionBy(*by).orderBy("_block")
-    while True:
+    for _ in range(1 + ROUNDS):
         fresh = cut(
             renewed(data.join(renewed(todo.select(*keys)), keys, "left_semi"))
             .groupBy(*keys)
@@ -158,14 +164,27 @@ def jump_gate(
         todo = cut(todo.select(*keys, F.col("_now").alias("_start")))
         if todo.isEmpty():
             break
-    decided = (
-        data.groupBy(*keys)
-        .cogroup(renewed(started).groupBy(*keys))
-        .applyInPandas(
-            verdict,
-            "".join(f"`{c}` {fields[c]}, " for c in by) + f"frame {fields['frame']}, accepted boolean",
-        )
-    )
+    result = "".join(f"`{c}` {fields[c]}, " for c in by) + f"frame {fields['frame']}, accepted boolean"
+    settled, late = started, None
+    if not todo.isEmpty():
+        first = todo.groupBy(*by).agg(F.min("_block").alias("_from"), F.min_by("_start", "_block").alias("_first"))
+        settled = attach(started, first, by, "left").where("_from is null or _block < _from").select(*keys, "_start")
+        rest = attach(data, renewed(first), by).where("_block >= _from").drop("_from", "_block")
+        rest = rest.repartition(*by) if by else rest.coalesce(1)
+
+        def in_order(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+            last, now = None, None
+            for pdf in batches:
+                for key, part in pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]:
+                    if last is None or key != last:
+                        start = part["_first"].iloc[0]
+                        last, now = key, None if start is None else np.asarray(start, float)
+                    ok, now = fold_jumps(part[list(JUMP_STATE)].to_numpy(float), now, max_jump, max_gap)
+                    yield part[[*by, "frame"]].assign(accepted=ok)
+
+        late = rest.sortWithinPartitions(*by, "frame").mapInPandas(in_order, result)
+    decided = data.join(renewed(settled.select(*keys)), keys, "left_semi").groupBy(*keys).cogroup(renewed(settled).groupBy(*keys)).applyInPandas(verdict, result)
+    decided = decided if late is None else decided.unionByName(late)
     # a pair without a position is rejected and moves no state
     judged = pairs.join(renewed(decided), [*by, "frame"], "left")
     return judged.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
