@@ -262,9 +262,9 @@ def send_presence(held_cost, held_known):
 
 
 def fit_weights(features: list[list[int]], label: np.ndarray, size: int, rounds: int = 300) -> tuple[float, np.ndarray]:
-    """Logistic regression over present features."""
+    """Logistic regression over present features; without labelled rows all texts score below one half."""
     if not len(label):
-        return 0.0, np.zeros(size)
+        return -1.0, np.zeros(size)
     row = np.repeat(np.arange(len(label)), [len(f) for f in features])
     column = np.array([x for f in features for x in f], np.int64)
     bias, weight = np.zeros(1), np.zeros(size)
