@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from data import documents, frame
 
 from wakegrid.llm import packing
@@ -190,6 +191,30 @@ def test_fingerprints(spark):
     assert version_fingerprints(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("cells, each", [((12, 64), 8), ((2, 3), 2)])
+def test_fingerprints_peel_and_retry(spark, monkeypatch, cells, each):
+    """Crowded tables: most have to be peeled; and tables so small that the larger and the exact way decide."""
+    from wakegrid.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "CELLS", cells)
+    monkeypatch.setattr(fingerprints, "EACH", each)
+    names = []
+    monkeypatch.setattr(fingerprints, "kept", lambda df, name, kept=fingerprints.kept: names.append(name) or kept(df, name))
+    rows = documents(3)
+    docs = sorted(((i, t or "") for i, t, *_ in rows if i is not None))
+    parts = lambda t: {m.rstrip(" ") for m in re.findall(r"(?:[^\s]+[^\S\n]*){1,16}", t, re.A)}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want: dict[int, set] = {}
+    for k, (i, t) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1]
+        q = len(t) // 4
+        want.setdefault(i, set()).add((round(like(parts(t), parts(t[: len(t) - q] + after[:q])), 9), round(like(parts(t), parts(after)), 9)))
+    got = version_fingerprints(frame(spark, rows)).collect()
+    assert len(got) == len(docs)
+    assert all((round(r["near_edited"], 9), round(r["near_next"], 9)) in want[r["doc_id"]] for r in got)
+    assert cells == (12, 64) or names == ["differences"] * 3
+
+
 def test_fingerprints_in_slots(spark, monkeypatch):
     from wakegrid.llm import fingerprints
 

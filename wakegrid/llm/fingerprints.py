@@ -5,10 +5,11 @@ sketch has three rows of cells; a key is added to one cell of each row, which
 holds the number of keys, their xor and the xor of their check values.  Sketches of
 two texts are subtracted cell by cell: equal paragraphs vanish, and peeling cells
 that hold one key recovers those that differ.  A table that can't be peeled is
-tried again with four times the cells.
+tried again with more cells.
 
-Keys are dealt to buckets of about ``EACH`` so that tables stay small and the work
-is linear in the text.  The published fingerprint is the smallest table over all
+Keys are dealt to buckets of about ``EACH`` a side so that tables stay small and the
+work is linear in the text.  Cells are sums and xors that Spark compiles; only tables
+that don't list their keys at once are peeled cell by cell.  The published fingerprint is the smallest table over all
 keys.  Likeness is shared paragraphs over all paragraphs, 1 for two empty texts.
 
 Null texts are empty.  Documents are ordered by doc_id, equal ids by a hash of the
@@ -21,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import id_and_text
+from .tables import id_and_text, kept
 
-WORDS, EACH = 16, 8
-#: Cells of a row, in the order in which they are tried.
-CELLS = (8, 32, 128)
+WORDS, EACH = 16, 2
+#: Cells of a row, in the order in which they are tried; only cells that hold something are stored.
+CELLS = (256, 4096)
 BASE_CELLS, ROUNDS, CHECK = 4, 10, 77
 PARAGRAPH = rf"(?:[^\s]++[^\S\n]*+){{1,{WORDS}}}"
 #: Rows of a slot, and slots at most; a slot is sorted in one task.
@@ -90,22 +91,6 @@ def peeled(table: Column, cells: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(table.alias("t"), F.lit(0).alias("n")), step)
 
 
-def differing(keys_and_sides: Column) -> Column:
-    """How many keys of one bucket differ: the smallest table that can be peeled tells; -1 if none can."""
-
-    def attempt(cells: int) -> Column:
-        items = F.transform(keys_and_sides, lambda e: item(e["k"], e["s"], check(e["k"]), cells))
-        left = once(items, lambda held: peeled(table_of(held, cells), cells))
-        return once(left, lambda p: F.when(F.exists(p["t"], lambda c: (c["c"] != 0) | (c["k"] != 0) | (c["x"] != 0)), F.lit(-1)).otherwise(p["n"]))
-
-    def tried(sizes: tuple[int, ...]) -> Column:
-        if not sizes:
-            return F.lit(-1)
-        return once(attempt(sizes[0]), lambda n: F.when(n >= 0, n).otherwise(tried(sizes[1:])))
-
-    return tried(CELLS)
-
-
 def fingerprint(key_array: Column) -> Column:
     """The smallest table over all keys as text: counts and xors of its cells."""
     items = F.transform(key_array, lambda k: item(k, F.lit(1), check(k), BASE_CELLS))
@@ -155,39 +140,86 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.char_length(text) - quarter), F.substring(following, F.lit(1), quarter))
 
 
-def sides(a: Column, b: Column) -> Column:
-    """Keys of two texts with their sides."""
-    return F.concat(F.transform(a, lambda k: F.struct(k.alias("k"), F.lit(1).alias("s"))), F.transform(b, lambda k: F.struct(k.alias("k"), F.lit(-1).alias("s"))))
+def table_cells(rows: DataFrame, pairs: dict[str, tuple[str, str]], cells: int) -> DataFrame:
+    """(slot, row, at, cell, c, k, x): the cells that are left when the tables of each pair's two sides are subtracted.
 
+    ``at`` is the pair and the bucket.  Keys are added to their cells by compiled sums,
+    so equal paragraphs vanish here, and cells that hold nothing take no place.  All
+    grouping is inside a slot, so nothing moves that stands there already.
+    """
+    held = []
+    for number, (a, b) in enumerate(pairs.values()):
+        buckets = F.greatest(F.lit(1), ((F.size(a) + F.size(b)) / (2 * EACH)).cast("int"))
+        held += [F.struct(F.lit(number).alias("pair"), F.lit(side).alias("s"), buckets.alias("buckets"), F.col(c).alias("keys")) for c, side in ((a, 1), (b, -1))]
+    flat = rows.select("slot", "row", F.explode(F.array(*held)).alias("d")).select("slot", "row", "d.pair", "d.s", "d.buckets", F.explode("d.keys").alias("k"))
+    at = F.pmod(F.xxhash64("k"), F.col("buckets")).cast("long") * len(pairs) + F.col("pair")
+    flat = flat.select("slot", "row", at.alias("at"), "s", "k", check(F.col("k")).alias("x"))
+    places = F.array(*[cell_of(F.col("k"), j, cells) + j * cells for j in range(3)])
+    added = flat.select("*", F.explode(places).alias("cell")).groupBy("slot", "row", "at", "cell")
+    return added.agg(F.sum("s").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("x").alias("x")).where("c <> 0 or k <> 0 or x <> 0")
 
-def compared(rows: DataFrame, pairs: dict[str, tuple[str, str]], carry: list[str]) -> DataFrame:
-    """``rows`` (slot, row, key arrays, carry) with the likeness of each named pair of key arrays.
 
-    All grouping is inside a slot, so nothing moves that stands there already.
-    """
+def listed(held: Column, cells: int) -> Column:
+    """Keys recovered by peeling the table with these cells; -1 if something is left."""
+    cell_at = lambda i: F.coalesce(F.get(F.filter(held, lambda h: h["cell"] == i), F.lit(0)).dropFields("cell"), empty_cell())
+    table = F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), cell_at)
+    left = once(table, lambda t: peeled(t, cells))
+    return once(left, lambda p: F.when(F.exists(p["t"], lambda c: (c["c"] != 0) | (c["k"] != 0) | (c["x"] != 0)), F.lit(-1)).otherwise(p["n"]))
 
-    def dealt(pair: int, a: str, b: str) -> Column:
-        buckets = F.greatest(F.lit(1), ((F.size(a) + F.size(b)) / (2 * EACH)).cast("int"))
-        return F.transform(sides(F.col(a), F.col(b)), lambda e: F.struct(F.lit(pair).alias("pair"), F.pmod(F.xxhash64(e["k"]), buckets).cast("int").alias("bucket"), e["k"].alias("k"), e["s"].alias("s"), F.lit(None).cast("int").alias("lead")))
-
-    entries = [dealt(k, a, b) for k, (a, b) in enumerate(pairs.values())]
-    lead = F.array(F.struct(F.lit(-1).alias("pair"), F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("s"), F.lit(1).alias("lead")))
-    sizes = [F.size(c).alias(f"n_{c}") for c in dict.fromkeys(x for pair in pairs.values() for x in pair)]
-    names = [f"n_{c}" for c in dict.fromkeys(x for pair in pairs.values() for x in pair)]
-    flat = rows.select("slot", "row", F.struct(*carry, *sizes).alias("carried"), F.explode(F.concat(lead, *entries)).alias("e"))
-    flat = flat.select("slot", "row", "e.pair", "e.bucket", F.when(F.col("e.lead") == 1, F.col("carried")).alias("carried"), F.struct("e.k", "e.s").alias("it"))
-    tables = flat.groupBy("slot", "row", "pair", "bucket").agg(F.first("carried", ignorenulls=True).alias("carried"), F.collect_list("it").alias("items"))
-    exact = F.size(F.array_except(F.filter("items", lambda e: e["s"] == 1)["k"], F.filter("items", lambda e: e["s"] == -1)["k"])) + F.size(F.array_except(F.filter("items", lambda e: e["s"] == -1)["k"], F.filter("items", lambda e: e["s"] == 1)["k"]))
-    found = tables.withColumn("n", F.when(F.col("pair") < 0, F.lit(0)).otherwise(differing(F.col("items"))))
-    # a bucket that the largest table can't hold is compared key by key
-    found = found.select("slot", "row", "pair", "carried", F.when(F.col("n") < 0, exact).otherwise(F.col("n")).alias("n"))
+
+def differing(rows: DataFrame, pairs: dict[str, tuple[str, str]], cells: int) -> DataFrame:
+    """(slot, row, failed, d_<pair>): how many keys differ in each pair, by listing and peeling tables of ``cells`` a row.
+
+    A row of cells that all hold one key lists the difference as it stands; a table
+    without such a row is peeled.  ``failed`` says that one could not be peeled.
+    """
+    left = table_cells(rows, pairs, cells).withColumn("cell_row", F.floor(F.col("cell") / cells))
+    mixed = ~((F.abs("c") == 1) & (F.col("x") == check(F.col("k"))))
+    counts = [F.count(F.when(F.col("cell_row") == j, 1)).alias(f"n{j}") for j in range(3)]
+    counts += [F.count(F.when((F.col("cell_row") == j) & mixed, 1)).alias(f"m{j}") for j in range(3)]
+    cell = F.struct("cell", F.col("c").cast("int").alias("c"), "k", "x")
+    tables = left.groupBy("slot", "row", "at").agg(*counts, F.collect_list(cell).alias("held"))
+    n = listed(F.col("held"), cells)
+    for j in reversed(range(3)):
+        n = F.when(F.col(f"m{j}") == 0, F.col(f"n{j}").cast("int")).otherwise(n)
+    found = tables.select("slot", "row", (F.col("at") % len(pairs)).alias("pair"), n.alias("n"))
     sums = [F.sum(F.when(F.col("pair") == k, F.col("n"))).alias(f"d_{name}") for k, name in enumerate(pairs)]
-    whole = found.groupBy("slot", "row").agg(F.first("carried", ignorenulls=True).alias("carried"), *sums).select("carried.*", *[f"d_{name}" for name in pairs])
+    return found.groupBy("slot", "row").agg(F.max(F.col("n") < 0).alias("failed"), *sums)
+
+
+def exact_differing(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """``differing`` without tables, for what the largest can't hold (keys that agree in all their cells)."""
+    apart = lambda a, b: F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    return rows.select("slot", "row", F.lit(False).alias("failed"), *[apart(a, b).cast("long").alias(f"d_{name}") for name, (a, b) in pairs.items()])
+
+
+def differences(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Written table (slot, row, d_<pair>): each size of table is tried on the rows that the one before failed for."""
+    names = [f"d_{name}" for name in pairs]
+    whole = None
+    for cells in (*CELLS, None):
+        found = exact_differing(rows, pairs) if cells is None else differing(rows, pairs, cells)
+        found = kept(found, "differences")
+        done = found.where("not failed").select("slot", "row", *names)
+        whole = done if whole is None else whole.unionByName(done)
+        open_ = found.where("failed").select("slot", "row")
+        if cells is None or not open_.head(1):
+            return whole
+        # few rows: their slots come first, so that only those slots' texts are read again
+        rows = rows.join(open_.select("slot").distinct(), "slot", "left_semi").join(open_, ["slot", "row"], "left_semi")
+
+
+def compared(rows: DataFrame, pairs: dict[str, tuple[str, str]], carry: list[str]) -> DataFrame:
+    """``rows`` (slot, row, key arrays, carry) with the likeness of each named pair of key arrays."""
+    columns = list(dict.fromkeys(x for pair in pairs.values() for x in pair))
+    found = differences(rows.select("slot", "row", *columns), pairs)
+    heads = rows.select("slot", "row", *carry, *[F.size(c).alias(f"n_{c}") for c in columns])
+    whole = heads.join(found, ["slot", "row"], "left")
     likeness = []
     for name, (a, b) in pairs.items():
         both, apart = F.col(f"n_{a}") + F.col(f"n_{b}"), F.coalesce(f"d_{name}", F.lit(0))
         likeness.append(F.when(both == 0, F.lit(1.0)).otherwise((both - apart) / (both + apart)).alias(name))
-    return whole.select(*[c for c in whole.columns if c not in names and not c.startswith("d_")], *likeness)
+    return whole.select(*carry, *likeness)
 
 
 def version_fingerprints(docs: DataFrame) -> DataFrame:
@@ -198,5 +230,3 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.select("slot", "row", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), keys(F.col("text")).alias("a"), keys(F.col("edited")).alias("e"), keys(F.col("next")).alias("b"))
     rows = rows.select("*", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"))
     return compared(rows, {"near_edited": ("a", "e"), "near_next": ("a", "b")}, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"])
-
-
