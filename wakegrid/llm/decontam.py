@@ -147,7 +147,8 @@ def search(held, width: int, percent: int):
                     m = max(size - width + 1, 1)
                     # windows that hold one of the item's shingles
                     hit = np.flatnonzero(np.isin(own, items.shingles[item]))
-                    starts = np.unique(np.clip((hit[:, None] - np.arange(m)).ravel(), 0, len(own) - m))
+                    change = np.bincount(np.maximum(hit - m + 1, 0), minlength=len(own) + 2) - np.bincount(np.minimum(hit, len(own) - m) + 1, minlength=len(own) + 2)
+                    starts = np.flatnonzero(np.cumsum(change)[: len(own) - m + 1] > 0)
                     best = best_window(items, item, own, starts, m, percent)
                     if best:
                         out.append((ids[at + i], items.ids[item], best[0], size, best[1], best[2]))
