@@ -22,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import id_and_text, kept
+from .tables import id_and_text, kept, kept_by
 
 WORDS, EACH = 16, 2
 #: Cells of a row, in the order in which they are tried; only cells that hold something are stored.
-CELLS = (256, 4096)
+CELLS = (1024, 1 << 16)
 BASE_CELLS, ROUNDS, CHECK = 4, 10, 77
 PARAGRAPH = rf"(?:[^\s]++[^\S\n]*+){{1,{WORDS}}}"
 #: Rows of a slot, and slots at most; a slot is sorted in one task.
@@ -205,12 +205,16 @@ def differences(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame
         open_ = found.where("failed").select("slot", "row")
         if cells is None or not open_.head(1):
             return whole
-        # few rows: their slots come first, so that only those slots' texts are read again
-        rows = rows.join(open_.select("slot").distinct(), "slot", "left_semi").join(open_, ["slot", "row"], "left_semi")
+        rows = rows.join(open_, ["slot", "row"], "left_semi")
 
 
 def compared(rows: DataFrame, pairs: dict[str, tuple[str, str]], carry: list[str]) -> DataFrame:
-    """``rows`` (slot, row, key arrays, carry) with the likeness of each named pair of key arrays."""
+    """``rows`` (slot, row, key arrays, carry) with the likeness of each named pair of key arrays.
+
+    The rows are written by slot, so that the tables are made where their keys lie and
+    a larger table that is tried for a few rows reads their keys and no text.
+    """
+    rows = kept_by(rows, "slot", "paragraph-keys")
     columns = list(dict.fromkeys(x for pair in pairs.values() for x in pair))
     found = differences(rows.select("slot", "row", *columns), pairs)
     heads = rows.select("slot", "row", *carry, *[F.size(c).alias(f"n_{c}") for c in columns])

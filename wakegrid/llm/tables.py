@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_by(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``kept`` with the rows in buckets of ``column``, as many as shuffle partitions: grouping by it, with others, moves nothing."""
+    spark, made = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column)
+    writer.option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(made, format="parquet")
+    return spark.table(made)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table that this package wrote to the shared folder and no longer reads."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
