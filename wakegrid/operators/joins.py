@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..core import attach, range_slots
 from ..functions.scalars import angle_diff, stderr
+from ..session import cut
 from .binning import Axis, bin_means, with_bins
 
 
@@ -335,6 +336,8 @@ def align_repeats(
 
     The grid has as many points as the first repeat has samples: (by, repeat, i, t, values).
     """
+    # read for the grid, the repeats and the nodes
+    df = cut(df.select(*by, repeat, t, *values))
     base = df.filter(F.col(repeat) == first).groupBy(*by).agg(
         F.min(t).alias("_a"), F.max(t).alias("_b"), F.count(F.lit(1)).alias("_n")
     )
@@ -384,13 +387,16 @@ def interp_long(
     )
     both = range_slots(nodes.unionByName(queries), [*by, "_x", "_kind", "_tie"], slots)
     nodes = both.filter(F.col("_kind") == 0)
-    w = Window.partitionBy(*by, "_slot").orderBy("_x", "_kind")
-    back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    w = Window.partitionBy(*by, "_slot")
+    order = [F.col(c) for c in ("_x", "_kind", "_node")]
+    # Both windows run from their first row on: one that looks ahead to the last row
+    # would go over the rest of the slot again for every row.
+    back = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = w.orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = both.withColumns(
         {
             "_p": F.last("_node", ignorenulls=True).over(back),
-            "_n": F.first("_node", ignorenulls=True).over(ahead),
+            "_n": F.last("_node", ignorenulls=True).over(ahead),
         }
     )
     # Border nodes per slot: the two outermost ones, enough for end extrapolation too.
@@ -400,20 +406,19 @@ def interp_long(
     all_slots = near.filter(F.col("_kind") == 1).select(*by, "_slot").distinct().join(
         edges, [*by, "_slot"], "full"
     )
-    s = Window.partitionBy(*by).orderBy("_slot")
-    prior = s.rowsBetween(Window.unboundedPreceding, -1)
-    later = s.rowsBetween(1, Window.unboundedFollowing)
+    s = Window.partitionBy(*by)
+    prior = s.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    later = s.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
     reach = all_slots.select(
         *by,
         "_slot",
         F.last("_l0", ignorenulls=True).over(prior).alias("_before"),
-        F.first("_f0", ignorenulls=True).over(later).alias("_after"),
+        F.last("_f0", ignorenulls=True).over(later).alias("_after"),
     )
     head = _two_extreme(nodes, by, True)
     tail = _two_extreme(nodes, by, False)
     rows = near.filter(F.col("_kind") == 1).join(reach, [*by, "_slot"], "left")
-    for stats in (ranges, head, tail):
-        rows = attach(rows, stats, by, "left")
+    rows = attach(rows, attach(attach(ranges, head, by, "left"), tail, by, "left"), by, "left")
     p = F.coalesce("_p", "_before")
     n = F.coalesce("_n", "_after")
     a = F.when(F.col("_x") < F.col("_lo"), F.col("_h0")).when(F.col("_x") >= F.col("_hi"), F.col("_t1")).otherwise(p)
