@@ -23,3 +23,15 @@ def test_no_window_of_a_long_curve_looks_ahead_to_its_last_row(spark):
     inner = got[(got["at"] > 0) & (got["at"] < 2998)]
     table = curve(3000)
     assert np.allclose(inner["y"], np.interp(inner["at"], table["x"], table["y"]))
+
+
+def test_repeat_average_of_a_long_record(spark):
+    """Every grid point has all repeats, and the plan has no window that looks ahead to the last row."""
+    k = np.arange(2000)
+    rows = pd.concat([pd.DataFrame({"g": 1, "rep": r, "t": k + 0.1 * (r - 1), "v": k * 0.5 + r}) for r in (1, 2, 3)])
+    aligned = J.align_repeats(spark.createDataFrame(rows), ["g"], "rep", "t", ["v"])
+    mean = J.repeat_average(aligned, ["g"], "v")
+    assert "unboundedfollowing" not in mean._jdf.queryExecution().toString().lower()
+    got = mean.toPandas().sort_values("i")
+    want = np.mean([k * 0.5 + r - 0.05 * (r - 1) for r in (1, 2, 3)], axis=0)
+    assert (got["n"] == 3).all() and np.allclose(got["mean"], want)
