@@ -40,15 +40,20 @@ def bin_moments_to_stats(moments: DataFrame, values: Sequence[str]) -> DataFrame
 
 #: Frames of a camera that wait under one key of its state.
 WAIT_BLOCK = 4096
+#: Rows of a camera that are put in order together; more of them in one micro-batch go to its state first.
+TOGETHER = 1 << 21
+#: Rows that are handed on together, at least.
+GIVEN = 1 << 16
 POSITIONS = JUMP_STATE[1:]
 
 
 class JumpGate(StatefulProcessor):
     """State of one camera: its last accepted row, its clock, and rows that wait for their turn.
 
-    Rows wait in blocks of ``WAIT_BLOCK`` frames, so whatever the order in which they
-    arrive, one block at a time is sorted and folded, and a batch is never put
-    together.  The clock is the largest frame seen less ``slack``.
+    Rows wait in blocks of ``WAIT_BLOCK`` frames.  Those of a micro-batch are gathered up
+    to a bound, put in order once and folded block by block with what waited; a block of
+    the state is read and written once for each such gathering, not for each Arrow batch.
+    The clock is the largest frame seen less ``slack``.
     """
 
     def __init__(self, by: Sequence[str], max_jump: float, max_gap: int, slack: int, patience_ms: int | None):
@@ -58,18 +63,23 @@ class JumpGate(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", ", ".join(f"{c} double" for c in JUMP_STATE))
         self.clock = handle.getValueState("clock", "seen double, folded double")
-        self.waiting = handle.getMapState("waiting", "block long", ", ".join(f"{c} array<double>" for c in JUMP_STATE))
+        self.waiting = handle.getMapState("waiting", "block long", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen, folded = self.clock.get() if self.clock.exists() else (-np.inf, -np.inf)
+        fresh, many = [], 0
         for chunk in rows:
             seen = max(seen, float(chunk["frame"].max()))
             chunk = chunk.dropna(subset=list(POSITIONS))  # a row without a position only moves the clock
             values = chunk[list(JUMP_STATE)].to_numpy(float)
             if len(values) and values[:, 0].min() <= folded:
                 raise ValueError("frames come late or twice; allow more slack")
-            self.wait(values)
-        yield from self.release(key, seen - self.slack, seen, folded)
+            fresh.append(values)
+            many += len(values)
+            if many > TOGETHER:
+                self.wait(in_blocks(fresh))
+                fresh, many = [], 0
+        yield from self.release(key, seen - self.slack, seen, folded, in_blocks(fresh))
         if self.patience_ms is not None:
             for old in self.handle.listTimers():
                 self.handle.deleteTimer(old)
@@ -78,45 +88,71 @@ class JumpGate(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """A camera that has been silent for long: nothing is waited for any more."""
         seen, folded = self.clock.get()
-        yield from self.release(key, seen, seen, folded)
+        yield from self.release(key, seen, seen, folded, {})
 
-    def wait(self, values: np.ndarray) -> None:
-        blocks = np.floor_divide(values[:, 0], WAIT_BLOCK).astype(np.int64)
-        for block in np.unique(blocks):
-            self.put(int(block), values[blocks == block], self.held(int(block)))
+    def wait(self, blocks: dict[int, np.ndarray]) -> None:
+        for block, values in blocks.items():
+            self.put(block, np.concatenate([self.held(block), values]))
 
     def held(self, block: int) -> np.ndarray:
         if not self.waiting.containsKey((block,)):
             return np.zeros((0, len(JUMP_STATE)))
-        return np.array([list(c) for c in self.waiting.getValue((block,))], float).T
+        return np.frombuffer(bytes(self.waiting.getValue((block,))[0])).reshape(-1, len(JUMP_STATE))
 
-    def put(self, block: int, values: np.ndarray, before: np.ndarray) -> None:
-        self.waiting.updateValue((block,), tuple(c.tolist() for c in np.concatenate([before, values]).T))
+    def put(self, block: int, values: np.ndarray) -> None:
+        self.waiting.updateValue((block,), (values.tobytes(),))
 
-    def release(self, key, upto: float, seen: float, folded: float) -> Iterator[pd.DataFrame]:
-        """Fold the waiting rows with frames up to ``upto``, block by block."""
+    def release(self, key, upto: float, seen: float, folded: float, fresh: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+        """Fold the waiting and the fresh rows with frames up to ``upto``, block by block; the others wait."""
         state = np.array(self.last.get(), float) if self.last.exists() else None
-        for block in sorted(int(k[0]) for k in self.waiting.keys()):
+        known = {int(k[0]) for k in self.waiting.keys()}
+        frames, verdicts = [], []
+        for block in sorted(known | fresh.keys()):
+            values = fresh.get(block)
             if block * WAIT_BLOCK > upto:
-                break
-            values = self.held(block)
-            values = values[np.argsort(values[:, 0], kind="stable")]
+                if values is not None:
+                    self.wait({block: values})
+                continue
+            if block in known:
+                values = self.held(block) if values is None else np.concatenate([self.held(block), values])
+                values = values[np.argsort(values[:, 0], kind="stable")]
+                self.waiting.removeKey((block,))
             ready = values[:, 0] <= upto
-            self.waiting.removeKey((block,))
             if not ready.all():
-                self.put(block, values[~ready], values[:0])
+                self.put(block, values[~ready])
             values = values[ready]
             accepted, state = fold_jumps(values, state, self.max_jump, self.max_gap)
-            out = {c: [v] * len(values) for c, v in zip(self.by, key)}
-            yield pd.DataFrame({**out, "frame": values[:, 0], "accepted": accepted})
+            frames.append(values[:, 0])
+            verdicts.append(accepted)
+            if sum(map(len, frames)) >= GIVEN:
+                yield self.rated(key, frames, verdicts)
+                frames, verdicts = [], []
+        if frames:
+            yield self.rated(key, frames, verdicts)
         if state is not None:
             self.last.update(tuple(float(v) for v in state))
         self.clock.update((seen, max(folded, upto)))
 
+    def rated(self, key, frames: list[np.ndarray], verdicts: list[np.ndarray]) -> pd.DataFrame:
+        frame = np.concatenate(frames)
+        out = {c: [v] * len(frame) for c, v in zip(self.by, key)}
+        return pd.DataFrame({**out, "frame": frame, "accepted": np.concatenate(verdicts)})
+
     def close(self) -> None:
         pass
 
 
+def in_blocks(chunks: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """Rows by block of ``WAIT_BLOCK`` frames, in order."""
+    values = np.concatenate(chunks) if chunks else np.zeros((0, len(JUMP_STATE)))
+    if not len(values):
+        return {}
+    values = values[np.argsort(values[:, 0], kind="stable")]
+    blocks = np.floor_divide(values[:, 0], WAIT_BLOCK).astype(np.int64)
+    at = np.flatnonzero(np.diff(blocks)) + 1
+    return {int(blocks[a]): values[a:b] for a, b in zip([0, *at.tolist()], [*at.tolist(), len(values)], strict=True)}
+
+
 def stream_jump_gate(
     pairs: DataFrame, by: Sequence[str], max_jump: float, max_gap: int = 5, slack: int = 0, patience_ms: int | None = None
 ) -> DataFrame:
