@@ -80,3 +80,32 @@ def test_rows_beyond_the_bound_wait_in_the_state(monkeypatch):
     chunks = [pd.DataFrame(p, columns=list(Q.JUMP_STATE)) for p in np.array_split(np.random.default_rng(0).permutation(rows), 30)]
     got = pd.concat(list(gate.handleInputRows((1,), iter(chunks), None)))
     assert got["accepted"].tolist() == Q.fold_jumps(rows, None, 3.0, 5)[0].tolist() and len(got) == len(rows)
+
+
+def test_many_violations_take_no_comparison_of_stretches_each(monkeypatch):
+    calls, plain = [], Q.within_jump
+    monkeypatch.setattr(Q, "within_jump", lambda *a: calls.append(1) or plain(*a))
+    n = 5000
+    rows = np.column_stack([np.arange(n), *[np.where(np.arange(n) % 2, 90.0, 0.0)] * 4]).astype(float)
+    ok, _ = Q.fold_jumps(rows, None, 3.0, 5)
+    assert ok.tolist() == (np.arange(n) % 2 == 0).tolist() and len(calls) < 10
+
+
+def test_a_state_that_rejects_range_after_range(spark):
+    """The fold of a range depends on one far earlier, in two cameras and in none."""
+    n = 400
+    frames = np.arange(n) * 2
+    jump = np.where(np.arange(n) > 30, 500.0 + np.arange(n) * 0.1, 0.0)
+    one = pd.DataFrame({"camera": 1, "frame": frames, "x0": jump, "y0": 0.0, "x1": jump, "y1": 0.0, "note": "a"})
+    two = pd.DataFrame({"camera": 2, "frame": frames, **dict(zip(("x0", "y0", "x1", "y1"), drift(n)[:, 1:].T)), "note": "b"})
+    two.loc[5, "x0"] = None
+    both = pd.concat([one, two])
+    for by in (["camera"], []):
+        table = both if by else one
+        got = Q.jump_gate(spark.createDataFrame(table), by, 3.0, size=16).toPandas()
+        assert len(got) == len(table) and set(got.columns) == {*table.columns, "accepted"}
+        for _, part in table.groupby("camera"):
+            kept = part.dropna()
+            want = dict(zip(kept["frame"], Q.fold_jumps(kept[list(Q.JUMP_STATE)].to_numpy(float), None, 3.0, 5)[0]))
+            mine = got[got["camera"] == part["camera"].iloc[0]]
+            assert {f: a for f, a in zip(mine["frame"], mine["accepted"])} == {f: bool(want.get(f, False)) for f in part["frame"]}
