@@ -36,3 +36,64 @@ def test_point_between_two_rays_solves_the_least_squares_equations():
     want = np.linalg.solve(m1 + m2, np.einsum("nij,nj->ni", m1, o1)[:, :, None] + np.einsum("nij,nj->ni", m2, o2)[:, :, None])[:, :, 0]
     assert np.allclose(optics.between(o1, d1, o2, d2), want)
     assert np.isnan(optics.between(o1, d1, o2, d1)).all()
+
+
+BY = ["run", "frame"]
+
+
+def odd_pixels(spark):
+    """Noisy pixels of twelve points with repeats, gaps, an unknown camera, missing keys and values that aren't numbers."""
+    cams = camera_table(spark)
+    points = spark.createDataFrame([(f % 2, f, 0.005 * f, 0.02 - 0.003 * f, -0.05) for f in range(12)], "run long, frame long, px double, py double, pz double")
+    rows = points.withColumn("camera", F.explode(F.array(*[F.lit(c) for c in range(4)]))).where("frame <> 5 or camera = 1")
+    noise = F.expr("(frame * 7 + camera * 5) % 11 - 5") * 0.1
+    seen = C.project(rows, cams).select(*BY, "camera", (F.col("u") + noise).alias("x"), (F.col("v") - noise).alias("y"))
+    moved = seen.where("frame = 4").withColumn("y", F.col("y") + 40)
+    odd = "1L, 7L, 9, 10D, 10D", "1L, 7L, int(null), 10D, 10D", "0L, 8L, 0, double(null), 10D", "1L, 9L, 2, double('NaN'), 10D", "1L, null, 1, 10D, 10D", "1L, null, 2, 10D, 10D", "0L, 50L, 9, 10D, 10D"
+    more = spark.sql(f"select * from values {', '.join(f'({o})' for o in odd)} as t(run, frame, camera, x, y)")
+    return seen.unionByName(seen.where("frame = 2")).unionByName(moved).unionByName(more), cams
+
+
+def step_by_step(obs, cams, cameras):
+    points = C.triangulate(C.lines_of_sight(obs, cams), BY, cameras)
+    return points, C.reprojection_errors(obs, points, cams, BY)
+
+
+def same_rows(got, want, keys):
+    got, want = (d.toPandas().sort_values(keys, na_position="last").reset_index(drop=True) for d in (got, want))
+    assert len(got) == len(want) and len(got)
+    for c in want:
+        if want[c].dtype == object:
+            assert got[c].tolist() == want[c].tolist()
+        else:
+            assert np.allclose(got[c].astype(float), want[c].astype(float), rtol=1e-6, atol=1e-9, equal_nan=True), c
+
+
+def test_reconstruct_shuffles_the_pixels_once(spark):
+    obs, cams = odd_pixels(spark)
+    for cameras in ([0, 1, 2, 3], [0, 2, 3], None):
+        got = C.reconstruct(obs, cams, BY, 2, 2.0, cameras)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, plan
+        points, errors = step_by_step(obs, cams, cameras)
+        worst = errors.groupBy(*BY).agg(F.max("err").alias("max_err"), F.avg("err").alias("mean_err"))
+        want = obs.groupBy(*BY).agg(F.countDistinct("camera").alias("cameras")).join(points, BY, "left").join(worst, BY, "left")
+        want = want.withColumn("status", F.expr(
+            "case when cameras < 2 then 'FEW_CAMERAS' when px is null or max_err is null then 'NO_POINT' when max_err > 2 then 'HIGH_ERROR' else 'OK' end"
+        ))
+        assert got.columns == want.columns
+        same_rows(got, want, BY)
+        assert {r["status"] for r in got.collect()} == {"OK", "HIGH_ERROR", "FEW_CAMERAS", "NO_POINT"}
+
+
+def test_located_errors_are_those_of_the_single_steps(spark):
+    obs, cams = odd_pixels(spark)
+    for cameras in ([0, 1, 2, 3], None):
+        got = C.located_errors(obs, cams, BY, cameras)
+        plan = C.position_sigma(got, cams, ["frame"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan, plan
+        _, errors = step_by_step(obs, cams, cameras)
+        names = [*BY, "camera", "x", "y", "px", "py", "pz", "u", "v", "err"]
+        assert got.columns == names
+        same_rows(got, errors.select(*names).where("err is not null"), [*BY, "camera", "x", "y"])
+        same_rows(C.position_sigma(got, cams, ["frame"]), C.position_sigma(errors, cams, ["frame"]), ["frame"])
