@@ -153,6 +153,36 @@ def test_program_saves_sequences():
     assert plain == 30_000 and many <= 28_340 and 0.95 * 28_333 < bound <= 28_334
 
 
+def placed_by(made: list) -> dict[int, int]:
+    placed: dict[int, int] = {}
+    for filling, many in made:
+        assert sum(n * a for n, a in filling.items()) <= 4096
+        for n, a in filling.items():
+            placed[n] = placed.get(n, 0) + a * many
+    return placed
+
+
+def test_program_ends_by_its_tolerance():
+    """Hundreds of lengths that go two and three to a sequence: best-fit stays 1 % above the bound, the program does not."""
+    histogram = {n: 200 + 1000 - abs(n - 1500) for n in range(1000, 2001, 2)}
+    lengths = np.array(sorted(histogram))
+    _, bound = packing.configurations(lengths, np.array([histogram[n] for n in lengths]), 4096, 0.002)
+    made = plan(histogram, 4096)
+    many, plain = (sum(m for _, m in p) for p in (made, best_fit(histogram, 4096)))
+    assert bound <= many <= 1.0021 * bound and many < 0.99 * plain
+    assert placed_by(made) == histogram
+
+
+def test_plan_meets_the_volume():
+    """Thousands of lengths: no sequence more than the places that the pieces take."""
+    drawn = np.random.default_rng(4).lognormal(6.5, 0.8, 200_000).astype(int)
+    drawn = drawn[(drawn > 0) & (drawn < 4000)]
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(drawn, return_counts=True), strict=True)}
+    made = plan(histogram, 4096)
+    assert sum(m for _, m in made) == -(-int(drawn.sum()) // 4096) < sum(m for _, m in best_fit(histogram, 4096))
+    assert placed_by(made) == histogram
+
+
 def test_plan_places_all():
     r = random.Random(3)
     for _ in range(20):

@@ -6,10 +6,12 @@ each length there are, so the driver sees a histogram of at most ``size`` number
 however many documents there are:
 
 * the configuration program (least number of sequences, one variable per way of
-  filling a sequence) is solved by multiplicative weights; a knapsack dynamic
-  program over the sequence's places finds the filling that the weights ask for;
+  filling a sequence) is solved by column generation; a knapsack dynamic program
+  over the sequence's places finds the fillings that the prices ask for, and the
+  prices bound the number of sequences from below;
 * fillings are rounded down to whole sequences, and the rest is filled best-fit
-  decreasing, still by length and count;
+  decreasing, still by length and count; best-fit alone and the fullest choice for
+  the longest piece are other plans, and rounds go on until one is near the bound;
 * pieces of a length are numbered in parallel and take the places of that length.
 
 Null texts count as empty; an empty text is the end id alone.  Rows that repeat a
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -248,8 +250,8 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1) -> Dat
     return id_and_text(docs).mapInArrow(cut_pieces(path, size, end_id), PIECES)
 
 
-def knapsack(lengths: np.ndarray, worth: np.ndarray, size: int) -> np.ndarray:
-    """How often each length stands in the filling of greatest worth."""
+def priced(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each number of places the greatest worth of a filling, and the length to take there (-1: leave one empty)."""
     best, take = np.zeros(size + 1), np.full(size + 1, -1)
     if int((size // lengths).sum()) < size:
         # length after length: stretches of one length's width depend on the stretch before
@@ -270,93 +272,299 @@ def knapsack(lengths: np.ndarray, worth: np.ndarray, size: int) -> np.ndarray:
                 k = int(found.argmax())
                 if found[k] > best[c]:
                     best[c], take[c] = found[k], k
-    filling, c = np.zeros(len(lengths), np.int64), size
+    return best, take
+
+
+def traced(lengths: list[int], take: list[int], c: int) -> dict[int, int]:
+    """The filling that a table of ``priced`` gives for ``c`` places: which lengths, and how often."""
+    filling: dict[int, int] = {}
     while c > 0:
-        if take[c] < 0:
+        k = take[c]
+        if k < 0:
             c -= 1
         else:
-            filling[take[c]] += 1
-            c -= lengths[take[c]]
+            filling[k] = filling.get(k, 0) + 1
+            c -= lengths[k]
     return filling
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, size: int, tolerance: float, work: int) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """Fillings and how many sequences of each, and a lower bound on the number of sequences.
+def knapsack(lengths: np.ndarray, worth: np.ndarray, size: int) -> np.ndarray:
+    """How often each length stands in the filling of greatest worth."""
+    filling = np.zeros(len(lengths), np.int64)
+    for k, a in traced(lengths.tolist(), priced(lengths, worth, size)[1].tolist(), size).items():
+        filling[k] = a
+    return filling
 
-    Multiplicative weights on the covering program: a length's weight falls with the
-    share of its pieces that has been placed, so the next filling, the best knapsack
-    under the weights, holds what lags behind.  Mean weights over the worth of their
-    best filling are a dual solution, which bounds the program from below.  Rounds end
-    when the cover is within ``tolerance`` of the bound, or when the knapsacks have
-    taken ``work`` steps.
-    """
-    if not len(lengths):
-        return [], 0.0
-    demand = counts.astype(float)
-    covered = np.zeros(len(lengths))
-    bound, spent = float((lengths * demand).sum()) / size, 0.0
-    rate = 2 * np.log(len(lengths) + 1) / tolerance**0.5
-    found: dict[bytes, list] = {}
-    steps = min(size, int((size // lengths).sum()))
-    meant, upto = np.zeros(len(lengths)), 32
-    for k in range(1, max(96, work // steps) + 1):
-        weight = np.exp(-rate * (covered - covered.min())) / demand
-        filling = knapsack(lengths, weight / weight.max(), size)
-        held = filling > 0
-        step = float((demand[held] / filling[held]).min()) / rate
-        covered += step * filling / demand
-        spent += step
-        found.setdefault(filling.tobytes(), [filling, 0.0])[1] += step
-        meant += weight / (demand * weight).sum()
-        if k == upto:  # the mean of the weights since the last time settles where single ones swing
-            bound = max(bound, float((demand * meant).sum()) / float((knapsack(lengths, meant / meant.max(), size) * meant).sum()))
-            meant, upto = np.zeros(len(lengths)), 2 * upto
-            least = float(covered.min())
-            if least > 0 and spent / least <= (1 + tolerance) * bound:
-                break
-    # scaled so that every length is covered, or, if some lag far behind, by what it takes to place the others
-    scale = max(float(covered.min()), spent / (2 * bound + 1))
-    return [(f, x / scale) for f, x in found.values()], bound
 
+def dealt(lengths: np.ndarray, counts: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of lengths that begin at these places: the longest length of each, and its pieces."""
+    return lengths[np.append(begin[1:], len(lengths)) - 1], np.add.reduceat(counts.astype(float), begin)
 
-def rounded(solution: list[tuple[np.ndarray, float]], lengths: np.ndarray, counts: np.ndarray, size: int, fullest: float) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
-    """Whole sequences of the program's fillings that are at least ``fullest`` full, and the pieces that remain."""
-    made = []
-    for filling, times in sorted(solution, key=lambda x: -int((x[0] * lengths).sum())):
-        held = filling > 0
-        whole = int(min(np.floor(times), (counts[held] // filling[held]).min(initial=1 << 62)))
-        if whole > 0 and int((filling * lengths).sum()) >= fullest * size:
-            counts = counts - whole * filling
-            made.append(({int(n): int(a) for n, a in zip(lengths[held], filling[held], strict=True)}, whole))
-    return made, counts
 
+class Program:
+    """The covering program by column generation: the simplex method over fillings.
+
+    A knapsack under the present prices gives the best filling with each length.
+    Beside fillings there is, for each length, the exchange that puts a piece into
+    a place of the next longer one; it keeps prices rising with length, without
+    which thousands of lengths take very many rounds.
+    """
 
-def plan(histogram: dict[int, int], size: int, tolerance: float = 0.01, work: int = 100_000) -> list[tuple[dict[int, int], int]]:
+    def __init__(self, lengths: np.ndarray, demand: np.ndarray, size: int):
+        self.size = size
+        self.basis: list[dict[int, int]] = [{k: size // n} for k, n in enumerate(lengths.tolist())]
+        self.cost = np.ones(len(lengths))  # 0 where the basis has an exchange
+        self.load(lengths, demand)
+
+    def load(self, lengths: np.ndarray, demand: np.ndarray) -> None:
+        self.lengths, self.demand = lengths, demand
+        # hardly more than asked for, each length by another share, so that no two are used up at once
+        self.asked = demand * (1 + 1e-7 * np.random.default_rng(5).random(len(lengths)))
+        self.invert()
+
+    def invert(self) -> None:
+        square = np.zeros((len(self.basis), len(self.basis)))
+        for k, filling in enumerate(self.basis):
+            square[list(filling), k] = list(filling.values())
+        self.inverse, self.pivots = np.linalg.inv(square), 0
+        self.times = np.maximum(self.inverse @ self.asked, 0)
+        self.price = self.cost @ self.inverse
+
+    def split(self, lengths: np.ndarray, demand: np.ndarray) -> None:
+        """Go on with more lengths: new ones begin in the places of the next longer old one."""
+        at = np.searchsorted(lengths, self.lengths)
+        self.basis = [{int(at[k]): a for k, a in filling.items()} for filling in self.basis]
+        new = np.setdiff1d(np.arange(len(lengths)), at)
+        self.basis += [{k: 1, k + 1: -1} for k in new.tolist()]
+        self.cost = np.append(self.cost, np.zeros(len(new)))
+        self.load(lengths, demand)
+
+    def cover(self) -> float:
+        return float(self.cost @ self.times)
+
+    def step(self) -> tuple[float, bool]:
+        """One round: a lower bound from the prices before it, and whether some filling or exchange gained."""
+        if self.pivots > 1000:
+            self.invert()
+        n, size = len(self.lengths), self.size
+        worth = np.maximum(self.price, 0)
+        best, take = priced(self.lengths, worth, size)
+        bound = float(self.demand @ worth) / float(best[size])
+        value, taken, widths = worth + best[size - self.lengths], take.tolist(), self.lengths.tolist()
+        found: dict[tuple, dict[int, int]] = {}
+        for k in np.flatnonzero((value > 1 + 1e-9) & (worth > 0)).tolist():
+            filling = traced(widths, taken, size - widths[k])
+            filling[k] = filling.get(k, 0) + 1
+            found[tuple(sorted(filling.items()))] = filling
+        pool = [*found.values(), {0: -1}, *({k: 1, k + 1: -1} for k in range(n - 1))]
+        due = np.append(np.ones(len(found)), np.zeros(n))
+        wide = max(map(len, pool))
+        which, often = np.zeros((len(pool), wide), np.int64), np.zeros((len(pool), wide))
+        for i, filling in enumerate(pool):
+            which[i, : len(filling)], often[i, : len(filling)] = list(filling), list(filling.values())
+        before = least = self.cover()
+        idle = 0
+        while idle <= n:  # prices are asked anew when so many exchanges saved nothing
+            gain = (self.price[which] * often).sum(axis=1) - due
+            i = int(gain.argmax())
+            if gain[i] <= 1e-9:
+                break
+            along = self.inverse[:, which[i]] @ often[i]
+            up = np.flatnonzero(along > 1e-8)
+            if not len(up):
+                break
+            r = int(up[(self.times[up] / along[up]).argmin()])
+            times = self.times[r] / along[r]
+            self.times = np.maximum(self.times - times * along, 0)
+            self.times[r] = times
+            row = self.inverse[r] / along[r]
+            self.price = self.price - gain[i] * row
+            for at in range(0, n, 256):
+                self.inverse[at : at + 256] -= np.outer(along[at : at + 256], row)
+            self.inverse[r] = row
+            self.basis[r], self.cost[r] = pool[i], due[i]
+            self.pivots += 1
+            now = self.cover()
+            idle = 0 if now < least else idle + 1
+            least = min(least, now)
+        return bound, self.cover() < before * (1 - 1e-12)
+
+
+#: How far above the lower bound, as a share of it, a plan may end.
+TOLERANCE = 0.002
+#: Up to so many stretches the program is solved to its end, with more until the tolerance is met.
+TO_THE_END = 256
+
+
+def solutions(lengths: np.ndarray, counts: np.ndarray, size: int, tolerance: float, work: int | None = None) -> Iterator[tuple[list[tuple[dict[int, int], float]], float]]:
+    """Ever better covers: fillings (length -> places of it) and how many sequences of each, and a lower bound on the number of sequences.
+
+    Stretches of neighbouring lengths are first taken for their longest one, whose
+    places hold all of them, and then split where that costs most.  Prices over
+    the worth of their best filling are a dual solution, of stretches and, by
+    interpolation, of all lengths, which bounds the program from below.  The last
+    cover has each length for itself and no filling that gains, or comes earlier
+    when the cover is within ``tolerance`` of the bound.  ``work`` is for callers
+    who want it to end before, after so many knapsack steps.
+    """
+    bound, spent = float((lengths * counts).sum()) / size, 0
+    volume = np.cumsum(lengths * counts.astype(float))
+    begin = np.unique(np.append(0, np.searchsorted(volume[:-1], volume[-1] * np.arange(1, 32) / 32, "right")))
+    program = Program(*dealt(lengths, counts, begin), size)
+    while True:
+        gains, of_stretches = True, 0.0
+        while gains and (work is None or spent < work):
+            spent += min(size, int((size // program.lengths).sum()))
+            lower, gains = program.step()
+            of_stretches = max(of_stretches, lower)
+            if len(begin) > TO_THE_END and program.cover() <= (1 + tolerance / 2) * of_stretches:
+                break
+        rising = np.maximum.accumulate(np.maximum(program.price, 0))
+        worth = np.interp(lengths, np.append(0, program.lengths), np.append(0, rising))
+        # a stretch's lengths are worth no less than the longest one before them: better where prices jump
+        below = np.repeat(np.append(0, rising[:-1]), np.diff(np.append(begin, len(lengths))))
+        for some in (worth, below):
+            most = float(priced(lengths, some, size)[0][size])
+            bound = max(bound, float(counts @ some) / most if most > 0 else 0.0)
+        single = len(begin) == len(lengths)
+        if single:
+            bound = max(bound, of_stretches)
+        tops = program.lengths.tolist()
+        chosen = zip(program.basis, program.times.tolist(), program.cost, strict=True)
+        yield [({tops[k]: a for k, a in f.items()}, t) for f, t, c in chosen if c and t > 0], bound
+        if single or program.cover() <= (1 + tolerance) * bound or work is not None and spent >= work:
+            return
+        # what stretches lose by standing for their longest length
+        end = np.append(begin[1:], len(lengths))
+        many = end - begin > 1
+        lost = np.add.reduceat((np.repeat(rising, end - begin) - worth) * counts, begin)
+        cut = many & (lost >= np.median(lost[many]))
+        begin = np.unique(np.append(begin, (begin[cut] + end[cut]) // 2))
+        program.split(*dealt(lengths, counts, begin))
+
+
+def configurations(lengths: np.ndarray, counts: np.ndarray, size: int, tolerance: float, work: int | None = None) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """The last of the ``solutions``."""
+    last: tuple[list[tuple[dict[int, int], float]], float] = ([], 0.0)
+    if len(lengths):
+        for last in solutions(lengths, counts, size, tolerance, work):
+            pass
+    return last
+
+
+def seated(solution: list[tuple[dict[int, int], float]], histogram: dict[int, int]) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Whole sequences of the program's fillings with the longest pieces that fit into each place, and the pieces that remain."""
+    left = dict(histogram)
+    order = sorted(left, reverse=True)
+    whole = [(f, int(t + 1e-6)) for f, t in solution if t + 1e-6 >= 1]
+    slots = sorted(((n, i) for i, (f, _) in enumerate(whole) for n, a in f.items() for _ in range(a)), reverse=True)
+    runs: list[list[list[tuple[int, int]]]] = [[] for _ in whole]
+    at = 0
+    for n, i in slots:
+        wanted, run = whole[i][1], []
+        while wanted and at < len(order):
+            if order[at] > n or not left[order[at]]:
+                at += 1
+                continue
+            used = min(wanted, left[order[at]])
+            left[order[at]] -= used
+            wanted -= used
+            run.append((order[at], used))
+        runs[i].append(run)
+    made = []
+    for mine in runs:
+        ends = sorted({e for run in mine for e in np.cumsum([u for _, u in run]).tolist()})
+        begin = 0
+        for end in ends:
+            filling: dict[int, int] = {}
+            for run in mine:
+                passed = 0
+                for n, used in run:
+                    passed += used
+                    if passed > begin:
+                        filling[n] = filling.get(n, 0) + 1
+                        break
+            made.append((filling, end - begin))
+            begin = end
+    return made, {n: c for n, c in left.items() if c}
+
+
+def fullest(histogram: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
+    """Sequence after sequence the longest piece left and, of all that may join it, the fullest choice.
+
+    Sums that can be reached are bits of a number; a filling is used as often as
+    there are pieces for it.
+    """
+    left = {n: c for n, c in histogram.items() if c}
+    made = []
+    everything = (1 << size + 1) - 1
+    while left:
+        top = max(left)
+        free = size - top
+        mask = everything >> top
+        parts: list[tuple[int, int]] = []
+        reached = [1]
+        now = 1
+        for n in sorted((n for n in left if n <= free), reverse=True):
+            many, k = min(left[n] - (n == top), free // n), 1
+            while many > 0:
+                k = min(k, many)
+                parts.append((n, k))
+                now |= now << n * k & mask
+                reached.append(now)
+                many -= k
+                k *= 2
+            if now >> free & 1:  # full: shorter pieces are kept for later
+                break
+        filling = {top: 1}
+        c = now.bit_length() - 1
+        for i in range(len(parts) - 1, -1, -1):
+            if not reached[i] >> c & 1:
+                n, k = parts[i]
+                filling[n] = filling.get(n, 0) + k
+                c -= n * k
+        many = min(left[n] // a for n, a in filling.items())
+        made.append((filling, many))
+        for n, a in filling.items():
+            left[n] -= a * many
+            if not left[n]:
+                del left[n]
+    return made
+
+
+def plan(histogram: dict[int, int], size: int, tolerance: float = TOLERANCE, work: int | None = None) -> list[tuple[dict[int, int], int]]:
     """Fillings (length -> how often) and how many sequences are filled so; every piece has a place.
 
-    The program is rounded down, once with all its fillings and once with the full
-    ones only, and the rest is packed best-fit decreasing; of these plans and of
-    best-fit alone the one with the fewest sequences is taken, so the program is
-    never worse.  Where best-fit meets the bound it is optimal as it is.
+    The program's covers are rounded down, pieces take their places, and the rest is
+    packed best-fit decreasing into the room that is left.  Of these plans, of
+    best-fit alone and of fullest choices alone the one with the fewest sequences
+    is taken, so the program is never worse.  Covers are refined until a plan is
+    within ``tolerance`` of the lower bound, or there is no better cover.
     """
-    left = {n: c for n, c in histogram.items() if n < size and c > 0}
+    left = {int(n): int(c) for n, c in histogram.items() if n < size and c > 0}
     made: list[tuple[dict[int, int], int]] = []
     if histogram.get(size):
         made.append(({size: 1}, int(histogram[size])))
+    if not left:
+        return made
     lengths = np.array(sorted(left), np.int64)
     counts = np.array([left[int(n)] for n in lengths], np.int64)
-    solution, _ = configurations(lengths, counts, size, tolerance, work)
-    plans = [best_fit(left, size)]
-    for fullest in (1.0, 0.0):
-        some, rest = rounded(solution, lengths, counts, size, fullest)
-        plans.append(some + best_fit({int(n): int(c) for n, c in zip(lengths, rest, strict=True) if c}, size))
-    # among equals the program's plan
-    return made + min(reversed(plans), key=lambda p: sum(many for _, many in p))
-
-
-def best_fit(histogram: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing over lengths and counts: sequences that are filled alike move together."""
+    needed = lambda p: sum(many for _, many in p)
+    best = min(fullest(left, size), best_fit(left, size), key=needed)
+    for solution, bound in solutions(lengths, counts, size, tolerance, work):
+        some, rest = seated(solution, left)
+        # among equals the program's plan
+        best = min(best_fit(rest, size, some), best, key=needed)
+        if needed(best) <= max(np.ceil(bound - 1e-6), (1 + tolerance) * bound):
+            break
+    return made + best
+
+
+def best_fit(histogram: dict[int, int], size: int, begun: Iterable[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing over lengths and counts, into ``begun`` sequences first: those that are filled alike move together."""
     room: dict[int, list[list]] = {}  # free places -> [filling, sequences]
+    for filling, many in begun:
+        room.setdefault(size - sum(n * a for n, a in filling.items()), []).append([filling, many])
     for n in sorted(histogram, reverse=True):
         left = histogram[n]
         for free in sorted(k for k in room if k >= n):
