@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from data import DOCS, documents, frame
 
@@ -170,3 +173,38 @@ def test_empty_tables(spark):
     assert jaccard_components(none).count() == 0
     assert contaminated(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert DOCS.startswith("doc_id")
+
+
+def test_jaccard_more_shingles_than_cells(spark, monkeypatch):
+    """Sets without a partner are left out, however many cells the sketch has."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"{x:x}" for x in r.integers(0, 1 << 20, 4000)) for _ in range(900)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(5000, texts[7] + " more"), (5001, texts[7])]
+    written = {}
+
+    def spied(df, name, kept=jaccard.kept):
+        written[name] = kept(df, name)
+        if name == "sets":
+            written["n"] = written[name].count()
+        return written[name]
+
+    monkeypatch.setattr(jaccard, "kept", spied)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bits=20).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k for k in range(900)} | {5000: 7, 5001: 7}
+    assert written["n"] == 2
+
+
+@pytest.mark.parametrize(("keys", "rows", "group"), [(300, 1 << 16, 1), (10**6, 3, 200)])
+def test_jaccard_chunks(spark, monkeypatch, keys, rows, group):
+    """Lone shingles are counted the same however sets are cut into chunks and slots into groups."""
+    monkeypatch.setattr(jaccard, "CHUNK_KEYS", keys)
+    monkeypatch.setattr(jaccard, "CHUNK_ROWS", rows)
+    monkeypatch.setattr(jaccard, "GROUP_KEYS", group)
+    monkeypatch.setattr(jaccard, "SLOT_BITS", 5)
+    docs = frame(spark, documents(2))
+    got = jaccard.shingle_counts(jaccard.id_and_text(docs), 5).collect()
+    table = pa.table({"doc_id": [i for i, *_ in documents(2) if i is not None], "text": [t for i, t, *_ in documents(2) if i is not None]})
+    sets = [s for b in table.to_batches() for s in jaccard.shingle_sets(b, jaccard.Hasher(), 5)]
+    n = Counter(int(x) for s in sets for x in s)
+    want = [(i, len(s), jaccard.name_of(s), sum(x % 2 == 0 and n[int(x)] == 1 for x in s)) for i, s in zip(table["doc_id"].to_pylist(), sets, strict=True)]
+    assert sorted((r["doc_id"], r["n_shingles"], bytes(r["name"]), r["lone"]) for r in got) == sorted(want)

@@ -3,10 +3,16 @@
 Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their sets of
 distinct ``width``-word shingles.
 
-1. **Sketch.**  Half of all shingles (by their hash) are counted in a count-min
-   sketch.  A linked set lacks at most ``|A| - ceil(percent * |A| / 100)`` of its
-   shingles in its partner, so a set with more unrepeated ones links to none.
-2. **Classes.**  Equal sets are one class, named by its smallest doc_id.
+1. **Lone shingles.**  Half of all shingles (by their hash) are counted exactly, but
+   for equal 44-bit keys: chunks of sets send their keys to slots, and a slot answers
+   how many keys of each set no other set has.  A linked set lacks at most
+   ``|A| - ceil(percent * |A| / 100)`` of its shingles in its partner, so a set with
+   more lone ones links to none, and is not written.  Nothing that is held or sent to
+   tasks in this step has a size that data can outgrow.
+2. **Classes.**  Equal sets are one class, named by its smallest doc_id; one set of each
+   class is written.  The sketch that tells tasks whose sets are wanted takes ids, not
+   shingles; beyond some 100 million of them more texts are hashed again, and no more
+   sets written.
 3. **Index.**  A class is listed under the first shingles of its set, common ones
    last; two linked classes meet in a list.  List entries carry size and place, by
    which entries that can't reach the threshold are skipped.
@@ -27,25 +33,39 @@ a document are in its class.  Rows without a doc_id drop out.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .sketch import MESSAGES, Sketch, merged, message_batches
-from .tables import id_and_text, kept
+from .sketch import MESSAGES, Sketch, merged, message_batches, squeeze, unsqueeze
+from .tables import forget, id_and_text, kept, shuffles_removed
 from .text import Hasher, lower_ascii, slices, window_hashes, word_bounds
 
 SKETCH_BITS = 28
+#: A key is a slot and 32 bits more.
+SLOT_BITS = 12
+#: Keys of a chunk, about; its rows are numbered in 16 bits.
+CHUNK_KEYS, CHUNK_ROWS = 1_500_000, 1 << 16
+#: Keys that a task looks at together, about; a slot is not divided.
+GROUP_KEYS = 1_000_000
 #: Most common shingles whose order is sent to the tasks; the order decides how long lists are, not what is found.
 COMMON = 200_000
 #: Rounds in which each class is compared with one head of its lists.
 STAR_ROUNDS = 3
 
+#: To a slot: keys that one row of the chunk has, their rows, and keys that several have.  Slots below zero: ids, sizes and names of all rows.
+SENT = "slot int, chunk long, keys binary, rows binary, again binary"
+#: From a slot: a row's number for each lone key; or ids, sizes and names passed on.
+ANSWERS = "chunk long, lone binary, ids binary, sizes binary, names binary"
+COUNTS = "doc_id long, n_shingles long, name binary, lone long"
+
 
 def shingle_sets(batch: pa.RecordBatch, hasher: Hasher, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingles of each row of a batch."""
@@ -63,37 +83,163 @@ def shingle_sets(batch: pa.RecordBatch, hasher: Hasher, width: int) -> Iterator[
                 yield window_hashes(words[a:b], int(b - a), 0x2545F4914F6CDD1D) if b > a else np.zeros(0, np.uint64)
 
 
-def send_shingles(width: int, bits: int):
+def name_of(s: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    up = np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29)))
+    return int(s.sum(dtype=np.uint64)).to_bytes(8, "big") + int(up).to_bytes(8, "big")
+
+
+def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of the values between neighbouring cuts, as one binary each."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values that the binaries of a column hold, end to end, and how many each holds."""
+    unit = np.dtype(kind).itemsize
+    parts, counts = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for x in column.cast(pa.binary()).chunks:
+        if len(x):
+            _, places, data = x.buffers()
+            offsets = np.frombuffer(places, np.int32, len(x) + 1, x.offset * 4)
+            counts.append(np.diff(offsets).astype(np.int64) // unit)
+            if offsets[-1] > offsets[0]:
+                parts.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind))
+    return np.concatenate(parts), np.concatenate(counts)
+
+
+def same_as_neighbours(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each sorted value equals the one before, and the one behind."""
+    same = np.zeros(len(ordered) + 1, bool)
+    same[1:-1] = ordered[1:] == ordered[:-1]
+    return same[:-1], same[1:]
+
+
+def chunk_batch(ids: list[int], sizes: list[int], names: list[bytes], halves: list[np.ndarray], part: int) -> pa.RecordBatch:
+    """What a chunk of sets sends.
+
+    All rows that describe the sets of a partition go one way (slot ``-1 - part``) and
+    chunks have random names, so if a task is run again no set is told twice or lost;
+    answers to what no longer counts only make lone shingles fewer.
+    """
+    chunk = int.from_bytes(os.urandom(8), "big") >> 1
+    keys = np.concatenate(halves) >> np.uint64(32 - SLOT_BITS)
+    rows = np.repeat(np.arange(len(halves)), [len(x) for x in halves]).astype(np.uint16)
+    order = np.argsort(keys)
+    keys, rows = keys[order], rows[order]
+    before, behind = same_as_neighbours(keys)
+    alone, again = ~(before | behind), behind & ~before
+    edges = np.arange((1 << SLOT_BITS) + 1, dtype=np.uint64) << np.uint64(32)
+    once, more = keys[alone], keys[again]
+    cuts, more_cuts = np.searchsorted(once, edges), np.searchsorted(more, edges)
+    low = [binaries(x.astype(np.uint32), c) for x, c in ((once, cuts), (more, more_cuts))]
+    full = np.flatnonzero(np.diff(cuts) + np.diff(more_cuts))
+    columns = [low[0], binaries(rows[alone], cuts), low[1]]
+    whole = [np.array(ids, np.int64).tobytes(), np.array(sizes, np.int64).tobytes(), b"".join(names)]
+    columns = [pa.concat_arrays([x.take(pa.array(full)), pa.array([y], pa.binary())]) for x, y in zip(columns, whole, strict=True)]
+    slots = np.append(full, -1 - part).astype(np.int32)
+    return pa.record_batch([pa.array(slots), pa.array(np.full(len(slots), chunk)), *columns], names=["slot", "chunk", "keys", "rows", "again"])
+
+
+def send_keys(width: int):
+    """Keys of every other shingle, by slot, and what is known of each set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        yield from message_batches((s[s & np.uint64(1) == 0] for batch in batches for s in shingle_sets(batch, hasher, width)), bits)
+        hasher, part, n = Hasher(), TaskContext.get().partitionId(), 0
+        held: tuple[list, ...] = ([], [], [], [])
+        for batch in batches:
+            for own, s in zip(batch.column(0).to_pylist(), shingle_sets(batch, hasher, width), strict=True):
+                half = s[s & np.uint64(1) == 0]
+                for column, value in zip(held, (own, len(s), name_of(s), half), strict=True):
+                    column.append(value)
+                n += len(half)
+                if n >= CHUNK_KEYS or len(held[0]) == CHUNK_ROWS:
+                    yield chunk_batch(*held, part)
+                    held, n = ([], [], [], []), 0
+        if held[0]:
+            yield chunk_batch(*held, part)
 
     return run
 
 
+def answers(table: pa.Table) -> pa.RecordBatch:
+    """For each chunk the rows of its lone keys; ``table`` has all messages of its slots."""
+    low, n = flat(table.column("keys"), np.uint32)
+    rows, _ = flat(table.column("rows"), np.uint16)
+    again, m = flat(table.column("again"), np.uint32)
+    base = table.column("slot").to_numpy().astype(np.uint64) << np.uint64(32)
+    chunks, code = np.unique(table.column("chunk").to_numpy(), return_inverse=True)
+    keys = np.concatenate([np.repeat(base, n) | low, np.repeat(base, m) | again])
+    order = np.argsort(keys)
+    before, behind = same_as_neighbours(keys[order])
+    at = order[~(before | behind)]
+    at = at[at < len(low)]
+    told = np.sort(np.repeat(code, n)[at] << 16 | rows[at])
+    cuts = np.searchsorted(told >> 16, np.arange(len(chunks) + 1))
+    lone = [squeeze(told[a:b] & 0xFFFF) for a, b in zip(cuts, cuts[1:], strict=False)]
+    none = pa.nulls(len(chunks), pa.binary())
+    return pa.record_batch([pa.array(chunks, pa.int64()), pa.array(lone, pa.binary()), none, none, none], names=["chunk", "lone", "ids", "sizes", "names"])
+
+
+def answer_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to messages that are sorted by slot."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        slots = batch.column(0).to_numpy()
+        known = int(np.searchsorted(slots, 0))
+        if known:
+            x = batch.slice(0, known)
+            yield pa.record_batch([x.column(1), pa.nulls(known, pa.binary()), x.column(2), x.column(3), x.column(4)], names=["chunk", "lone", "ids", "sizes", "names"])
+        if known < len(slots):
+            ended = max(known, int(np.searchsorted(slots, slots[-1])))
+            new_slot = not held or ended > known or held[-1].column(0)[-1].as_py() != int(slots[-1])
+            if n >= GROUP_KEYS and new_slot:
+                # the last slot may go on in the next batch
+                yield answers(pa.Table.from_batches([*held, batch.slice(known, ended - known)]))
+                held, n, known = [], 0, ended
+            held.append(batch.slice(known))
+            n += sum(held[-1].column(k).nbytes for k in (2, 4)) // 4
+    if held:
+        yield answers(pa.Table.from_batches(held))
+
+
+def gather(part: pd.DataFrame) -> pd.DataFrame:
+    """The sets of a chunk with their lone keys."""
+    told = part[part["ids"].notna()]
+    if not len(told):
+        return pd.DataFrame({"doc_id": [], "n_shingles": [], "name": [], "lone": []}).astype({"doc_id": int, "n_shingles": int, "name": object, "lone": int})
+    ids, sizes = (np.frombuffer(told[c].iloc[0], np.int64) for c in ("ids", "sizes"))
+    names = told["names"].iloc[0]
+    lone = np.zeros(len(ids), np.int64)
+    for x in part["lone"].dropna():
+        lone += np.bincount(unsqueeze(x), minlength=len(ids))
+    return pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "name": [names[k : k + 16] for k in range(0, len(names), 16)], "lone": lone})
+
+
 def least_shared(size, percent: int):
     """Fewest shingles that a linked partner of a set of ``size`` has in common with it."""
     return -(-percent * size // 100)
 
 
-def send_sets(held: Broadcast, width: int, percent: int, bits: int):
+def send_sets(held: Broadcast, width: int, bits: int):
+    """Sets of the rows whose id is in the sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sketch = Hasher(), Sketch(held, bits)
         for batch in batches:
-            sizes, names, sets = [], [], []
-            for s in shingle_sets(batch, hasher, width):
-                sizes.append(len(s))
-                half = s[s & np.uint64(1) == 0]
-                lone = len(half) - int(sketch.repeated(half).sum())
-                if len(s) and lone <= len(s) - least_shared(len(s), percent):
-                    # 128 bits name the set
-                    up = np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29)))
-                    names.append(int(s.sum(dtype=np.uint64)).to_bytes(8, "big") + int(up).to_bytes(8, "big"))
-                    sets.append(s.tobytes())
-                else:
-                    names.append(None)
-                    sets.append(None)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "n_shingles", "name", "shingles"])
+            batch = batch.filter(pa.array(sketch.repeated(batch.column(0).to_numpy().view(np.uint64))))
+            sets = list(shingle_sets(batch, hasher, width))
+            yield pa.record_batch([batch.column(0), pa.array([name_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "name", "shingles"])
+
+    return run
+
+
+def send_ids(bits: int):
+    """Ids of the first column, so that a sketch reports all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from message_batches((np.repeat(b.column(0).to_numpy().view(np.uint64), 2) for b in batches), bits)
 
     return run
 
@@ -200,12 +346,24 @@ def sizes_fit(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def shingle_classes(docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
-    """Written table (doc_id, n_shingles, name, shingles); the last two only where a set may have a partner."""
-    texts = id_and_text(docs)
-    held = merged(texts.mapInArrow(send_shingles(width, bits), MESSAGES), bits)
-    found = texts.mapInArrow(send_sets(held, width, percent, bits), "doc_id long, n_shingles long, name binary, shingles binary")
-    return kept(found, "shingle-sets")
+def shingle_counts(texts: DataFrame, width: int) -> DataFrame:
+    """Written table (doc_id, n_shingles, name, lone) of all rows: of every other shingle, how many no other row has."""
+    sent = texts.mapInArrow(send_keys(width), SENT).repartition("slot").sortWithinPartitions("slot")
+    return kept(sent.mapInArrow(answer_slots, ANSWERS).groupBy("chunk").applyInPandas(gather, COUNTS), "shingle-counts")
+
+
+def class_sets(texts: DataFrame, classes: DataFrame, width: int, bits: int) -> DataFrame:
+    """Written table (id, copies, shingles): the set of each class, from the row that names it."""
+    held = merged(classes.select("id").mapInArrow(send_ids(bits), MESSAGES), bits)
+    first = texts.mapInArrow(send_sets(held, width, bits), "id long, name binary, shingles binary").dropDuplicates(["id", "name"])
+    return kept(classes.join(first, ["id", "name"]).select("id", "copies", "shingles"), "sets")
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that are not read any more."""
+    for df in tables:
+        for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            forget(df.sparkSession, path)
 
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -257,6 +415,8 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     named = components(links)
     adopted = again.where(F.col("shared") >= F.size("rest")).select("a", "b", "shared", "rest")
     close = kept(adopted.union(close.join(adopted.select("a"), "a", "left_anti")), "close")
+    links, compared = kept(links, "links"), kept(compared, "compared")
+    dropped(first, again)
     pivots = close.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "shared")
     about = entries.select("id", "size").distinct().join(named, "id", "left").join(pivots, "id", "left")
     about = about.select("id", "size", F.coalesce("component", "id").alias("component"), F.coalesce("pivot", "id").alias("pivot"), F.coalesce("shared", "size").alias("shared"))
@@ -265,6 +425,7 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     listed = entries.select("token", "id", "place").join(outside, ["token", "id"], "full")
     listed = listed.join(about, "id").select("token", "id", "size", "component", "pivot", "shared", F.col("place"), F.coalesce("outside", F.lit(False)).alias("outside"))
     listed = kept(listed, "lists")
+    dropped(entries, close, about)
 
     lead = F.max(F.struct(F.col("shared"), F.col("component"))).alias("lead")
     head = listed.groupBy("token").agg(lead, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token", F.col("lead.component").alias("head"))
@@ -285,16 +446,21 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     known_pairs = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = kept(pairs.join(known_pairs.distinct(), ["a", "b"], "left_anti"), "pairs")
     second = verified(pairs, sets, percent).where("linked").select("a", "b")
-    return kept(links.union(second), "links")
+    found = kept(links.union(second), "links")
+    dropped(listed, pairs, compared)
+    return found
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, bits: int = SKETCH_BITS) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
-    found = shingle_classes(docs, width, percent, bits)
-    classes = found.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = kept(classes, "classes")
-    first = found.where("name is not null").select(F.col("doc_id").alias("id"), "name", "shingles").dropDuplicates(["id", "name"])
-    sets = kept(classes.join(first, ["id", "name"]).select("id", "copies", "shingles"), "sets")
-    named = components(class_links(sets, percent))
+    texts = id_and_text(docs)
+    with shuffles_removed(docs.sparkSession):
+        found = shingle_counts(texts, width)
+        linkable = found.where("n_shingles > 0").where(F.col("lone") * 100 <= F.col("n_shingles") * (100 - percent))
+        classes = kept(linkable.groupBy("name").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+        sets = class_sets(texts, classes, width, bits)
+        links = class_links(sets, percent)
+        dropped(sets)
+        named = components(links)
     by_name = classes.join(named, "id", "left").select("name", F.coalesce("component", "id").alias("component"))
     return found.select("doc_id", "n_shingles", "name").join(by_name, "name", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,18 @@ def kept_by(df: DataFrame, column: str, name: str) -> DataFrame:
     return spark.table(made)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, what a query shuffles is deleted when the query ends, and not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table that this package wrote to the shared folder and no longer reads."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
