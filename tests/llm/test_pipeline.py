@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from data import DOCS, documents
@@ -10,6 +11,7 @@ from test_dedup import brute_components, brute_found, brute_substring
 
 import __spark_entry__
 import corpus_pipeline
+from wakegrid.session import checkpoint_folder
 
 
 def test_registered():
@@ -66,3 +68,15 @@ def test_stages(spark, folder, tmp_path):
     assert leaks and stayed == set(cut) - leaks
     assert {r["doc_id"] for r in seen[4].collect()} == stayed
     assert corpus_pipeline.run(spark, path).count() == seen[4].count()
+
+
+def test_jaccard_stage_leaves_no_large_table(spark, folder):
+    """Sets, lists and what pivots lack are deleted when read; what the result reads stays."""
+    path, _, _ = folder
+    kept = Path(checkpoint_folder(spark).removeprefix("file:")) / "tables"
+    before = {p.name for p in kept.iterdir()} if kept.exists() else set()
+    got = corpus_pipeline.jaccard_join(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    left = {p.name.rpartition("-")[0] for p in kept.iterdir() if p.name not in before and any(p.glob("*.parquet"))}
+    assert "shingle-counts" in left
+    assert not left & {"shingle-sets", "sets", "entries", "pivots", "close", "lists"}
+    assert got.count()
